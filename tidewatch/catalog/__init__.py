@@ -1,6 +1,6 @@
 """All registered queries, by topic."""
 
-from tidewatch.catalog import cleaning, lookups  # noqa: F401
+from tidewatch.catalog import cleaning, lookups, scoring  # noqa: F401
 from tidewatch.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
