@@ -40,19 +40,19 @@ _ORDERED = f"""x AS ({_VIOLATIONS}), o AS (SELECT *, row_number() OVER (PARTITIO
 @query("op_range_violations", f"""{LINE_SQL}, {_ORDERED} SELECT {CARRY_LIST}, feature, value, round(lower, 6) AS lower,
     round(upper, 6) AS upper, round(median, 6) AS median, direction, round(excursion, 6) AS excursion FROM o""")
 def _(spark, sf_dir):
-    items = flows(spark, sf_dir).select(*CARRY, F.explode(verdict.violations(line_reference(spark, sf_dir))).alias("v"))
-    return items.select(*CARRY, "v.feature", "v.value", F.round(F.col("v.training_range")[0], 6).alias("lower"),
-                        F.round(F.col("v.training_range")[1], 6).alias("upper"),
-                        F.round("v.training_median", 6).alias("median"), "v.direction",
-                        F.round("v.excursion", 6).alias("excursion"))
+    items = assessed(spark, sf_dir, detail=True).select(*CARRY, F.explode("violations").alias("x"))
+    v = "x.item"
+    return items.select(*CARRY, f"{v}.feature", f"{v}.value", F.round(F.col(f"{v}.training_range")[0], 6).alias("lower"),
+                        F.round(F.col(f"{v}.training_range")[1], 6).alias("upper"),
+                        F.round(f"{v}.training_median", 6).alias("median"), f"{v}.direction",
+                        F.round(-F.col("x.order_key"), 6).alias("excursion"))
 
 
 @query("sort_violations", f"""{LINE_SQL}, {_ORDERED} SELECT {CARRY_LIST},
     string_agg(feature, ',' ORDER BY place) AS ordered FROM o GROUP BY ALL""")
 def _(spark, sf_dir):
-    items = verdict.violations(line_reference(spark, sf_dir))
-    rows = flows(spark, sf_dir).select(*CARRY, F.concat_ws(",", verdict.ood_feature_names(items)).alias("ordered"))
-    return rows.filter(F.col("ordered") != "")
+    names = F.concat_ws(",", "violations.item.feature")
+    return assessed(spark, sf_dir, detail=True).select(*CARRY, names.alias("ordered")).filter(F.col("ordered") != "")
 
 
 @query("op_reliability", f"{LINE_SQL} SELECT {CARRY_LIST}, n_violations, reliability, in_distribution FROM a")
@@ -178,27 +178,24 @@ def _(spark, sf_dir):
     items = F.col("evidence_detail")
     return _evidence(spark, sf_dir).select(
         *CARRY, "model_prediction", F.size(items).cast("long").alias("items"),
-        F.concat_ws(",", F.transform(items, lambda x: x["feature"])).alias("features"),
+        F.concat_ws(",", "evidence_detail.feature").alias("features"),
         F.round(F.aggregate(items, F.lit(0.0), lambda a, x: a + x["value"]), 4).alias("value_sum"))
 
 
 @query("fn_is_notable", f"""WITH {FLOWS_SQL}, {_MED_SQL}, c AS ({_CANDIDATES})
   SELECT {CARRY_LIST}, feature, pos, notable FROM c""")
 def _(spark, sf_dir):
-    policy = line_evidence(spark, sf_dir)
-    checks = F.lit(None).cast("array<struct<feature:string,pos:int,notable:boolean>>")
-    for threat, rules in LINE_RULES.items():
-        own = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.lit(i).alias("pos"), evidence.is_notable(
-            F.col(r.feature), r, threat, policy).alias("notable")) for i, r in enumerate(rules)])
-        checks = F.when(F.col("model_prediction") == threat, own).otherwise(checks)
-    return flows(spark, sf_dir).select(*CARRY, F.explode(checks).alias("c")).select(*CARRY, "c.*")
+    judged = evidence.with_judged_rules(flows(spark, sf_dir), line_evidence(spark, sf_dir), LINE_IMPORTANCES,
+                                        "model_prediction")
+    rows = judged.select(*CARRY, F.explode("_ranked").alias("r")).filter(F.col("r.tier") < 2)
+    return rows.select(*CARRY, "r.rule.feature", F.col("r.rule.position").alias("pos"), (F.col("r.tier") == 0).alias("notable"))
 
 
 @query("fn_comparison")
 def _(spark, sf_dir):
-    policy = line_evidence(spark, sf_dir)
-    texts = {f: evidence.comparison(F.col(f), f, "DDoS", policy).alias(f"{f}_text") for f in LINE_FEATURES}
-    return flows(spark, sf_dir).select(*CARRY, *texts.values())
+    detail = _evidence(spark, sf_dir)
+    return detail.select(*CARRY, F.concat_ws(" | ", "evidence_detail.display").alias("displays"),
+                         F.concat_ws(" | ", "evidence_detail.comparison").alias("comparisons"))
 
 
 @query("fn_format_value", f"""WITH {FLOWS_SQL} SELECT {CARRY_LIST},
@@ -260,13 +257,13 @@ def _(spark, sf_dir):
                        F.round("confidence", 4).alias("confidence"))
 
 
-@query("sink_predictions", f"""{LINE_SQL} SELECT reported_threat, model_prediction, round(confidence, 4) AS confidence,
-    reliability, round(ood_score, 4) AS ood_score, severity, is_alertable, needs_review, truth AS ground_truth,
+@query("sink_predictions", f"""{LINE_SQL} SELECT reported_threat, model_prediction, round_even(confidence, 4) AS confidence,
+    reliability, round_even(ood_score, 4) AS ood_score, severity, is_alertable, needs_review, truth AS ground_truth,
     truth = model_prediction AS correct FROM a""")
 def _(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     score.prediction_table(assessed(spark, sf_dir), LINE_SPEC, truth="truth").write.parquet(path)
-    return _rounded(spark.read.parquet(path), "confidence", "ood_score", places=4)
+    return spark.read.parquet(path)
 
 
 _SECTIONS = " UNION ALL ".join(

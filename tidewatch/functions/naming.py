@@ -54,10 +54,8 @@ def truth_label(col: Column, label_map: Mapping[str, str | None]) -> Column:
 
 def protocol_name(col: Column, names: Mapping[int, str] = cic.PROTOCOLS) -> Column:
     whole = whole_number(col)
-    named = F.concat(F.lit("PROTO-"), whole.cast("string"))
-    for value, name in names.items():
-        named = F.when(whole == value, F.lit(name)).otherwise(named)
-    return F.coalesce(named, F.lit("UNKNOWN"))
+    return F.coalesce(literal_map({int(k): v for k, v in names.items()})[whole.try_cast("int")], F.concat(F.lit("PROTO-"), whole.cast("string")),
+                      F.lit("UNKNOWN"))
 
 
 def port_number(number: Column) -> Column:
@@ -67,7 +65,7 @@ def port_number(number: Column) -> Column:
 def describe_port(number: Column, names: Mapping[int, str] = cic.WELL_KNOWN_PORTS) -> Column:
     """A port in words: its service, or the range it lies in."""
     port = port_number(number)
-    service = literal_map(names)[port.cast("int")]
+    service = literal_map(names)[port.try_cast("int")] if names else F.lit(None).cast("string")
     prefix = F.concat(F.lit("port "), port.cast("string"))
     return (
         F.when(number.isNull(), F.lit("unrecognised port value"))

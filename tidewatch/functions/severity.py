@@ -61,23 +61,27 @@ def assess(df: DataFrame, *, threat: str = "reported_threat", confidence: str =
     pct, base = F.col("_pct"), F.col("base_severity")
     note = F.when(degraded, F.lit(" One feature is out of the training range: treat with caution.")).when(
         tier.eqNullSafe(UNKNOWN), F.lit(" No reference was available to check reliability.")).otherwise(F.lit(""))
+    said = F.coalesce(F.col(prediction), verdict)
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
     reason = (
-        F.when(on_ood, F.format_string(
-            "Input is out of the training distribution. The classifier said %s at %s, which is its own "
-            "certainty and no measure of correctness here. Flagged " + policy.ood_severity + " for review.",
-            F.coalesce(F.col(prediction), verdict), pct))
-        .when(on_benign, F.concat(
-            F.format_string("Classified %s at %s. Benign flows are kept for context, not ranked.", verdict, pct),
-            F.when(degraded, F.lit(" One feature is out of the training range: sent to review."))
-            .otherwise(F.lit(""))))
-        .when(F.col("escalated"), F.concat(F.format_string(
-            "Confidence %s is %s; raised to %s because %s acts directly on availability or hosts.",
-            pct, base, F.col("severity"), verdict), note))
-        .when(escalates, F.concat(F.format_string(
-            "Confidence %s is %s, the top band; %s cannot be raised further.", pct, base, verdict), note))
-        .otherwise(F.concat(F.format_string(
-            "Confidence %s is %s. %s is not raised: it shows reconnaissance, no impact yet.",
-            pct, base, verdict), note)))
+        F.when(on_ood, text(
+            "Input is out of the training distribution. The classifier said ", said, " at ", pct,
+            ", which is its own certainty and no measure of correctness here. "
+            f"Flagged {policy.ood_severity} for review."))
+        .when(on_benign, text(
+            "Classified ", verdict, " at ", pct, ". Benign flows are kept for context, not ranked.",
+            F.when(degraded, F.lit(" One feature is out of the training range: sent to review.")).otherwise(F.lit(""))))
+        .when(F.col("escalated"), text(
+            "Confidence ", pct, " is ", base, "; raised to ", F.col("severity"), " because ", verdict,
+            " acts directly on availability or hosts.", note))
+        .when(escalates, text(
+            "Confidence ", pct, " is ", base, ", the top band; ", verdict, " cannot be raised further.", note))
+        .otherwise(text(
+            "Confidence ", pct, " is ", base, ". ", verdict,
+            " is not raised: it shows reconnaissance, no impact yet.", note)))
     return staged.withColumns({
         "severity_reason": reason,
         "is_alertable": ~on_benign & F.col("severity").isin(*policy.alertable),

@@ -16,42 +16,40 @@ def plain(value: Column, decimals: int) -> Column:
     return F.regexp_replace(grouped(value, decimals), ",", "")
 
 
-def trim_zeros(text: Column) -> Column:
-    """Drop trailing zeros after a decimal point, and the point itself."""
-    return F.when(text.contains("."), F.rtrim(text, F.lit("0"))).otherwise(text)
-
-
 def trim_decimal(text: Column) -> Column:
-    return F.rtrim(trim_zeros(text), F.lit("."))
+    """Drop trailing zeros after a decimal point, then a bare point."""
+    return F.rtrim(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), F.lit("."))
 
 
-def percent(value: Column, decimals: int = 0) -> Column:
-    return F.concat(plain(value * 100, decimals), F.lit("%"))
+def percent(share: Column) -> Column:
+    """Whole percent, ties to even."""
+    return F.concat(F.rint(share * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def significant(value: Column, digits: int = 4) -> Column:
     """General format with ``digits`` significant digits and separators."""
     sci = F.format_string(f"%.{digits - 1}e", value)
     parts = F.split(sci, "e")
-    exponent = F.element_at(parts, 2).cast("int")
+    exponent = F.try_element_at(parts, F.lit(2)).cast("int")  # NULL input splits to one part
     fixed = trim_decimal(grouped(value, F.lit(digits - 1) - exponent))
-    scientific = F.concat(trim_decimal(F.element_at(parts, 1)), F.lit("e"), F.element_at(parts, 2))
+    scientific = F.concat(
+        trim_decimal(F.element_at(parts, 1)), F.lit("e"), F.try_element_at(parts, F.lit(2)))
     return F.when(value == 0, F.lit("0")).when(exponent.between(-4, digits - 1), fixed).otherwise(scientific)
 
 
-def format_value(value: Column, unit: str = "", *, port: bool = False, duration: bool = False) -> Column:
-    """A feature value for display: fewer decimals the larger it is, then its unit."""
+def format_value(value: Column) -> Column:
+    """A number for display: the larger, the fewer decimals."""
     size = F.abs(value)
-    if port:
-        return value.try_cast("long").cast("string")
-    small = trim_decimal(plain(value, 3))
-    text = (
-        F.when(size >= 1000, grouped(value, 0))
-        .when(size >= 1, trim_decimal(grouped(value, 2)))
-        .otherwise(F.when(small.isin("", "-"), F.lit("0")).otherwise(small))
-    )
-    shown = F.concat(text, F.lit(f" {unit}")) if unit else text
-    if duration:
+    places = F.when(size >= 1000, F.lit(0)).when(size >= 1, F.lit(2)).otherwise(F.lit(3))
+    return trim_decimal(grouped(value, places))
+
+
+def display_value(value: Column, unit: Column, port: Column, duration: Column, *, clocks: bool, ports: bool) -> Column:
+    """A feature value with its unit; ports as bare integers, long durations in seconds too."""
+    shown = F.rtrim(F.concat(format_value(value), F.lit(" "), unit))
+    if clocks:
         clock = F.concat(grouped(value, 0), F.lit(" us ("), plain(value / 1_000_000, 3), F.lit(" s)"))
-        return F.when(value >= 1000, clock).otherwise(shown)
+        shown = F.when(duration & (value >= 1000), clock).otherwise(shown)
+    if ports:
+        shown = F.when(port, value.try_cast("long").cast("string")).otherwise(shown)
     return shown

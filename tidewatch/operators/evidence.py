@@ -8,13 +8,14 @@ Long-form lookups are there as joins for callers holding those tables as tables.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.coerce import finite
 from tidewatch.functions.naming import describe_port, port_number
-from tidewatch.functions.text import format_value, grouped
+from tidewatch.functions.text import display_value, grouped
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.rows import q
 from tidewatch.session import BROADCAST_BYTES, planned_bytes
@@ -27,115 +28,144 @@ ITEM = ("struct<feature:string,value:double,display:string,why:string,"
 _TINY_RATIO = 1e-9
 
 
-def is_notable(value: Column, rule: Rule, threat: str, policy: EvidencePolicy) -> Column:
+def _shown(value: float, feature: str, policy: EvidencePolicy) -> str:
+    """Display text of a fixed median (the driver-side twin of ``display_value``)."""
+    if feature in policy.duration_features and value >= 1000:
+        return f"{value:,.0f} us ({value / 1e6:.3f} s)"
+    if feature in policy.port_features:
+        return str(int(value))
+    places = 0 if abs(value) >= 1000 else 2 if abs(value) >= 1 else 3
+    text = f"{value:,.{places}f}"
+    text = text.rstrip("0").rstrip(".") if places else text
+    return f"{text} {policy.units.get(feature, '')}".strip()
+
+
+def _rule_struct(position: int, rule: Rule, threat: str, policy: EvidencePolicy,
+                 importances: Mapping[str, float]) -> Column:
+    """A rule with all it needs to judge and word a value, as one literal struct."""
+    medians = policy.medians.get(rule.feature) or {}
+    benign, weight = medians.get(policy.benign), float(importances.get(rule.feature, 0.0))
+
+    def number(x: float | None) -> Column:
+        return F.lit(x).cast("double")
+
+    return F.struct(
+        F.lit(-weight).alias("order_key"), F.lit(position).alias("position"), F.lit(rule.feature).alias("feature"),
+        F.lit(rule.direction).alias("direction"), F.lit(rule.why).alias("why"),
+        number(medians.get(threat)).alias("own"), number(benign).alias("benign"),
+        F.lit("" if benign is None else _shown(benign, rule.feature, policy)).alias("benign_text"),
+        F.lit(policy.units.get(rule.feature, "")).alias("unit"),
+        F.lit(rule.feature in policy.port_features).alias("port"),
+        F.lit(rule.feature in policy.duration_features).alias("duration"),
+        F.lit(round(weight, 4)).alias("importance"), F.lit(threat).alias("threat"))
+
+
+def is_notable(value: Column, rule: Column, policy: EvidencePolicy) -> Column:
     """Does the value support the rule's claim, judged against the medians."""
-    medians = policy.medians.get(rule.feature)
-    if rule.direction == "nonstandard":
-        return ~port_number(value).isin(*policy.well_known_ports)
-    if not medians:
-        return F.lit(True)
-    if rule.direction == "near":
-        own = medians.get(threat)
-        if own is None:
-            return F.lit(True)
-        return F.abs(value) <= 1.0 if own == 0 else F.abs(value - own) / abs(own) <= policy.near_tolerance
-    benign = medians.get(policy.benign)
-    if benign is None or rule.direction not in ("high", "low"):
-        return F.lit(True)
-    if rule.direction == "high":
-        return value >= benign * policy.high_ratio if benign > 0 else value > 0
-    return value <= benign * policy.low_ratio if benign > 0 else value == 0
-
-
-def display(value: Column, feature: str, policy: EvidencePolicy) -> Column:
-    return format_value(value, policy.units.get(feature, ""), port=feature in policy.port_features,
-                        duration=feature in policy.duration_features)
-
-
-def comparison(value: Column, feature: str, threat: str, policy: EvidencePolicy) -> Column:
+    own, benign = rule["own"], rule["benign"]
+    near = (F.when(own.isNull(), F.lit(True)).when(own == 0, F.abs(value) <= 1.0)
+            .otherwise(F.abs(value - own) / F.abs(own) <= policy.near_tolerance))
+    high = F.when(benign > 0, value >= benign * policy.high_ratio).otherwise(value > 0)
+    low = F.when(benign > 0, value <= benign * policy.low_ratio).otherwise(value == 0)
+    out = F.when(rule["direction"] == "near", near)
+    if policy.well_known_ports:
+        out = F.when(rule["direction"] == "nonstandard",
+                     ~port_number(value).isin(*policy.well_known_ports)).when(rule["direction"] == "near", near)
+    return (out.when(benign.isNull(), F.lit(True)).when(rule["direction"] == "high", high)
+            .when(rule["direction"] == "low", low).otherwise(F.lit(True)))
+
+
+def comparison(value: Column, rule: Column, policy: EvidencePolicy) -> Column:
     """The value set against the benign median, in words; NULL without one."""
-    medians = policy.medians.get(feature)
-    if not medians or policy.benign not in medians:
-        return F.lit(None).cast("string")
-    benign = F.lit(medians[policy.benign])
-    if feature in policy.port_features:
-        described = describe_port(value, policy.well_known_ports)
-        usual = F.concat(described, F.lit("; benign traffic here is mostly "),
-                         describe_port(benign, policy.well_known_ports))
-        if medians.get(threat) is None:
-            return usual
-        return F.when(F.abs(value - medians[threat]) < 1, F.concat(
-            described, F.lit(f"; the port most often seen for {threat} in training"))).otherwise(usual)
-    if medians[policy.benign] == 0:
-        unit = policy.units.get(feature, "")
-        return F.when(value > 0, F.lit(f"benign median is 0 {unit}".strip()))
-    ratio, shown = value / benign, display(benign, feature, policy)
-    times = F.lit("x the benign median of ")
-    below = F.lit("x below the benign median of ")
-    return (
-        F.when(ratio >= policy.high_ratio, F.concat(grouped(ratio, 1), times, shown))
-        .when((ratio <= policy.low_ratio) & (value == 0), F.concat(F.lit("zero, against a benign median of "), shown))
-        .when(ratio <= policy.low_ratio,
-              F.concat(grouped(1 / F.greatest(ratio, F.lit(_TINY_RATIO)), 1), below, shown))
-        .otherwise(F.concat(F.lit("benign median is "), shown))
-    )
-
-
-def _candidates(threat: str, rules: Sequence[Rule], have: set[str], importances: Mapping[str, float],
-                policy: EvidencePolicy) -> Column:
-    """All rules of one class as ranked structs; rules without a value are absent."""
-    items = []
-    for i, rule in enumerate(rules):
-        if rule.feature not in have:
-            continue
-        value, weight = q(f"_f_{rule.feature}"), float(importances.get(rule.feature, 0.0))
-        notable = is_notable(value, rule, threat, policy)
-        why = F.when(notable, F.lit(rule.why)).otherwise(
-            F.lit(f"For context only: this value is not unusual for {rule.feature} here."))
-        items.append(F.when(value.isNotNull(), F.struct(
-            F.when(notable, F.lit(0)).otherwise(F.lit(1)).alias("tier"),
-            F.lit(-weight).alias("order_key"), F.lit(i).alias("position"),
-            F.struct(F.lit(rule.feature).alias("feature"), value.alias("value"),
-                     display(value, rule.feature, policy).alias("display"), why.alias("why"),
-                     comparison(value, rule.feature, threat, policy).alias("comparison"),
-                     F.lit(round(weight, 4)).alias("importance")).alias("item"))))
-    return F.array_compact(F.array(*items)) if items else F.array()
-
-
-def evidence_items(columns: Sequence[str], prediction: Column, policy: EvidencePolicy,
-                   importances: Mapping[str, float] = {}) -> Column:
-    """Evidence for the classifier's answer: notable values by importance, at most
-    ``max_items``; topped up with marked context values to ``min_items``."""
-    kind = f"array<struct<tier:int,order_key:double,position:int,item:{ITEM}>>"
-    ranked = F.array().cast(kind)
-    for threat, rules in policy.rules.items():
-        ranked = F.when(prediction == threat, _candidates(
-            threat, rules, set(columns), importances, policy).cast(kind)).otherwise(ranked)
-    return F.sort_array(ranked)
-
-
-def pick_items(ranked: Column, policy: EvidencePolicy) -> Column:
-    notable = F.slice(F.filter(ranked, lambda r: r["tier"] == 0), 1, policy.max_items)
-    context = F.filter(ranked, lambda r: r["tier"] == 1)
-    room = F.greatest(F.lit(policy.min_items) - F.size(notable), F.lit(0))
-    return F.transform(F.concat(notable, F.slice(context, F.lit(1), room)), lambda r: r["item"])
+    benign, shown, ratio = rule["benign"], rule["benign_text"], value / rule["benign"]
+    high, low = ratio >= policy.high_ratio, ratio <= policy.low_ratio
+    factor = grouped(F.when(high, ratio).otherwise(1 / F.greatest(ratio, F.lit(_TINY_RATIO))), 1)
+    middle = F.when(high, F.lit("x the benign median of ")).otherwise(F.lit("x below the benign median of "))
+    out = F.when(benign.isNull(), F.lit(None).cast("string"))
+    if policy.port_features:
+        described, usual = describe_port(value, policy.well_known_ports), describe_port(benign, policy.well_known_ports)
+        out = out.when(rule["port"], F.concat(described, F.when(F.abs(value - rule["own"]) < 1, F.concat(
+            F.lit("; the port most often seen for "), rule["threat"], F.lit(" in training"))).otherwise(
+            F.concat(F.lit("; benign traffic here is mostly "), usual))))
+    return (out.when(benign == 0, F.when(value > 0, F.rtrim(F.concat(F.lit("benign median is 0 "), rule["unit"]))))
+            .when(low & (value == 0), F.concat(F.lit("zero, against a benign median of "), shown))
+            .when(high | low, F.concat(factor, middle, shown))
+            .otherwise(F.concat(F.lit("benign median is "), shown)))
+
+
+def with_judged_rules(df: DataFrame, policy: EvidencePolicy, importances: Mapping[str, float],
+                      prediction: str) -> DataFrame:
+    """Add ``_ranked`` (rules of the row's class with a usable value first: notable,
+    then context, each by importance), ``_notable`` and ``_held`` (how many of each).
+
+    Rule ``i`` of whatever class the row has is judged by one shared expression;
+    no lambda runs, so the projection compiles.
+    """
+    have = set(df.columns)
+    rules = {c: [r for r in rs if r.feature in have] for c, rs in policy.rules.items()}
+    slots = max((len(rs) for rs in rules.values()), default=0)
+    if not slots:
+        raise ValueError("no rule names a column of this table")
+
+    def by_class(pick) -> Column:
+        out = F.lit(None)
+        for threat, held in rules.items():
+            if (chosen := pick(threat, held)) is not None:
+                out = F.when(F.col(prediction) == threat, chosen).otherwise(out)
+        return out
+
+    staged = df.withColumns({
+        "_r": by_class(lambda c, rs: F.array(*[_rule_struct(i, r, c, policy, importances) for i, r in enumerate(rs)])
+                       if rs else None),
+        **{f"_v{i}": by_class(lambda c, rs, i=i: finite(q(rs[i].feature).cast("double")) if i < len(rs) else None)
+           for i in range(slots)}})
+    staged = staged.withColumns({f"_t{i}": F.when(F.col(f"_v{i}").isNull(), F.lit(2)).when(
+        is_notable(F.col(f"_v{i}"), F.get("_r", i), policy), F.lit(0)).otherwise(F.lit(1)) for i in range(slots)})
+    entries = [F.struct(F.col(f"_t{i}").alias("tier"), F.get("_r", i).alias("rule"), F.col(f"_v{i}").alias("value"))
+               for i in range(slots)]
+    tiers = [F.col(f"_t{i}") for i in range(slots)]
+    staged = staged.withColumns({
+        "_ranked": F.sort_array(F.array(*entries)),
+        "_notable": reduce(lambda a, b: a + b, [(t == 0).cast("int") for t in tiers]),
+        "_held": reduce(lambda a, b: a + b, [(t < 2).cast("int") for t in tiers])})
+    return staged.drop("_r", *[f"_v{i}" for i in range(slots)], *[f"_t{i}" for i in range(slots)])
 
 
 def with_evidence(df: DataFrame, policy: EvidencePolicy, importances: Mapping[str, float] = {},
                   prediction: str = "model_prediction") -> DataFrame:
-    """Add ``evidence_detail, evidence, evidence_method, aggregate_context``."""
-    quoted = dict.fromkeys(r.feature for rules in policy.rules.values() for r in rules if r.feature in df.columns)
-    usable = df.withColumns({f"_f_{f}": finite(q(f)) for f in quoted}) if quoted else df
-    ranked = usable.withColumn("_ranked", evidence_items(df.columns, F.col(prediction), policy, importances))
-    ranked = ranked.drop(*[f"_f_{f}" for f in quoted])
+    """Add ``evidence_detail, evidence, evidence_method, aggregate_context``.
+
+    At most ``max_items`` notable values, topped up with marked context values to
+    ``min_items``. Notable ones sort first, so the choice is a prefix.
+    """
     note = F.lit(None).cast("string")
     for threat, text in policy.aggregate_notes.items():
         note = F.when(F.col(prediction) == threat, F.lit(text)).otherwise(note)
-    items = ranked.withColumn("evidence_detail", pick_items(F.col("_ranked"), policy)).drop("_ranked")
+    judged = with_judged_rules(df, policy, importances, prediction)
+    count = F.greatest(F.least(F.col("_notable"), F.lit(policy.max_items)),
+                       F.least(F.col("_held"), F.lit(policy.min_items)))
+    judged = judged.withColumn("_chosen", F.slice("_ranked", F.lit(1), count)).drop("_ranked", "_notable", "_held")
+
+    def item(k: int) -> Column:
+        x = F.get("_chosen", k)
+        rule, value = x["rule"], x["value"]
+        context = F.concat(F.lit("For context only: this value is not unusual for "), rule["feature"], F.lit(" here."))
+        return F.struct(
+            rule["feature"].alias("feature"), value.alias("value"),
+            display_value(value, rule["unit"], rule["port"], rule["duration"], clocks=bool(policy.duration_features),
+                          ports=bool(policy.port_features)).alias("display"),
+            F.when(x["tier"] == 0, rule["why"]).otherwise(context).alias("why"),
+            comparison(value, rule, policy).alias("comparison"), rule["importance"].alias("importance")).cast(ITEM)
+
+    slots = max(policy.max_items, policy.min_items)
+    worded = judged.withColumns({f"_i{k}": F.when(F.size("_chosen") > k, item(k)) for k in range(slots)})
+    worded = worded.withColumn("evidence_detail", F.slice(
+        F.array(*[F.col(f"_i{k}") for k in range(slots)]), F.lit(1), F.size("_chosen")))
     # A feature may back two rules; its value is the same in both.
-    names = F.array_distinct(F.transform("evidence_detail", lambda x: F.struct(x["feature"], x["value"])))
-    return items.withColumns({"evidence": F.map_from_entries(names), "evidence_method": F.lit(METHOD),
-                              "aggregate_context": note})
+    pairs = F.array_distinct(F.arrays_zip(F.col("evidence_detail.feature").alias("f"),
+                                          F.col("evidence_detail.value").alias("v")))
+    return worded.withColumns({"evidence": F.map_from_entries(pairs), "evidence_method": F.lit(METHOD),
+                               "aggregate_context": note}).drop("_chosen", *[f"_i{k}" for k in range(slots)])
 
 
 # --- long-form lookups -----------------------------------------------------------

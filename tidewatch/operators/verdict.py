@@ -63,57 +63,56 @@ def worst_excursion(ref: DistributionReference) -> Column:
 
 
 def violations(ref: DistributionReference) -> Column:
-    """Array of violations, worst first; ties keep the feature order."""
-    items = [
-        F.when(_outside(f, b), F.struct(
-            (-_excursion(f, b)).alias("order_key"),
-            F.lit(i).alias("position"),
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.col(f"`{f}`").alias("value"),
-                F.array(F.lit(b.lower), F.lit(b.upper)).alias("training_range"),
-                F.lit(b.median).alias("training_median"),
-                F.when(_above(f, b), F.lit("above")).otherwise(F.lit("below")).alias("direction"),
-                _excursion(f, b).alias("excursion"),
-            ).alias("item")))
-        for i, (f, b) in enumerate(_bounded(ref))
-    ]
-    return F.transform(F.sort_array(F.array_compact(F.array(*items))), lambda s: s["item"])
-
-
-def violation_schema_items(items: Column) -> Column:
-    """Violations in the alert's published form (excursion rounded)."""
-    return F.transform(items, lambda v: F.struct(
-        v["feature"].alias("feature"), v["value"].alias("value"),
-        v["training_range"].alias("training_range"), v["training_median"].alias("training_median"),
-        v["direction"].alias("direction"),
-        F.bround(v["excursion"], 2).alias("excursion_range_widths")))
-
-
-def _describe(v: Column) -> Column:
-    lower, upper = v["training_range"][0], v["training_range"][1]
-    bound = F.when(v["direction"] == "above", upper).otherwise(lower)
-    return F.format_string(
-        "%s = %s is %s the training bound of %s (range [%s, %s], %sx the range width beyond it)",
-        v["feature"], significant(v["value"]), v["direction"], significant(bound),
-        significant(lower), significant(upper), grouped(v["excursion"], 1))
-
-
-def ood_reason(ref: DistributionReference, n: Column, items: Column, reliability: Column) -> Column:
-    total = str(len(ref.features))
-    worst = F.element_at(items, 1)
-    return (
-        F.when(reliability == UNRELIABLE, F.concat(
-            n.cast("string"), F.lit(f" of {total} features are out of the range seen in training, so the "
-                                    "model extrapolates and is not to be trusted. Worst: "), _describe(worst)))
-        .when((reliability == DEGRADED) & (n > 0), F.concat(
-            F.lit(f"1 of {total} features is out of the training range. Treat with caution. "),
-            _describe(worst)))
-        .when(reliability == DEGRADED, F.lit(
+    """Violations as ``order_key, position, item``, worst first; ties keep the
+    feature order. Needs ``n_violations``.
+
+    Every feature has an entry and those in range sort last, so the result is a
+    prefix and no lambda is needed; rows without a violation skip all of it.
+    """
+    entries = []
+    for i, (f, b) in enumerate(_bounded(ref)):
+        out = _outside(f, b)
+        excursion = F.greatest(F.col(f"`{f}`") - b.upper, b.lower - F.col(f"`{f}`")) / max(b.upper - b.lower, MIN_WIDTH)
+        entries.append(F.struct(
+            F.when(out, -excursion).otherwise(F.lit(float("inf"))).alias("order_key"), F.lit(i).alias("position"),
+            F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"),
+                     F.array(F.lit(b.lower), F.lit(b.upper)).alias("training_range"),
+                     F.lit(b.median).alias("training_median"),
+                     F.when(_above(f, b), F.lit("above")).otherwise(F.lit("below")).alias("direction"),
+                     F.bround(excursion, 2).alias("excursion_range_widths")).alias("item")))
+    n = F.col("n_violations")
+    ordered = F.sort_array(F.array(*entries))
+    return F.when(n > 0, F.slice(ordered, F.lit(1), n)).otherwise(F.slice(ordered, 1, 0))
+
+
+def with_reason(df: DataFrame, ref: DistributionReference) -> DataFrame:
+    """Add ``ood_reason``; the number texts are staged so each is built once."""
+    total, tier, n = str(len(ref.features)), F.col("reliability"), F.col("n_violations")
+    staged = df.withColumn("_w", F.get("violations", 0)).withColumns({
+        "_worst": F.col("_w.item"), "_excursion": -F.col("_w.order_key")})
+    some, worst = n > 0, F.col("_worst")
+    staged = staged.withColumns({
+        "_value": F.when(some, significant(worst["value"])),
+        "_low": F.when(some, significant(F.get(worst["training_range"], 0))),
+        "_high": F.when(some, significant(F.get(worst["training_range"], 1))),
+        "_times": F.when(some, grouped(F.col("_excursion"), 1))})
+    side = worst["direction"]
+    described = F.concat(
+        worst["feature"], F.lit(" = "), F.col("_value"), F.lit(" is "), side, F.lit(" the training bound of "),
+        F.when(side == "above", F.col("_high")).otherwise(F.col("_low")), F.lit(" (range ["), F.col("_low"),
+        F.lit(", "), F.col("_high"), F.lit("], "), F.col("_times"), F.lit("x the range width beyond it)"))
+    opening = F.when(tier == UNRELIABLE, F.concat(n.cast("string"), F.lit(
+        f" of {total} features are out of the range seen in training, so the model extrapolates and is not "
+        "to be trusted. Worst: "))).otherwise(
+        F.lit(f"1 of {total} features is out of the training range. Treat with caution. "))
+    reason = (
+        F.when(n > 0, F.concat(opening, described))
+        .when(tier == DEGRADED, F.lit(
             "All features are in range, but the benign-traffic novelty detector flagged this flow."))
-        .when(reliability == RELIABLE, F.lit(f"All {total} features are in the range seen in training."))
-        .otherwise(F.lit("No distribution reference was available."))
-    )
+        .when(tier == RELIABLE, F.lit(f"All {total} features are in the range seen in training."))
+        .otherwise(F.lit("No distribution reference was available.")))
+    return staged.withColumn("ood_reason", reason).drop(
+        "_w", "_worst", "_excursion", "_value", "_low", "_high", "_times")
 
 
 def reliability(n: Column, ref: DistributionReference | None, novelty_flagged: Column | None = None) -> Column:
@@ -162,13 +161,11 @@ def assess(df: DataFrame, ref: DistributionReference | None, *,
         return out
     if ref is None or not ref.bounds:
         none = F.array().cast(
-            "array<struct<feature:string,value:double,training_range:array<double>,"
-            "training_median:double,direction:string,excursion:double>>")
+            "array<struct<order_key:double,position:int,item:struct<feature:string,value:double,"
+            "training_range:array<double>,training_median:double,direction:string,excursion_range_widths:double>>>")
         return out.withColumns({"violations": none,
                                 "ood_reason": F.lit("No distribution reference was available.")})
-    full = out.withColumn("violations", violations(ref))
-    return full.withColumn("ood_reason", ood_reason(
-        ref, F.col("n_violations"), F.col("violations"), F.col("reliability")))
+    return with_reason(out.withColumn("violations", violations(ref)), ref)
 
 
 def correct(truth: Column, prediction: Column) -> Column:
@@ -176,9 +173,5 @@ def correct(truth: Column, prediction: Column) -> Column:
     return F.when(truth.isNotNull(), F.coalesce(truth == prediction, F.lit(False)))
 
 
-def ood_feature_names(items: Column) -> Column:
-    return F.transform(items, lambda v: v["feature"])
-
-
 def known(truth: Column, classes: Sequence[str]) -> Column:
     return F.coalesce(truth.isin(*classes), F.lit(False))

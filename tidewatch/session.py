@@ -65,6 +65,17 @@ def is_small(df: DataFrame) -> bool:
     return input_bytes(df) <= SMALL_INPUT_BYTES
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the plans rely on for speed, not for results.
+
+    The JVM does not compile methods over 8000 bytes of bytecode. A long chain of
+    projections fused into one such method would run interpreted; past this limit
+    Spark keeps them apart, in small methods that do get compiled.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -79,7 +90,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def local_session(cpus: int | str = "*", app: str = "tidewatch") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     parts = "8" if cpus == "*" else str(max(int(cpus), 2))
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.adaptive.enabled", "true")

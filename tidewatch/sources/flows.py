@@ -19,7 +19,6 @@ from tidewatch.spec import FlowSpec
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 CORRUPT = "_corrupt"
-REPLACEMENT = "�"
 
 
 def _base_name(path: F.Column) -> F.Column:
@@ -49,9 +48,9 @@ def explode_headers(lines: DataFrame) -> DataFrame:
 
 
 def undecodable_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files that are no UTF-8: read as such, they show the replacement character."""
+    """Files holding a line that is no valid UTF-8."""
     text = spark.read.text(list(paths))
-    return (text.filter(F.col("value").contains(REPLACEMENT))
+    return (text.filter(~F.is_valid_utf8("value"))
             .select(F.col("_metadata.file_path").alias("path")).distinct())
 
 
