@@ -26,7 +26,7 @@ NOVELTY = NoveltyPolicy(trees=100, sample_rows=256, contamination=0.01)
 
 
 def _labelled(spark, sf_dir):
-    return flows(spark, sf_dir).filter(F.col("truth").isin(*CLASSES)).withColumnRenamed("truth", TARGET).drop(
+    return flows(spark, sf_dir, heavy=True).filter(F.col("truth").isin(*CLASSES)).withColumnRenamed("truth", TARGET).drop(
         "model_prediction", "confidence")
 
 

@@ -168,7 +168,7 @@ _EVIDENCE_SQL = f"""WITH {FLOWS_SQL}, {_MED_SQL}, c AS ({_CANDIDATES}),
 
 
 def _evidence(spark, sf_dir):
-    return evidence.with_evidence(flows(spark, sf_dir), line_evidence(spark, sf_dir), LINE_IMPORTANCES)
+    return evidence.with_evidence(flows(spark, sf_dir, heavy=True), line_evidence(spark, sf_dir), LINE_IMPORTANCES)
 
 
 @query("op_evidence", f"""{_EVIDENCE_SQL} SELECT {CARRY_LIST}, model_prediction, count(*) AS items,
@@ -185,7 +185,7 @@ def _(spark, sf_dir):
 @query("fn_is_notable", f"""WITH {FLOWS_SQL}, {_MED_SQL}, c AS ({_CANDIDATES})
   SELECT {CARRY_LIST}, feature, pos, notable FROM c""")
 def _(spark, sf_dir):
-    judged = evidence.with_judged_rules(flows(spark, sf_dir), line_evidence(spark, sf_dir), LINE_IMPORTANCES,
+    judged = evidence.with_judged_rules(flows(spark, sf_dir, heavy=True), line_evidence(spark, sf_dir), LINE_IMPORTANCES,
                                         "model_prediction")
     rows = judged.select(*CARRY, F.explode("_ranked").alias("r")).filter(F.col("r.tier") < 2)
     return rows.select(*CARRY, "r.rule.feature", F.col("r.rule.position").alias("pos"), (F.col("r.tier") == 0).alias("notable"))

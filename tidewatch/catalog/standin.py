@@ -16,6 +16,7 @@ from tidewatch import cic
 from tidewatch.operators import verdict
 from tidewatch.operators.evidence import class_medians, medians_dict
 from tidewatch.plans import train as training
+from tidewatch.session import spread
 from tidewatch.spec import DistributionReference, EvidencePolicy, FlowSpec, Rule, TrainingPolicy
 
 SEED = 42
@@ -72,7 +73,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows in the shape a flow CSV is read in."""
-    return lineitem(spark, sf_dir).selectExpr(*CARRY, *_raw_select("STRING", "DOUBLE"))
+    return spread(lineitem(spark, sf_dir)).selectExpr(*CARRY, *_raw_select("STRING", "DOUBLE"))
 
 
 RAW_SQL = f"raw AS (SELECT {', '.join(CARRY)}, {', '.join(_raw_select('VARCHAR', 'DOUBLE'))} FROM lineitem)"
@@ -90,8 +91,10 @@ FLOW_COLUMNS = (
 )
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem(spark, sf_dir).selectExpr(*CARRY, *FLOW_COLUMNS)
+def flows(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` is for work per row that outweighs dealing the rows out."""
+    table = lineitem(spark, sf_dir)
+    return (spread(table) if heavy else table).selectExpr(*CARRY, *FLOW_COLUMNS)
 
 
 FLOWS_SQL = f"flows AS (SELECT {', '.join(CARRY)}, {', '.join(FLOW_COLUMNS)} FROM lineitem)"
@@ -136,7 +139,7 @@ def order_reference(spark: SparkSession, sf_dir: str) -> DistributionReference:
 
 
 def assessed(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFrame:
-    return verdict.assess(flows(spark, sf_dir), line_reference(spark, sf_dir), detail=detail)
+    return verdict.assess(flows(spark, sf_dir, heavy=detail), line_reference(spark, sf_dir), detail=detail)
 
 
 def order_alerts(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFrame:

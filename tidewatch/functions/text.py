@@ -27,13 +27,14 @@ def percent(share: Column) -> Column:
 
 
 def significant(value: Column, digits: int = 4) -> Column:
-    """General format with ``digits`` significant digits and separators."""
-    sci = F.format_string(f"%.{digits - 1}e", value)
-    parts = F.split(sci, "e")
-    exponent = F.try_element_at(parts, F.lit(2)).cast("int")  # NULL input splits to one part
+    """General format with ``digits`` significant digits and separators, ties to even."""
+    parts = F.split(F.call_function("format_number", value, F.lit("0." + "0" * (digits - 1) + "E0")), "E")
+    exponent = F.get(parts, 1).cast("int")
+    size = F.abs(exponent).cast("string")
+    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                     F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
     fixed = trim_decimal(grouped(value, F.lit(digits - 1) - exponent))
-    scientific = F.concat(
-        trim_decimal(F.element_at(parts, 1)), F.lit("e"), F.try_element_at(parts, F.lit(2)))
+    scientific = F.concat(trim_decimal(F.get(parts, 0)), power)
     return F.when(value == 0, F.lit("0")).when(exponent.between(-4, digits - 1), fixed).otherwise(scientific)
 
 
