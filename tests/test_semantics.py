@@ -9,6 +9,7 @@ from tidewatch import cic
 from tidewatch.functions import coerce, naming, text
 from tidewatch.functions import severity as sev
 from tidewatch.operators import alerts, evaluation, evidence, monitor, novelty, rows, verdict
+from tidewatch.session import scratch_path
 from tidewatch.spec import Bound, ContractError, DistributionReference, FlowSpec, NoveltyPolicy
 
 
@@ -100,7 +101,8 @@ def test_fixture_goldens(synthetic):
     tiles = monitor.tiles(synthetic).first()
     assert (tiles.flows, tiles.alerts, tiles.review, tiles.out_of_distribution) == (20, 10, 9, 10)
     counts = evaluation.feature_violations(synthetic, verdict.violation_flags(REFERENCE)).collect()
-    assert {r.feature: r.rows for r in counts} == {"ACK Flag Count": 11, "Total Length of Fwd Packets": 10, "SYN Flag Count": 10}
+    assert {r.feature: r.rows for r in counts} == {
+        "ACK Flag Count": 11, "Total Length of Fwd Packets": 10, "SYN Flag Count": 10, "Total Fwd Packets": 5}
     ddos = synthetic.filter("Label = 'DDoS'").select(F.round("ood_score", 4).alias("s"), "violations.item.feature").collect()
     assert sorted(r.s for r in ddos) == [0.8571, 0.8571, 0.8571, 0.8929, 0.8929]
     assert all(r.feature[:3] == ["SYN Flag Count", "Total Fwd Packets", "Total Length of Fwd Packets"] for r in ddos)
@@ -173,7 +175,9 @@ def test_contracts(spark):
 def test_alert_round_trip_and_damaged_lines(spark, synthetic):
     ready = evidence.with_evidence(synthetic.withColumn("flow_id", F.lit("F000001")), cic.CIC_EVIDENCE)
     built = alerts.build_alerts(ready, profile="BIDIRECTIONAL", mode="TEST", truth="Label")
-    lines = alerts.alert_json(built)
+    path = scratch_path(spark, "test-lines")
+    alerts.alert_json(built).write.text(path)
+    lines = spark.read.text(path)
     assert lines.select(F.size(alerts.alert_problems(F.col("value"))).alias("n")).filter("n > 0").isEmpty()
     broken = spark.createDataFrame([("",), ("{not json}",), ("[1]",), ("5",), ('{"flow_id":"F1","threat',)], "value string")
     back = alerts.parse_alerts(lines.union(broken))

@@ -210,8 +210,11 @@ def _(spark, sf_dir):
 
 # --- alerts -----------------------------------------------------------------------------
 
-def _alert_rows(spark, sf_dir):
-    rows = assessed(spark, sf_dir, detail=True).withColumns({
+def _alert_rows(spark, sf_dir, only_queued=False):
+    rows = assessed(spark, sf_dir, detail=True)
+    if only_queued:  # decided on the stored verdicts, so evidence is built for those rows only
+        rows = alert_ops.queued(score.stored(rows))
+    rows = rows.withColumns({
         "flow_id": flow_id(F.col("l_orderkey"), "S"), "src": F.col("l_suppkey").cast("string"),
         "dst": F.lit(None).cast("string"), "sport": F.col("l_partkey").cast("string"),
         "proto": F.col("l_linenumber").cast("string"), "when_seen": F.lit("nan")})
@@ -251,7 +254,7 @@ _QUEUE_SELECT = """SELECT printf('S%06d', l_orderkey) AS flow_id, reported_threa
 @query("sink_alert_queue", f"{LINE_SQL} {_QUEUE_SELECT}")
 def _(spark, sf_dir):
     path = scratch_path(spark, "alert-queue")
-    score.write_alert_queue(_alert_rows(spark, sf_dir), path)
+    score.write_alert_queue(_alert_rows(spark, sf_dir, only_queued=True), path)
     back = alert_ops.parse_alerts(spark.read.text(path))
     return back.select("flow_id", "threat_class", "severity", "is_alertable", "needs_review",
                        F.round("confidence", 4).alias("confidence"))

@@ -16,7 +16,7 @@ from tidewatch import cic
 from tidewatch.operators import verdict
 from tidewatch.operators.evidence import class_medians, medians_dict
 from tidewatch.plans import train as training
-from tidewatch.session import spread
+from tidewatch.session import materialize, spread
 from tidewatch.spec import DistributionReference, EvidencePolicy, FlowSpec, Rule, TrainingPolicy
 
 SEED = 42
@@ -142,12 +142,14 @@ def assessed(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFram
     return verdict.assess(flows(spark, sf_dir, heavy=detail), line_reference(spark, sf_dir), detail=detail)
 
 
-def order_alerts(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFrame:
-    """Orders as an alert table: verdict, flow id, truth and correctness."""
-    rows = verdict.assess(order_flows(spark, sf_dir), order_reference(spark, sf_dir), detail=detail)
-    return rows.withColumns({
+@lru_cache(maxsize=8)
+def order_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stored alert table: verdict, flow id, truth and correctness."""
+    rows = verdict.assess(order_flows(spark, sf_dir), order_reference(spark, sf_dir))
+    rows = rows.withColumns({
         "flow_id": F.format_string("F%06d", "seq"), "threat_class": F.col("reported_threat"),
         "ground_truth": F.col("truth"), "correct": verdict.correct(F.col("truth"), F.col("model_prediction"))})
+    return materialize(rows, "order-alerts")
 
 
 def split_sql(key: tuple[str, ...]) -> str:

@@ -34,7 +34,9 @@ def significant(value: Column, digits: int = 4) -> Column:
     power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
                      F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
     fixed = trim_decimal(grouped(value, F.lit(digits - 1) - exponent))
-    scientific = F.concat(trim_decimal(F.get(parts, 0)), power)
+    scaled = F.bround(value / F.pow(F.lit(10.0), exponent - (digits - 1)), 0)
+    mantissa = grouped(scaled / float(10 ** (digits - 1)), digits - 1)
+    scientific = F.concat(trim_decimal(mantissa), power)
     return F.when(value == 0, F.lit("0")).when(exponent.between(-4, digits - 1), fixed).otherwise(scientific)
 
 

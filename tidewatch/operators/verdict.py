@@ -42,11 +42,18 @@ def _outside(feature: str, b: Bound) -> Column:
 
 
 def _excursion(feature: str, b: Bound) -> Column:
-    """Range widths beyond the nearer bound; 0 inside."""
-    value, width = F.col(f"`{feature}`"), max(b.upper - b.lower, MIN_WIDTH)
-    return (F.when(_outside(feature, b) & _above(feature, b), (value - b.upper) / width)
-            .when(_outside(feature, b), (b.lower - value) / width)
-            .otherwise(F.lit(0.0)))
+    """Range widths beyond the nearer bound; NULL in range."""
+    value, width = F.col(f"`{feature}`"), F.lit(max(b.upper - b.lower, MIN_WIDTH))
+    return F.when(_outside(feature, b), F.try_divide(F.greatest(value - b.upper, b.lower - value), width))
+
+
+def with_excursions(df: DataFrame, ref: DistributionReference) -> DataFrame:
+    """Add ``_x<i>`` per bounded feature: what all else is derived from."""
+    return df.withColumns({f"_x{i}": _excursion(f, b) for i, (f, b) in enumerate(_bounded(ref))})
+
+
+def _excursions(ref: DistributionReference) -> list[Column]:
+    return [F.col(f"_x{i}") for i in range(len(_bounded(ref)))]
 
 
 def violation_flags(ref: DistributionReference) -> dict[str, Column]:
@@ -58,28 +65,22 @@ def violation_count(ref: DistributionReference) -> Column:
     return reduce(lambda a, b: a + b, [_outside(f, b).cast("int") for f, b in _bounded(ref)], F.lit(0))
 
 
-def worst_excursion(ref: DistributionReference) -> Column:
-    return reduce(F.greatest, [_excursion(f, b) for f, b in _bounded(ref)], F.lit(0.0))
-
-
 def violations(ref: DistributionReference) -> Column:
     """Violations as ``order_key, position, item``, worst first; ties keep the
-    feature order. Needs ``n_violations``.
+    feature order. Needs ``n_violations`` and the columns of :func:`with_excursions`.
 
     Every feature has an entry and those in range sort last, so the result is a
     prefix and no lambda is needed; rows without a violation skip all of it.
     """
     entries = []
-    for i, (f, b) in enumerate(_bounded(ref)):
-        out = _outside(f, b)
-        excursion = F.greatest(F.col(f"`{f}`") - b.upper, b.lower - F.col(f"`{f}`")) / max(b.upper - b.lower, MIN_WIDTH)
+    for i, ((f, b), x) in enumerate(zip(_bounded(ref), _excursions(ref))):
         entries.append(F.struct(
-            F.when(out, -excursion).otherwise(F.lit(float("inf"))).alias("order_key"), F.lit(i).alias("position"),
+            F.coalesce(-x, F.lit(float("inf"))).alias("order_key"), F.lit(i).alias("position"),
             F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"),
                      F.array(F.lit(b.lower), F.lit(b.upper)).alias("training_range"),
                      F.lit(b.median).alias("training_median"),
                      F.when(_above(f, b), F.lit("above")).otherwise(F.lit("below")).alias("direction"),
-                     F.bround(excursion, 2).alias("excursion_range_widths")).alias("item")))
+                     F.bround(x, 2).alias("excursion_range_widths")).alias("item")))
     n = F.col("n_violations")
     ordered = F.sort_array(F.array(*entries))
     return F.when(n > 0, F.slice(ordered, F.lit(1), n)).otherwise(F.slice(ordered, 1, 0))
@@ -147,8 +148,10 @@ def assess(df: DataFrame, ref: DistributionReference | None, *,
             "reliability": F.lit(UNKNOWN), "in_distribution": F.lit(None).cast("boolean"),
             "ood_score": F.lit(0.0)})
     else:
-        counted = df.withColumns({"n_violations": violation_count(ref),
-                                  "worst_excursion": worst_excursion(ref)})
+        beyond = _excursions(ref)
+        counted = with_excursions(df, ref).withColumns({
+            "n_violations": reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in beyond], F.lit(0)),
+            "worst_excursion": reduce(F.greatest, [F.coalesce(x, F.lit(0.0)) for x in beyond], F.lit(0.0))})
         tier = reliability(F.col("n_violations"), ref, novelty_flagged)
         out = counted.withColumns({
             "reliability": tier,
@@ -157,15 +160,16 @@ def assess(df: DataFrame, ref: DistributionReference | None, *,
     out = out.withColumn("reported_threat", F.when(
         F.col("reliability") == UNRELIABLE, F.lit(OOD_CLASS)).otherwise(F.col(prediction)))
     out = sev.assess(out, confidence=confidence, prediction=prediction, policy=policy)
+    scratch = [] if ref is None else [f"_x{i}" for i in range(len(_bounded(ref)))]
     if not detail:
-        return out
+        return out.drop(*scratch)
     if ref is None or not ref.bounds:
         none = F.array().cast(
             "array<struct<order_key:double,position:int,item:struct<feature:string,value:double,"
             "training_range:array<double>,training_median:double,direction:string,excursion_range_widths:double>>>")
         return out.withColumns({"violations": none,
                                 "ood_reason": F.lit("No distribution reference was available.")})
-    return with_reason(out.withColumn("violations", violations(ref)), ref)
+    return with_reason(out.withColumn("violations", violations(ref)).drop(*scratch), ref)
 
 
 def correct(truth: Column, prediction: Column) -> Column:

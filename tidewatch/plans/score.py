@@ -14,6 +14,7 @@ from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import evaluation, evidence, forest, novelty, quality, verdict
 from tidewatch.operators.rows import flow_id
 from tidewatch.plans.train import TrainedProfile
+from tidewatch.session import materialize
 from tidewatch.spec import EvidencePolicy, FlowSpec, NoveltyPolicy, TARGET
 
 
@@ -83,5 +84,16 @@ def write_summary(table: DataFrame, path: str) -> None:
      .partitionBy("input", "profile").parquet(path))
 
 
+def stored(assessed_rows: DataFrame) -> DataFrame:
+    """The scored table, written once for all that follows.
+
+    Some twenty reports and the alert queue read it. It also keeps the optimizer
+    from pushing a report's filter, and with it a copy of every expression the
+    filter rests on, down through the whole scoring chain.
+    """
+    return materialize(assessed_rows, "scored")
+
+
 def write_alert_queue(alert_rows: DataFrame, path: str) -> None:
-    alert_ops.alert_json(alert_ops.queued(alert_rows)).write.mode("overwrite").text(path)
+    """Alerts of both queues as JSON lines; ``alert_rows`` holds queued rows only."""
+    alert_ops.alert_json(alert_rows).write.mode("overwrite").text(path)
