@@ -132,11 +132,11 @@ def _(spark, sf_dir):
     return mapped.select(*CARRY, *[F.round(F.col("m")[c], 3).alias(c.lower()) for c in _NAMES])
 
 
-_P_UNION = " UNION ALL ".join(f"SELECT {CARRY_LIST}, '{c}' AS class, {c} AS p FROM p" for c in _NAMES)
+_P_UNION = " UNION ALL ".join(f"SELECT rid, {CARRY_LIST}, '{c}' AS class, {c} AS p FROM p" for c in _NAMES)
 
 
-@query("rank_probabilities", f"""WITH p AS (SELECT {CARRY_LIST}, {_P_SQL} FROM lineitem), u AS ({_P_UNION})
-  SELECT {CARRY_LIST}, string_agg(class, ',' ORDER BY p DESC, class) AS ranked FROM u GROUP BY ALL""")
+@query("rank_probabilities", f"""WITH p AS (SELECT row_number() OVER () AS rid, {CARRY_LIST}, {_P_SQL} FROM lineitem), u AS ({_P_UNION})
+  SELECT {CARRY_LIST}, string_agg(class, ',' ORDER BY p DESC, class) AS ranked FROM u GROUP BY rid, {CARRY_LIST}""")
 def _(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*CARRY, F.expr(_P_ARRAY).alias("p"))
     pairs = F.transform(F.arrays_zip(F.array(*[F.lit(c) for c in _NAMES]).alias("class"), F.col("p")),
@@ -158,12 +158,14 @@ def _notable_sql(alias_threat: str, feature: str, direction: str) -> str:
 _MED_SQL = "m AS (SELECT " + ", ".join(
     f"quantile_cont({f}, 0.5) FILTER (truth = '{c}') AS {f}_{c}" for f in LINE_FEATURES for c in CLASSES) + " FROM flows)"
 _CANDIDATES = " UNION ALL ".join(
-    f"SELECT {CARRY_LIST}, model_prediction, '{r.feature}' AS feature, {r.feature} AS value, {i} AS pos, "
+    f"SELECT rid, {CARRY_LIST}, model_prediction, '{r.feature}' AS feature, {r.feature} AS value, {i} AS pos, "
     f"{LINE_IMPORTANCES[r.feature]} AS importance, {_notable_sql(c, r.feature, r.direction)} AS notable "
-    f"FROM flows, m WHERE model_prediction = '{c}'" for c, rs in LINE_RULES.items() for i, r in enumerate(rs))
-_EVIDENCE_SQL = f"""WITH {FLOWS_SQL}, {_MED_SQL}, c AS ({_CANDIDATES}),
-  k AS (SELECT *, row_number() OVER (PARTITION BY {CARRY_LIST}, notable ORDER BY importance DESC, pos) AS place,
-    count(*) FILTER (notable) OVER (PARTITION BY {CARRY_LIST}) AS n FROM c),
+    f"FROM numbered, m WHERE model_prediction = '{c}'" for c, rs in LINE_RULES.items() for i, r in enumerate(rs))
+# Keys of two flows may be equal (they are once at sf0.001), so SQL numbers the rows.
+_NUMBERED = "numbered AS (SELECT *, row_number() OVER () AS rid FROM flows)"
+_EVIDENCE_SQL = f"""WITH {FLOWS_SQL}, {_NUMBERED}, {_MED_SQL}, c AS ({_CANDIDATES}),
+  k AS (SELECT *, row_number() OVER (PARTITION BY rid, notable ORDER BY importance DESC, pos) AS place,
+    count(*) FILTER (notable) OVER (PARTITION BY rid) AS n FROM c),
   e AS (SELECT * FROM k WHERE (notable AND place <= 4) OR (NOT notable AND place <= greatest(2 - least(n, 4), 0)))"""
 
 
@@ -173,7 +175,7 @@ def _evidence(spark, sf_dir):
 
 @query("op_evidence", f"""{_EVIDENCE_SQL} SELECT {CARRY_LIST}, model_prediction, count(*) AS items,
     string_agg(feature, ',' ORDER BY notable DESC, place) AS features, round(sum(value), 4) AS value_sum
-  FROM e GROUP BY ALL""")
+  FROM e GROUP BY rid, {CARRY_LIST}, model_prediction""")
 def _(spark, sf_dir):
     items = F.col("evidence_detail")
     return _evidence(spark, sf_dir).select(
@@ -182,7 +184,7 @@ def _(spark, sf_dir):
         F.round(F.aggregate(items, F.lit(0.0), lambda a, x: a + x["value"]), 4).alias("value_sum"))
 
 
-@query("fn_is_notable", f"""WITH {FLOWS_SQL}, {_MED_SQL}, c AS ({_CANDIDATES})
+@query("fn_is_notable", f"""WITH {FLOWS_SQL}, {_NUMBERED}, {_MED_SQL}, c AS ({_CANDIDATES})
   SELECT {CARRY_LIST}, feature, pos, notable FROM c""")
 def _(spark, sf_dir):
     judged = evidence.with_judged_rules(flows(spark, sf_dir, heavy=True), line_evidence(spark, sf_dir), LINE_IMPORTANCES,
