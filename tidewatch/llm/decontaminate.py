@@ -16,19 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col
-from tidewatch.llm.text import Words, annotate, chunks, grams, structs, words
+from tidewatch.llm.text import Words, annotate, chunks, fields, grams, structs, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 SLICE = 1 << 16
 
-FOUND = ("n_words long, n_hit long, items array<string>, longest_words long, longest_item string, "
-         "longest_at long")
+FOUND = fields(n_words="long", n_hit="long", items="string[]", longest_words="long", longest_item="string",
+               longest_at="long")
 
 
 class Block(NamedTuple):
@@ -216,16 +215,15 @@ def contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item
     ``null``. ``longest_at`` counts words from 0. Empty tables give no rows, or no hits.
     """
     blocks = blocks_of(bench, item_id, item_text, window)
-    schema = T.StructType.fromDDL(FOUND)
 
     def work(texts: pa.Array) -> pa.Array:
-        parts: dict[str, list] = {f.name: [] for f in schema}
+        parts: dict[str, list] = {f.name: [] for f in FOUND}
         for shard in chunks(texts, SHARD_BYTES):
             for name, values in scan(words(shard), [b.value for b in blocks], window).items():
                 parts[name] += values
-        return structs(schema, parts)
+        return structs(FOUND, parts)
 
-    return annotate(docs, text, schema, work, keep=keep)
+    return annotate(docs, text, FOUND, work, keep=keep)
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

@@ -23,12 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.llm.components import components
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col, materialize, packed
-from tidewatch.llm.text import U, Words, annotate, chunks, grams, mix, powers, structs, words
+from tidewatch.llm.text import U, Words, annotate, chunks, fields, grams, mix, powers, structs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 # A pair at exactly 0.8 shares no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -55,7 +54,7 @@ def registers(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts:
     arrival = 0
     while len(h):
         arrival += 1
-        draw = mix(h + U(arrival) * STEP)
+        draw = mix(h + U(arrival * int(STEP) % (1 << 64)))
         time = time - np.log(((draw >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / w
         slot = o * k + ((mix(draw ^ OTHER) >> U(32)) * U(k) >> U(32)).astype(np.int64)
         sooner = np.flatnonzero(time < best[slot])
@@ -85,7 +84,7 @@ def _sequence_hash(found: Words) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(U)))
 
 
-SIGNED = T.StructType.fromDDL("node long, bands array<long>")
+SIGNED = fields(node="long", bands="long[]")
 
 
 def signed(texts: pa.Array, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> pa.Array:

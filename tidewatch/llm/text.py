@@ -159,6 +159,15 @@ def annotate(docs: DataFrame, text: str, found: T.StructType, work: Callable[[pa
     return docs.select(whole).mapInArrow(run, schema)
 
 
+def fields(**kinds: str) -> T.StructType:
+    """A schema from type names; ``long[]`` is an array of long."""
+    out = T.StructType()
+    for name, kind in kinds.items():
+        plain = T.StructType().add("x", kind.removesuffix("[]"))["x"].dataType
+        out.add(name, T.ArrayType(plain) if kind.endswith("[]") else plain)
+    return out
+
+
 def structs(schema: T.StructType, columns: dict[str, object]) -> pa.Array:
     """A struct array in the order of ``schema`` from columns of equal length."""
     arrow = to_arrow_schema(schema)
