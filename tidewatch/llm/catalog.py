@@ -1,6 +1,6 @@
 """All queries of this subpackage, by operator."""
 
-from tidewatch.llm import decontaminate, mixing, neardup, secrets  # noqa: F401
+from tidewatch.llm import decontaminate, langid, mixing, neardup, secrets, substrings  # noqa: F401
 from tidewatch.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.components import components
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col, materialize, packed
-from tidewatch.llm.text import U, Words, annotate, chunks, fields, grams, mix, powers, structs, words
+from tidewatch.llm.text import SQUEEZED, U, Words, annotate, chunks, expand, fields, grams, mix, powers, squeeze, structs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 # A pair at exactly 0.8 shares no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -143,11 +143,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                close = similarities(batch.column(2), batch.column(3)) >= threshold - 1e-12
+                close = similarities(expand(batch.column(2)), expand(batch.column(3))) >= threshold - 1e-12
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close))
 
-    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left, right = (texts.select(F.col("node").alias(n), F.col("z").alias(f"z_{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "z_a", "z_b")
     return materialize(both.mapInArrow(run, "a long, b long"), "neardup-links")
 
 
@@ -161,7 +161,8 @@ def links(base: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     # One row of each node that shares a band supplies its text.
     some = sig.join(shared.select("node").distinct(), "node", "left_semi")
     some = some.groupBy("node").agg(F.min("id").alias("id"), F.min_by("tk", "id").alias("tk"))
-    texts = base.join(some.hint("shuffle_hash"), ["tk", "id"]).select("node", "text").dropDuplicates(["node"])
+    small = annotate(base, "text", SQUEEZED, squeeze, keep=["tk", "id"]).select("row.*", "found.z")
+    texts = small.join(some.hint("shuffle_hash"), ["tk", "id"]).select("node", "z").dropDuplicates(["node"])
     texts = materialize(texts, "neardup-texts")
 
     tried = materialize(shared.filter("node > least").select(

@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,3 +175,18 @@ def structs(schema: T.StructType, columns: dict[str, object]) -> pa.Array:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(f.name).type)
               for f in schema for c in [columns[f.name]]]
     return pa.StructArray.from_arrays(arrays, fields=list(arrow))
+
+
+SQUEEZED = fields(z="binary")
+
+
+def squeeze(texts: pa.Array) -> pa.Array:
+    """Each text by itself as a zstd frame: what shuffles of whole texts carry."""
+    press = zstandard.ZstdCompressor(level=1)
+    column = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    return structs(SQUEEZED, {"z": [press.compress(t.as_buffer()) for t in column]})
+
+
+def expand(frames: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(z.as_buffer()) for z in frames], pa.large_binary())
