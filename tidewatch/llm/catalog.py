@@ -1,6 +1,7 @@
 """All queries of this subpackage, by operator."""
 
-from tidewatch.llm import decontaminate, langid, mixing, neardup, secrets, substrings  # noqa: F401
+from tidewatch.llm import (  # noqa: F401
+    decontaminate, forest, langid, mixing, neardup, pii, secrets, substrings, tokencount, warc)
 from tidewatch.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
