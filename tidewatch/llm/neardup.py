@@ -9,10 +9,10 @@ per shingle. Runs of registers make band keys; texts that share a band are verif
 with the exact similarity.
 
 Texts with the same words are one node from the start. In every shared band each
-node is compared with the band's least node; only where that leaves a band in more
-than one component are its members of different components compared as well. A
-thousand near copies thus cost a thousand comparisons, and still no link that would
-join two classes is left out.
+node is compared with the band's lead, the node that shares most bands with others;
+only where that leaves a band in more than one component are its members of different
+components compared as well. A thousand near copies thus cost about a thousand
+comparisons, and still no link that would join two classes is left out.
 """
 
 from __future__ import annotations
@@ -154,9 +154,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def links(base: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     """Verified links ``(a, b)`` between nodes: enough to tell every class."""
     bucket = sig.filter("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
-    shared = bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = bucket.join(shared.filter("least < most").drop("most"), "bucket").distinct()
+    several = bucket.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = bucket.join(several.filter("low < high").select("bucket"), "bucket").distinct()
     shared = materialize(shared, "neardup-shared")
+    # The member that shares most bands with others leads: of the copies of one text,
+    # that is the text itself, which is closer to each than they are to each other.
+    size = shared.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = shared.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    leads = shared.join(weight, "node").groupBy("bucket").agg(F.max_by("node", "weight").alias("lead"))
 
     # One row of each node that shares a band supplies its text.
     some = sig.join(shared.select("node").distinct(), "node", "left_semi")
@@ -165,8 +170,8 @@ def links(base: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     texts = small.join(some.hint("shuffle_hash"), ["tk", "id"]).select("node", "z").dropDuplicates(["node"])
     texts = materialize(texts, "neardup-texts")
 
-    tried = materialize(shared.filter("node > least").select(
-        F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "neardup-tried")
+    tried = materialize(shared.join(leads, "bucket").filter("node <> lead").select(
+        F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "neardup-tried")
     found = _verified(tried, texts, threshold)
 
     # Bands whose members are not all in one component yet.
