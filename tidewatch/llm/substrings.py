@@ -88,9 +88,9 @@ def _sampled(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def _stretches(texts: DataFrame, length: int) -> DataFrame:
     """Bytes of each candidate's windows; equal stretches of a batch are sent once.
 
-    Rows with ``body`` go to the bucket of their gram; rows without say that all
-    windows of the stretch repeat (seen twice here); hot grams give one row per
-    window, with its fingerprint in ``gram``.
+    Rows with ``body`` go to the bucket of their gram; rows without say that these
+    windows repeat (seen twice here). Hot grams give one row per distinct window of
+    a batch, with its fingerprint in ``gram`` and ``seen`` below 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,17 +112,20 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
                 bodies = [chunk.data[start[c]:end[c]].tobytes() for c in cold[index].tolist()]
                 again = cold[counts[which] > 1]
                 parts = [(gram[i:j][cold[index]], row[cold[index]], low[i:j][cold[index]], high[i:j][cold[index]],
-                          np.minimum(counts, 2), bodies),
-                         (gram[i:j][again], row[again], low[i:j][again], high[i:j][again],
-                          np.full(len(again), 2), [None] * len(again))]
+                          np.minimum(counts, 2), bodies)]
+                over = [(row[again], low[i:j][again], high[i:j][again])]
                 warm = np.flatnonzero(hot[i:j])
                 if len(warm):
                     n = high[i:j][warm] - low[i:j][warm] + 1
                     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    s = np.repeat(start[warm], n) + step
-                    where = np.repeat(low[i:j][warm], n) + step
-                    parts.append((span_hash(prefix, s, s + length).view(np.int64), np.repeat(row[warm], n), where, where,
-                                  np.zeros(len(s), dtype=np.int64), [None] * len(s)))
+                    s, r, at_ = np.repeat(start[warm], n) + step, np.repeat(row[warm], n), np.repeat(low[i:j][warm], n) + step
+                    rank, index, which, counts = np.unique(
+                        span_hash(prefix, s, s + length), return_index=True, return_inverse=True, return_counts=True)
+                    parts.append((rank.view(np.int64), r[index], at_[index], at_[index], -np.minimum(counts, 2), [None] * len(rank)))
+                    twice = counts[which] > 1
+                    over.append((r[twice], at_[twice], at_[twice]))
+                r, a, b = _merged(*(np.concatenate(x) for x in zip(*over)))
+                parts.append((np.zeros(len(r), dtype=np.int64), r, a, b, np.full(len(r), 2), [None] * len(r)))
                 for g, r, a, b, seen, body in parts:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(g), pa.array(tk[r]), pa.array(tk2[r]), pa.array(a.astype(np.int32)),
@@ -133,6 +136,18 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
         run, "gram long, tk long, tk2 long, low int, high int, seen int, body binary")
 
 
+def _merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows, with those that overlap or touch in one row put together."""
+    order = np.lexsort((low, row))
+    row, low, high = row[order].astype(np.int64), low[order].astype(np.int64), high[order].astype(np.int64)
+    if not len(row):
+        return row, low, high
+    reach = np.maximum.accumulate(high + (row << 32)) - (row << 32)  # rows are in order, so earlier ones end lower
+    head = np.concatenate([[True], (np.diff(row) != 0) | (low[1:] > reach[:-1] + 1)])
+    at = np.flatnonzero(head)
+    return row[at], low[at], reach[np.append(at[1:], len(row)) - 1]
+
+
 def _runs(first: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge window starts (ascending within ``first``) into byte stretches."""
     head = np.concatenate([[True], (np.diff(first) != 0) | (np.diff(starts) != 1)])
@@ -211,8 +226,8 @@ def repeated_spans(base: DataFrame, length: int, gram: int, hot: int) -> DataFra
     stretch = materialize(_stretches(some, length), "substr-stretches")
     local = stretch.filter("body IS NULL AND seen > 1").select(
         "tk", "tk2", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
-    windows = stretch.filter("seen = 0").select("gram", "tk", "tk2", "low")
-    twice = windows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    windows = stretch.filter("seen < 0").select("gram", "tk", "tk2", "low", "seen")
+    twice = windows.groupBy("gram").agg(F.sum("seen").alias("n")).filter("n < -1").select("gram")
     dealt = windows.join(twice, "gram").select("tk", "tk2", F.col("low").alias("start"), (F.col("low") + length).alias("end"))
     copies = one.filter("copies > 1").select("tk", "tk2", F.lit(0).alias("start"), F.col("size").alias("end"))
     spans = _sorted_buckets(stretch, length).union(local).union(dealt).union(copies)
