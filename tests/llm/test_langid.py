@@ -29,7 +29,7 @@ def test_held_out_accuracy_and_mixtures(spark):
 
 
 def test_odd_rows(odd, nothing):
-    model = trained(odd)
+    model = fit(odd, "text", "lang")
     got = predict(odd, model).select("row.doc_id", "row.text", "row.found", "found.lang_pred", "found.score").collect()
     assert len(got) == len(ODD) and all(r["found"] == "clash" for r in got)
     said = {r["doc_id"]: r["lang_pred"] for r in got}

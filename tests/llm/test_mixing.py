@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm.mixing import CYCLE, cycled, mix, repeated
 
@@ -29,14 +30,16 @@ def test_targets_and_words_taken(spark, counts):
 
 
 def test_odd_rows_and_reruns(odd, nothing):
-    got = mix(odd, weigh=cycled(CYCLE))
-    rows = got.select("row.doc_id", "row.text", "row.size", got["size"], "copies", "taken", "source_size").collect()
+    def taken():
+        got = mix(odd, weigh=cycled(CYCLE))
+        return got.select("row.doc_id", "row.text", F.col("row.size").alias("own"), "size", "copies", "taken", "source_size").collect()
+
+    rows = taken()
     assert len(rows) == odd.count()
-    assert all(r[2] == "clash" for r in rows)
+    assert all(r["own"] == "clash" for r in rows)
     assert all(r["copies"] == 0 == r["taken"] for r in rows if not (r["text"] or "").strip())
     twins = [r["copies"] for r in rows if r["doc_id"] == 5]
     assert twins[0] == twins[1]
-    assert sorted(map(str, rows)) == sorted(map(str, mix(odd, weigh=cycled(CYCLE)).select(
-        "row.doc_id", "row.text", "row.size", got["size"], "copies", "taken", "source_size").collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, taken()))
     assert mix(nothing, weigh=cycled(CYCLE)).count() == 0
-    assert repeated(got).count() == sum(r["copies"] for r in rows)
+    assert repeated(mix(odd, weigh=cycled(CYCLE))).count() == sum(r["copies"] for r in rows)

@@ -89,6 +89,12 @@ def _sequence(items) -> Query:
         if part is not None and len(run) * len(part) <= MAX_STRINGS:
             run = {a + b for a in run for b in part}
             continue
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[0] >= 1:
+            once = _exact_sequence(arg[2])
+            if once is not None and len(run) * len(once) <= MAX_STRINGS:
+                # The first copy follows what came before, the last leads what comes next.
+                query, run = _and(query, _of_strings({a + b for a in run for b in once})), once
+                continue
         query, run = _and(query, _of_strings(run)), {""}
         if part is not None:
             run = part
