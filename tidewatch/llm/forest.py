@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col, materialize
 
-TREES, BITS = 64, 32
-VISITS = 10_000       # entries met over all trees of a shard before the ascent ends
+TREES, BITS = 128, 32
+VISITS = 4000         # entries met over all trees of a shard before the ascent ends
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 
