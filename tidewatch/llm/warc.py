@@ -67,9 +67,14 @@ def planned(pages: DataFrame, min_bytes: int, page_id: str, url: str, html: str)
 
 
 def dictionary(records: DataFrame) -> bytes:
-    """Trained on a bounded sample of payloads, the first by digest; raw content if they are too few."""
+    """Trained on a bounded sample of payloads, the first by digest; raw content if they are too few.
+
+    Tasks send digests to choose from; only the chosen payloads follow.
+    """
     some = records.filter(f"octet_length(payload) BETWEEN 1 AND {SAMPLE_BYTES}").select("digest", "payload")
-    samples = [bytes(r["payload"]) for r in some.orderBy("digest").limit(SAMPLE_ROWS).collect()]
+    chosen = [r["digest"] for r in some.select("digest").distinct().orderBy("digest").limit(SAMPLE_ROWS).collect()]
+    found = some.filter(F.col("digest").isin(chosen)).dropDuplicates(["digest"]) if chosen else some.limit(0)
+    samples = [bytes(r["payload"]) for r in found.orderBy("digest").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
