@@ -1,4 +1,6 @@
-"""The large-input forms give what the small-input forms give, skew included."""
+"""Sampling, quantiles and numbering are exact under skew and ties."""
+
+import hashlib
 
 import numpy as np
 import pytest
@@ -26,7 +28,7 @@ PROBS = [0.0, 0.001, 0.25, 0.5, 0.95, 0.999, 1.0]
 @pytest.mark.parametrize("by", [None, "cls"])
 def test_counting_quantiles_are_exact(skewed, by):
     groups = ["big", "rare"] if by else ()
-    out = exact_quantiles(skewed, ["x", "y"], PROBS, by=by, groups=groups, method="counting").collect()
+    out = exact_quantiles(skewed, ["x", "y"], PROBS, by=by, groups=groups).collect()
     table = skewed.toPandas()
     assert len(out) == (4 if by else 2)
     for r in out:
@@ -40,27 +42,35 @@ def test_counting_quantiles_are_exact(skewed, by):
 @given(st.lists(st.floats(-1e12, 1e12, allow_nan=False), min_size=1, max_size=60), st.floats(0, 1))
 def test_counting_quantiles_of_any_values(spark, values, prob):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    r = exact_quantiles(df, ["x"], [prob], method="counting").first()
+    r = exact_quantiles(df, ["x"], [prob]).first()
     np.testing.assert_allclose(r["values"][0], np.quantile(values, prob), rtol=1e-9, atol=1e-9)
 
 
 @pytest.mark.parametrize("kwargs", [{"cap": 500}, {"cap": 10**6}, {"cap": 0}, {"share": 0.25}, {"share": 1.0}])
-def test_counting_sample_equals_window_sample(skewed, kwargs):
-    args = dict(groups=["big", "rare", "absent"], **kwargs)
-    a = sampling.mark_lowest(skewed, "cls", ["id"], 42, method="window", **args)
-    b = sampling.mark_lowest(skewed, "cls", ["id"], 42, method="counting", **args)
-    assert a.select("id", "taken").exceptAll(b.select("id", "taken")).isEmpty()
-    assert b.count() == 9000
-    if "cap" in kwargs:
-        taken = {r[0]: r[1] for r in b.filter("taken").groupBy("cls").count().collect()}
-        assert taken.get("big", 0) == min(8000, kwargs["cap"]) and taken.get("rare", 0) == min(1000, kwargs["cap"])
+def test_sample_takes_the_first_by_hash(skewed, kwargs):
+    got = sampling.mark_lowest(skewed, "cls", ["id"], 42, groups=["big", "rare", "absent"], **kwargs).select("id", "cls", "taken")
+    table = got.toPandas()
+    table["h"] = [hashlib.md5(f"42|{i}".encode()).hexdigest() for i in table["id"]]
+    assert len(table) == 9000
+    for _, part in table.groupby("cls"):
+        quota = kwargs.get("cap", round(kwargs.get("share", 0) * len(part)))
+        assert set(part[part["taken"]]["id"]) == set(part.sort_values("h")["id"][:quota])
+
+
+@pytest.mark.parametrize("cap", [1, 5, 10, 13, 19, 20])
+def test_cap_is_exact_for_tied_keys_and_copies(spark, cap):
+    """Two keys of ten rows each, some of them equal in every column."""
+    df = spark.createDataFrame([(k, "a", "same" if i < 7 else str(i)) for k in (1, 2) for i in range(10)],
+                               "k long, cls string, rest string").repartition(3)
+    out = sampling.class_cap(df, "cls", ["k"], cap, 1, ["a"])
+    assert out.count() == cap and out.columns == df.columns
+    assert out.exceptAll(df).isEmpty()
 
 
 def test_cap_keeps_unlabelled_rows(spark):
     df = spark.createDataFrame([(i, "a" if i < 6 else None) for i in range(10)], "id long, cls string")
-    for method in ("window", "counting"):
-        out = sampling.class_cap(df, "cls", ["id"], 2, 1, ["a"], method=method)
-        assert out.filter("cls IS NULL").count() == 4 and out.filter("cls = 'a'").count() == 2
+    out = sampling.class_cap(df, "cls", ["id"], 2, 1, ["a"])
+    assert out.filter("cls IS NULL").count() == 4 and out.filter("cls = 'a'").count() == 2
 
 
 def test_split_repeats_whatever_the_partitioning(skewed):

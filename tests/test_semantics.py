@@ -178,9 +178,9 @@ def test_evidence_of_typical_flows(spark):
     out = evidence.with_evidence(df, cic.CIC_EVIDENCE, weights).collect()
     scan = out[0].evidence_detail
     assert [x.feature for x in scan] == list(weights)
-    assert scan[0].comparison.startswith("port 3527 (registered range") and scan[0].display == "3527"
-    assert scan[1].comparison == "zero, against a benign median of 39 bytes"
-    assert scan[3].comparison == "974.0x below the benign median of 48,699 us (0.049 s)"
+    assert scan[0].comparison.startswith("port 3527, registered") and scan[0].display == "3527"
+    assert scan[1].comparison == "nothing, where the middle of benign flows is 39 bytes"
+    assert scan[3].comparison == "974.0 times less than the middle of benign flows: 48,699 us (0.049 s)"
     assert out[0].evidence["Flow Duration"] == 50.0
     assert [x.why[:16] for x in out[1].evidence_detail] == ["For context only"] * 2  # values contradict the class
     assert out[2].evidence_detail == [] and out[2].aggregate_context is None

@@ -163,7 +163,7 @@ def _(spark, sf_dir):
 
 @query("sample_class_cap_counting", f"WITH {_capped_sql(CAP)} SELECT * FROM capped")
 def _(spark, sf_dir):
-    return sampling.class_cap(_complete(spark, sf_dir), TARGET, CARRY, CAP, SEED, CLASSES, method="counting")
+    return sampling.class_cap(_complete(spark, sf_dir), TARGET, CARRY, CAP, SEED, CLASSES)
 
 
 _ORDER_HASH = f"md5(concat_ws('|', '{SEED}', CAST(seq AS VARCHAR)))"
@@ -181,7 +181,7 @@ def _(spark, sf_dir):
 
 @query("split_stratified_counting", f"WITH {LINE_SPLIT_SQL} SELECT {CARRY_LIST}, truth, is_test FROM splits")
 def _(spark, sf_dir):
-    out = sampling.stratified_split(flows(spark, sf_dir), "truth", CARRY, 0.25, SEED, CLASSES, method="counting")
+    out = sampling.stratified_split(flows(spark, sf_dir), "truth", CARRY, 0.25, SEED, CLASSES)
     return out.select(*CARRY, "truth", "is_test")
 
 
@@ -279,20 +279,20 @@ _BOUNDS = f"""WITH {LINE_SPLIT_SQL} {' UNION ALL '.join(
     f"(SELECT count(*) FROM splits WHERE NOT is_test) AS n FROM b" for c in _WIDE)}"""
 
 
-def _bounds(spark, sf_dir, method):
+def _bounds(spark, sf_dir):
     train = split_flows(flows(spark, sf_dir), LINE_SPEC, CARRY).filter(~F.col("is_test"))
-    out = training.quantile_bounds(train, LINE_FEATURES, 0.05, method)
+    out = training.quantile_bounds(train, LINE_FEATURES, 0.05)
     return out.withColumns({c: F.round(c, 6) for c in ("lower", "upper", "median")})
 
 
 @query("agg_quantile_bounds", _BOUNDS)
 def _(spark, sf_dir):
-    return _bounds(spark, sf_dir, "auto")
+    return _bounds(spark, sf_dir)
 
 
 @query("agg_quantile_bounds_counting", _BOUNDS)
 def _(spark, sf_dir):
-    return _bounds(spark, sf_dir, "counting")
+    return _bounds(spark, sf_dir)
 
 
 @query("sink_clean_audit", f"""WITH {_capped_sql(CAP)}, t AS (SELECT ({_EMPTY}) AS e, label, {MAPPED} AS cls,

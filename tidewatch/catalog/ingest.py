@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
-from tidewatch.catalog.standin import CARRY, COMPLETE_SQL, LINE_SPEC, RAW_SQL, flows, raw
+from tidewatch.catalog.standin import CARRY, COMPLETE_SQL, FLOWS_SQL, LINE_SPEC, RAW_SQL, flows, raw
 from tidewatch.operators import inspect
 from tidewatch.operators.evidence import class_medians
 from tidewatch.plans import clean as cleaning
@@ -96,9 +96,11 @@ def _(spark, sf_dir):
     return source.read_flows(spark, [_with_surplus(spark, sf_dir)], _DASH)
 
 
-@query("scan_bad_line_counts")
+@query("scan_bad_line_counts", f"""WITH {RAW_SQL} SELECT CAST(count(*) FILTER (label LIKE '%Heart%') AS BIGINT) AS malformed,
+    count(*) AS rows FROM raw""")
 def _(spark, sf_dir):
-    return source.malformed_lines(spark, [_with_surplus(spark, sf_dir)])
+    found = source.malformed_lines(spark, [_with_surplus(spark, sf_dir)])  # a header line in each file
+    return found.agg(F.sum("malformed").alias("malformed"), (F.sum("lines") - F.count("*")).alias("rows"))
 
 
 def _headers(spark, sf_dir):
@@ -155,8 +157,10 @@ def _(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("sink_reference_medians")
+@query("sink_reference_medians", f"""WITH {FLOWS_SQL} {' UNION ALL '.join(
+    f"SELECT truth AS class, '{c}' AS feature, count({c}) AS n, round(quantile_cont({c}, 0.5), 6) AS median FROM flows "
+    f"WHERE truth IN ('BENIGN', 'DDoS', 'PortScan', 'Botnet') GROUP BY 1" for c in LINE_SPEC.features())}""")
 def _(spark, sf_dir):
     path = scratch_path(spark, "medians")
     class_medians(flows(spark, sf_dir), LINE_SPEC.features(), "truth", LINE_SPEC.classes).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("median", F.round("median", 6))

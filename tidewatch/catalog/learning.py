@@ -30,6 +30,11 @@ def _labelled(spark, sf_dir):
         "model_prediction", "confidence")
 
 
+def _scored_flows(spark, sf_dir):
+    """All flows, those of classes the model never saw included."""
+    return flows(spark, sf_dir, heavy=True).withColumnRenamed("truth", TARGET).drop("model_prediction", "confidence")
+
+
 @lru_cache(maxsize=4)
 def training_table(spark, sf_dir):
     """Flows of known class, capped per class: what a model is trained on is bounded."""
@@ -65,17 +70,41 @@ def _(spark, sf_dir):
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.round(F.max("w"), 8).alias("weight"))
 
 
-@query("ml_train_forest")
+# What training reads: flows of known class, capped per class, without the test rows.
+_KEYS = ", ".join(f"CAST({c} AS VARCHAR)" for c in CARRY)
+_TRAIN_SQL = f"""{FLOWS_SQL}, ranked AS (SELECT *, md5(concat_ws('|', '{SEED}', {_KEYS})) AS h FROM flows
+    WHERE truth IN ('BENIGN', 'DDoS', 'PortScan', 'Botnet')),
+  capped AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY truth ORDER BY h) <= {POLICY.class_cap}),
+  train AS (SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY truth ORDER BY h)
+    > CAST(round({POLICY.test_share} * count(*) OVER (PARTITION BY truth)) AS BIGINT))"""
+
+
+@query("ml_train_forest", f"""WITH {_TRAIN_SQL} SELECT 'WIDE' AS profile, 4 AS n_features, {POLICY.trees} AS trees,
+    string_agg(DISTINCT truth, ',' ORDER BY truth) AS classes, count(*) AS training_rows FROM train""")
 def _(spark, sf_dir):
     model = trained(spark, sf_dir)
-    return spark.createDataFrame([(model.profile, len(model.features), POLICY.trees, ",".join(model.classes),
+    forest_ = model.model.stages[-1]
+    return spark.createDataFrame([(model.profile, forest_.numFeatures, forest_.getNumTrees, ",".join(sorted(model.classes)),
                                    model.reference.n_training_rows)],
                                  "profile string, n_features int, trees int, classes string, training_rows long")
 
 
+@query("ml_score_totals", f"""WITH {FLOWS_SQL} SELECT truth, count(*) AS scored, count(*) AS argmax_agrees,
+    count(*) AS sums_to_one FROM flows GROUP BY 1""")
+def _(spark, sf_dir):
+    """What SQL can know of scored rows: all of them, with sound probabilities."""
+    scored = score.predictions(_scored_flows(spark, sf_dir), trained(spark, sf_dir))
+    p = F.col("class_probabilities")
+    total = F.aggregate(F.map_values(p), F.lit(0.0), lambda a, x: a + x)
+    best = F.array_max(F.map_values(p))
+    return scored.groupBy(F.col(TARGET).alias("truth")).agg(
+        F.count("*").alias("scored"), F.count_if(p[F.col("model_prediction")] == best).alias("argmax_agrees"),
+        F.count_if(F.abs(total - 1) < 2e-3).alias("sums_to_one"))
+
+
 @query("ml_score")
 def _(spark, sf_dir):
-    scored = score.predictions(_labelled(spark, sf_dir), trained(spark, sf_dir))
+    scored = score.predictions(_scored_flows(spark, sf_dir), trained(spark, sf_dir))
     return scored.select(*CARRY, TARGET, "model_prediction", "confidence", "class_probabilities", "novelty_score")
 
 
@@ -105,10 +134,13 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{base}/novelty").groupBy("tree").agg(F.count("*").alias("nodes"))
 
 
-@query("ml_ood_reference")
+@query("ml_ood_reference", f"""WITH {_TRAIN_SQL} {' UNION ALL '.join(
+    f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.001), 6) AS lower, round(quantile_cont({c}, 0.999), 6) AS upper, "
+    f"round(quantile_cont({c}, 0.5), 6) AS median, count({c}) AS n FROM train" for c in LINE_FEATURES)}""")
 def _(spark, sf_dir):
     train = training.split(training_table(spark, sf_dir), LINE_SPEC, POLICY, CARRY).filter("NOT is_test")
-    return training.quantile_bounds(train, LINE_FEATURES, 0.001)
+    bounds = training.quantile_bounds(train, LINE_FEATURES, 0.001)
+    return bounds.withColumns({c: F.round(c, 6) for c in ("lower", "upper", "median")})
 
 
 @query("ml_novelty_fit")
@@ -119,7 +151,7 @@ def _(spark, sf_dir):
 @query("ml_novelty_score")
 def _(spark, sf_dir):
     model = trained(spark, sf_dir)
-    scored = novelty.with_novelty(_labelled(spark, sf_dir), model.novelty_nodes, LINE_FEATURES, NOVELTY,
+    scored = novelty.with_novelty(_scored_flows(spark, sf_dir), model.novelty_nodes, LINE_FEATURES, NOVELTY,
                                   model.reference.novelty["threshold"])
     return scored.select(*CARRY, "novelty_score", "novelty_flagged")
 

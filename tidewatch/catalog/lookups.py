@@ -53,9 +53,9 @@ def _(spark, sf_dir):
 
 _PORTS = ", ".join(f"({k}, '{v}')" for k, v in cic.WELL_KNOWN_PORTS.items())
 _PORT_CASE = """CASE WHEN name IS NOT NULL THEN 'port ' || port || ' (' || name || ')'
-  WHEN port < 1024 THEN 'port ' || port || ' (system/privileged range)'
-  WHEN port < 49152 THEN 'port ' || port || ' (registered range, no standard service)'
-  ELSE 'port ' || port || ' (ephemeral range)' END"""
+  WHEN port < 1024 THEN 'port ' || port || ', in the system range'
+  WHEN port < 49152 THEN 'port ' || port || ', registered but of no standard service'
+  ELSE 'port ' || port || ', in the dynamic range' END"""
 
 
 @query("lookup_service_port", f"""WITH s(port, name) AS (VALUES {_PORTS}),
@@ -70,9 +70,9 @@ def _(spark, sf_dir):
     prefix = F.concat(F.lit("port "), F.col("port").cast("string"))
     return joined.select("o_orderkey", "port", F.when(F.col("name").isNotNull(), F.concat(
         prefix, F.lit(" ("), "name", F.lit(")"))).when(
-        F.col("port") < 1024, F.concat(prefix, F.lit(" (system/privileged range)"))).when(
-        F.col("port") < 49152, F.concat(prefix, F.lit(" (registered range, no standard service)"))).otherwise(
-        F.concat(prefix, F.lit(" (ephemeral range)"))).alias("described"))
+        F.col("port") < 1024, F.concat(prefix, F.lit(", in the system range"))).when(
+        F.col("port") < 49152, F.concat(prefix, F.lit(", registered but of no standard service"))).otherwise(
+        F.concat(prefix, F.lit(", in the dynamic range"))).alias("described"))
 
 
 @query("fn_describe_port", f"""WITH s(port, name) AS (VALUES {_PORTS}),

@@ -142,11 +142,16 @@ _LINE = f"""CASE WHEN event_type = 'view' AND user_id < 30 THEN '   ' WHEN event
 
 @query("scan_alert_jsonl", """SELECT 'F' || event_id AS flow_id,
     CASE WHEN event_type = 'error' THEN 'UNKNOWN_OOD' ELSE 'DDoS' END AS threat_class,
-    CAST(CASE WHEN value > 30 THEN 5.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM events
-  WHERE NOT (event_type IN ('view', 'click') AND user_id < 60) AND user_id >= 40""")
+    CAST(CASE WHEN value > 30 THEN 5.0 ELSE 0.5 END AS DOUBLE) AS confidence, 1 AS src_port,
+    CASE WHEN user_id >= 50 THEN TRUE END AS in_distribution,
+    CASE WHEN user_id >= 40 OR user_id <= 35 THEN 0 END AS evidence_entries,
+    CASE WHEN user_id >= 40 OR user_id <= 35 THEN 0 END AS ood_entries FROM events
+  WHERE NOT (event_type IN ('view', 'click') AND user_id < 60)""")
 def _(spark, sf_dir):
     path = scratch_path(spark, "alert-lines")
-    # Records with a wrongly typed field are another query's matter.
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id >= 40")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows.select(F.expr(_LINE).alias("value")).write.text(path)
-    return alert_ops.parse_alerts(spark.read.text(path)).select("flow_id", "threat_class", "confidence")
+    return alert_ops.parse_alerts(spark.read.text(path)).select(
+        "flow_id", "threat_class", "confidence", "src_port", "in_distribution",
+        F.when(F.col("evidence").isNotNull(), F.size("evidence")).alias("evidence_entries"),
+        F.when(F.col("ood_features").isNotNull(), F.size("ood_features")).alias("ood_entries"))

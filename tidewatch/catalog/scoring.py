@@ -10,7 +10,7 @@ from tidewatch.catalog.standin import (CARRY, CLASSES, FLOWS_SQL, LINE_FEATURES,
 from tidewatch.functions.text import format_value
 from tidewatch.operators import evaluation, evidence, forest, verdict
 from tidewatch.operators import alerts as alert_ops
-from tidewatch.operators.rows import flow_id
+from tidewatch.operators.rows import flow_id, numbered
 from tidewatch.plans import score
 from tidewatch.session import scratch_path
 
@@ -212,12 +212,18 @@ def _(spark, sf_dir):
 
 # --- alerts -----------------------------------------------------------------------------
 
+# Observation numbers: places in the order of all of a flow's columns.
+SEQUENCE = (*CARRY, *LINE_FEATURES, "truth")
+_NUMBERED_ALERTS = f"{LINE_SQL}, s AS (SELECT *, row_number() OVER (ORDER BY {', '.join(SEQUENCE)}) AS seq FROM a)"
+
+
 def _alert_rows(spark, sf_dir, only_queued=False):
-    rows = assessed(spark, sf_dir, detail=True)
+    observed = numbered(flows(spark, sf_dir, heavy=True), SEQUENCE)
+    rows = verdict.assess(observed, line_reference(spark, sf_dir), detail=True)
     if only_queued:  # decided on the stored verdicts, so evidence is built for those rows only
         rows = alert_ops.queued(score.stored(rows))
     rows = rows.withColumns({
-        "flow_id": flow_id(F.col("l_orderkey"), "S"), "src": F.col("l_suppkey").cast("string"),
+        "flow_id": flow_id(F.col("seq"), "S"), "src": F.col("l_suppkey").cast("string"),
         "dst": F.lit(None).cast("string"), "sport": F.col("l_partkey").cast("string"),
         "proto": F.col("l_linenumber").cast("string"), "when_seen": F.lit("nan")})
     rows = evidence.with_evidence(rows, line_evidence(spark, sf_dir), LINE_IMPORTANCES)
@@ -227,7 +233,7 @@ def _alert_rows(spark, sf_dir, only_queued=False):
                   "source_flow_id": "src", "capture_timestamp": "when_seen"})
 
 
-@query("op_build_alert", f"""{LINE_SQL} SELECT printf('S%06d', l_orderkey) AS flow_id,
+@query("op_build_alert", f"""{_NUMBERED_ALERTS} SELECT printf('S%06d', seq) AS flow_id,
     '2024-01-01T00:00:00+00:00' AS timestamp, CAST(l_suppkey AS VARCHAR) AS src_ip, '0.0.0.0' AS dst_ip,
     CAST(l_partkey AS INTEGER) AS src_port, CAST(CASE WHEN trunc(price) <= 65535 THEN trunc(price) ELSE 0 END AS INTEGER) AS dst_port,
     CASE l_linenumber WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' ELSE 'PROTO-' || l_linenumber END AS protocol,
@@ -235,7 +241,7 @@ def _alert_rows(spark, sf_dir, only_queued=False):
     is_alertable, needs_review, model_prediction, in_distribution, reliability, CAST(n_violations AS INTEGER) AS n_ood,
     truth AS ground_truth, truth = model_prediction AS correct, 2 AS schema_version,
     CAST(l_suppkey AS VARCHAR) AS source_flow_id, CAST(NULL AS VARCHAR) AS capture_timestamp, 'BATCH_SCORING' AS observation_mode
-  FROM a""")
+  FROM s""")
 def _(spark, sf_dir):
     return _alert_rows(spark, sf_dir).select(
         "flow_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "threat_class",
@@ -244,16 +250,19 @@ def _(spark, sf_dir):
         "ground_truth", "correct", "schema_version", "source_flow_id", "capture_timestamp", "observation_mode")
 
 
-@query("fn_alert_json")
+@query("fn_alert_json", f"""{_NUMBERED_ALERTS} SELECT printf('S%06d', seq) AS flow_id, 40 AS keys,
+    severity, truth AS ground_truth, CAST(is_alertable AS VARCHAR) AS is_alertable, CAST(l_partkey AS VARCHAR) AS src_port FROM s""")
 def _(spark, sf_dir):
-    return alert_ops.alert_json(_alert_rows(spark, sf_dir))
+    value = alert_ops.alert_json(_alert_rows(spark, sf_dir))
+    return value.select(F.get_json_object("value", "$.flow_id").alias("flow_id"), F.size(F.json_object_keys("value")).alias("keys"),
+                        *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("severity", "ground_truth", "is_alertable", "src_port")])
 
 
-_QUEUE_SELECT = """SELECT printf('S%06d', l_orderkey) AS flow_id, reported_threat AS threat_class, severity,
-  is_alertable, needs_review, round(confidence, 4) AS confidence FROM a WHERE is_alertable OR needs_review"""
+_QUEUE_SELECT = """SELECT printf('S%06d', seq) AS flow_id, reported_threat AS threat_class, severity,
+  is_alertable, needs_review, round(confidence, 4) AS confidence FROM s WHERE is_alertable OR needs_review"""
 
 
-@query("sink_alert_queue", f"{LINE_SQL} {_QUEUE_SELECT}")
+@query("sink_alert_queue", f"{_NUMBERED_ALERTS} {_QUEUE_SELECT}")
 def _(spark, sf_dir):
     path = scratch_path(spark, "alert-queue")
     score.write_alert_queue(_alert_rows(spark, sf_dir, only_queued=True), path)

@@ -94,6 +94,10 @@ def _(spark, sf_dir):
     return spark.table(name).select(*COUNTERS)
 
 
-@query("sink_stream_status")
+@query("sink_stream_status", f"""{ORDER_SQL} SELECT count(*) AS flows, count(correct) AS labelled,
+    count(*) FILTER (correct) AS correct_flows, count(*) FILTER (is_alertable) AS alertable,
+    round_even(count(*) FILTER (correct) / count(correct), 4) AS live_accuracy FROM alerts""")
 def _(spark, sf_dir):
-    return streaming.run_status(spark, _status_folder(spark, sf_dir))
+    """The status after the last batch; how many batches there were depends on the files."""
+    status = streaming.run_status(spark, _status_folder(spark, sf_dir))
+    return status.orderBy(F.col("batch").desc()).limit(1).drop("batch")

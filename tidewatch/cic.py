@@ -31,9 +31,16 @@ LABEL_MAP = {
     "DoS Hulk": None, "DoS GoldenEye": None, "DoS slowloris": None,
     "DoS Slowhttptest": None, "Heartbleed": None, "FTP-Patator": None,
     "SSH-Patator": None, "Infiltration": None,
-    **{f"Web Attack {dash} {kind}": None
-       for dash in ("\x96", "-", "–")  # latin-1 dash, hyphen, en dash
-       for kind in ("Brute Force", "XSS", "Sql Injection")},
+    # Latin-1 dash, hyphen and en dash occur.
+    "Web Attack \x96 Brute Force": None,
+    "Web Attack \x96 XSS": None,
+    "Web Attack \x96 Sql Injection": None,
+    "Web Attack - Brute Force": None,
+    "Web Attack - XSS": None,
+    "Web Attack - Sql Injection": None,
+    "Web Attack \u2013 Brute Force": None,
+    "Web Attack \u2013 XSS": None,
+    "Web Attack \u2013 Sql Injection": None,
 }
 
 # IANA protocol number -> display name.
@@ -67,39 +74,43 @@ CIC_SPEC = FlowSpec(
 )
 
 
-def _medians(benign: float, botnet: float, ddos: float, portscan: float) -> dict[str, float]:
-    return {"BENIGN": benign, "Botnet": botnet, "DDoS": ddos, "PortScan": portscan}
-
-
-# Published per-class medians (BENIGN, Botnet, DDoS, PortScan).
+# Published per-class medians.
 MEDIANS = {
-    "Fwd Packets/s": _medians(39.6, 57.7, 1.7, 20000.0),
-    "Flow Packets/s": _medians(76.1, 100.9, 2.7, 40000.0),
-    "Fwd Packet Length Mean": _medians(39.0, 6.0, 7.0, 0.0),
-    "Fwd Packet Length Max": _medians(42.0, 6.0, 20.0, 0.0),
-    "Total Fwd Packets": _medians(2.0, 3.0, 4.0, 1.0),
-    "Total Length of Fwd Packets": _medians(70.0, 6.0, 26.0, 0.0),
-    "Flow Duration": _medians(48699.0, 71053.0, 1876595.0, 50.0),
-    "Fwd IAT Mean": _medians(4.0, 23062.7, 482246.8, 0.0),
-    "Fwd IAT Std": _medians(0.0, 1653.2, 908248.3, 0.0),
-    "Init_Win_bytes_forward": _medians(122.0, 8192.0, 256.0, 29200.0),
-    "act_data_pkt_fwd": _medians(1.0, 0.0, 3.0, 0.0),
-    "min_seg_size_forward": _medians(20.0, 20.0, 20.0, 32.0),
-    "Fwd Header Length": _medians(64.0, 92.0, 80.0, 40.0),
-    "Destination Port": _medians(80.0, 8080.0, 80.0, 3527.0),
+    "Fwd Packets/s": {"BENIGN": 39.6, "Botnet": 57.7, "DDoS": 1.7, "PortScan": 20000.0},
+    "Flow Packets/s": {"BENIGN": 76.1, "Botnet": 100.9, "DDoS": 2.7, "PortScan": 40000.0},
+    "Fwd Packet Length Mean": {"BENIGN": 39.0, "Botnet": 6.0, "DDoS": 7.0, "PortScan": 0.0},
+    "Fwd Packet Length Max": {"BENIGN": 42.0, "Botnet": 6.0, "DDoS": 20.0, "PortScan": 0.0},
+    "Total Fwd Packets": {"BENIGN": 2.0, "Botnet": 3.0, "DDoS": 4.0, "PortScan": 1.0},
+    "Total Length of Fwd Packets": {"BENIGN": 70.0, "Botnet": 6.0, "DDoS": 26.0, "PortScan": 0.0},
+    "Flow Duration": {"BENIGN": 48699.0, "Botnet": 71053.0, "DDoS": 1876595.0, "PortScan": 50.0},
+    "Fwd IAT Mean": {"BENIGN": 4.0, "Botnet": 23062.7, "DDoS": 482246.8, "PortScan": 0.0},
+    "Fwd IAT Std": {"BENIGN": 0.0, "Botnet": 1653.2, "DDoS": 908248.3, "PortScan": 0.0},
+    "Init_Win_bytes_forward": {"BENIGN": 122.0, "Botnet": 8192.0, "DDoS": 256.0, "PortScan": 29200.0},
+    "act_data_pkt_fwd": {"BENIGN": 1.0, "Botnet": 0.0, "DDoS": 3.0, "PortScan": 0.0},
+    "min_seg_size_forward": {"BENIGN": 20.0, "Botnet": 20.0, "DDoS": 20.0, "PortScan": 32.0},
+    "Fwd Header Length": {"BENIGN": 64.0, "Botnet": 92.0, "DDoS": 80.0, "PortScan": 40.0},
+    "Destination Port": {"BENIGN": 80.0, "Botnet": 8080.0, "DDoS": 80.0, "PortScan": 3527.0},
 }
 
 # Display units.
 UNITS = {
-    **dict.fromkeys(("Flow Duration", "Fwd IAT Mean", "Fwd IAT Std", "Fwd IAT Max",
-                     "Fwd IAT Min"), "microseconds"),
-    **dict.fromkeys(("Fwd Packets/s", "Flow Packets/s"), "packets/sec"),
+    "Flow Duration": "microseconds",
+    "Fwd IAT Mean": "microseconds",
+    "Fwd IAT Std": "microseconds",
+    "Fwd IAT Max": "microseconds",
+    "Fwd IAT Min": "microseconds",
+    "Fwd Packets/s": "packets/sec",
+    "Flow Packets/s": "packets/sec",
     "Flow Bytes/s": "bytes/sec",
-    **dict.fromkeys(("Fwd Packet Length Mean", "Fwd Packet Length Max",
-                     "Fwd Packet Length Min", "Fwd Packet Length Std",
-                     "Total Length of Fwd Packets", "Fwd Header Length",
-                     "Init_Win_bytes_forward", "min_seg_size_forward",
-                     "Average Packet Size"), "bytes"),
+    "Fwd Packet Length Mean": "bytes",
+    "Fwd Packet Length Max": "bytes",
+    "Fwd Packet Length Min": "bytes",
+    "Fwd Packet Length Std": "bytes",
+    "Total Length of Fwd Packets": "bytes",
+    "Fwd Header Length": "bytes",
+    "Init_Win_bytes_forward": "bytes",
+    "min_seg_size_forward": "bytes",
+    "Average Packet Size": "bytes",
 }
 
 # Evidence rules per class. Feature and direction decide results;

@@ -68,9 +68,9 @@ def describe_port(number: Column, names: Mapping[int, str] = cic.WELL_KNOWN_PORT
     service = literal_map(names)[port.try_cast("int")] if names else F.lit(None).cast("string")
     prefix = F.concat(F.lit("port "), port.cast("string"))
     return (
-        F.when(number.isNull(), F.lit("unrecognised port value"))
+        F.when(number.isNull(), F.lit("no valid port"))
         .when(service.isNotNull(), F.concat(prefix, F.lit(" ("), service, F.lit(")")))
-        .when(port < 1024, F.concat(prefix, F.lit(" (system/privileged range)")))
-        .when(port < 49152, F.concat(prefix, F.lit(" (registered range, no standard service)")))
-        .otherwise(F.concat(prefix, F.lit(" (ephemeral range)")))
+        .when(port < 1024, F.concat(prefix, F.lit(", in the system range")))
+        .when(port < 49152, F.concat(prefix, F.lit(", registered but of no standard service")))
+        .otherwise(F.concat(prefix, F.lit(", in the dynamic range")))
     )

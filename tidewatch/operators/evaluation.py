@@ -167,14 +167,14 @@ def benign_purity(df: DataFrame, classes: Sequence[str], benign: str, truth: str
 
 
 def benign_false_positives(df: DataFrame, benign: str, truth: str = "truth",
-                           prediction: str = "model_prediction", *, method: str = "auto") -> DataFrame:
+                           prediction: str = "model_prediction") -> DataFrame:
     """Benign rows called something else: how many, and how sure the classifier was."""
     rows = df.filter(F.col(truth) == benign).select(
         F.when(F.col(prediction) != benign, F.col("confidence")).alias("wrong"))
     counts = rows.agg(
         F.count("*").alias("benign_rows"), F.count("wrong").alias("false_positives"),
         F.avg("wrong").alias("mean_confidence"), F.count_if(F.col("wrong") >= 0.9).alias("critical"))
-    median = exact_quantiles(rows, ["wrong"], [0.5], method=method).select(
+    median = exact_quantiles(rows, ["wrong"], [0.5]).select(
         F.lit(1).alias("_one"), F.element_at("values", 1).alias("median_confidence"))
     return (counts.withColumn("_one", F.lit(1)).join(F.broadcast(median), "_one", "left").drop("_one")
             .withColumn("rate", _ratio(F.col("false_positives"), F.col("benign_rows"))))

@@ -80,17 +80,17 @@ def comparison(value: Column, rule: Column, policy: EvidencePolicy) -> Column:
     benign, shown, ratio = rule["benign"], rule["benign_text"], value / rule["benign"]
     high, low = ratio >= policy.high_ratio, ratio <= policy.low_ratio
     factor = grouped(F.when(high, ratio).otherwise(1 / F.greatest(ratio, F.lit(_TINY_RATIO))), 1)
-    middle = F.when(high, F.lit("x the benign median of ")).otherwise(F.lit("x below the benign median of "))
+    middle = F.when(high, F.lit(" times what half of benign flows stay under: ")).otherwise(F.lit(" times less than the middle of benign flows: "))
     out = F.when(benign.isNull(), F.lit(None).cast("string"))
     if policy.port_features:
         described, usual = describe_port(value, policy.well_known_ports), describe_port(benign, policy.well_known_ports)
         out = out.when(rule["port"], F.concat(described, F.when(F.abs(value - rule["own"]) < 1, F.concat(
-            F.lit("; the port most often seen for "), rule["threat"], F.lit(" in training"))).otherwise(
-            F.concat(F.lit("; benign traffic here is mostly "), usual))))
-    return (out.when(benign == 0, F.when(value > 0, F.rtrim(F.concat(F.lit("benign median is 0 "), rule["unit"]))))
-            .when(low & (value == 0), F.concat(F.lit("zero, against a benign median of "), shown))
+            F.lit(" - most training flows of class "), rule["threat"], F.lit(" went there"))).otherwise(
+            F.concat(F.lit(" - benign flows mostly go to "), usual))))
+    return (out.when(benign == 0, F.when(value > 0, F.rtrim(F.concat(F.lit("the middle of benign flows is 0 "), rule["unit"]))))
+            .when(low & (value == 0), F.concat(F.lit("nothing, where the middle of benign flows is "), shown))
             .when(high | low, F.concat(factor, middle, shown))
-            .otherwise(F.concat(F.lit("benign median is "), shown)))
+            .otherwise(F.concat(F.lit("the middle of benign flows is "), shown)))
 
 
 def with_judged_rules(df: DataFrame, policy: EvidencePolicy, importances: Mapping[str, float],
@@ -182,10 +182,9 @@ def unpivot(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Data
     return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
 
 
-def class_medians(df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str],
-                  method: str = "auto") -> DataFrame:
+def class_medians(df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str]) -> DataFrame:
     """Median of each feature in each class: ``class, feature, n, median``."""
-    out = exact_quantiles(df, features, [0.5], by=target, groups=classes, method=method)
+    out = exact_quantiles(df, features, [0.5], by=target, groups=classes)
     return out.select(F.col(target).alias("class"), "feature", "n", F.element_at("values", 1).alias("median"))
 
 

@@ -1,8 +1,8 @@
 """Isolation forest over benign training rows; Spark ML has none.
 
 Trees are grown from at most ``sample_rows`` rows each, so fitting is a sampling
-job plus one small task per tree. Sampling hashes the row key: large inputs give
-each sampled row to one tree (one hash per row), small ones let trees share rows.
+job plus one small task per tree. Sampling hashes the row key once per row and gives
+each tree an arc of the hash circle; arcs overlap where rows are few.
 The grown forest holds at most trees x 2 x sample_rows nodes whatever the input,
 which is why it may pass through the driver; scoring is one Arrow-batched pass.
 """
@@ -24,7 +24,6 @@ from tidewatch.spec import NoveltyPolicy
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, depth double")
 SLACK = 2.0          # candidates drawn per wanted row
-DISJOINT_FACTOR = 4  # rows per wanted row from which trees need not share
 EULER = 0.5772156649015329
 
 
@@ -42,16 +41,16 @@ def _uniform(key: Sequence[str], salt: Column) -> Column:
 def tree_samples(rows: DataFrame, features: Sequence[str], key: Sequence[str], n_rows: int,
                  policy: NoveltyPolicy, seed: int) -> DataFrame:
     """``tree`` and feature columns: up to ``sample_rows`` rows of each tree."""
-    wanted = policy.trees * policy.sample_rows
     base = rows.select(*[q(c) for c in dict.fromkeys([*features, *key])])
-    if n_rows >= DISJOINT_FACTOR * wanted:
-        share = min(1.0, SLACK * wanted / n_rows)
-        draws = base.filter(_uniform(key, F.lit(seed)) < share).withColumn(
-            "tree", F.floor(_uniform(key, F.lit(seed + 1)) * policy.trees).cast("int"))
-    else:
-        share = min(1.0, SLACK * policy.sample_rows / max(n_rows, 1))
-        draws = (base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(policy.trees - 1))))
-                 .filter(_uniform(key, F.col("tree") + F.lit(seed)) < share))
+    share = min(1.0, SLACK * policy.sample_rows / max(n_rows, 1))
+    # Tree t draws from the arc [t/trees, t/trees + share) of the hash circle: one hash
+    # per row tells its trees, few of them where the table is large.
+    at = _uniform(key, F.lit(seed)) * policy.trees
+    last = F.floor(at).cast("int")
+    first = F.greatest(F.floor(at - share * policy.trees).cast("int") + 1, last - (policy.trees - 1))
+    draws = base.withColumn("_a", F.array(first, last)).filter(F.col("_a")[0] <= F.col("_a")[1]).drop("_a")
+    draws = draws.select("*", F.explode(F.sequence(first, last)).alias("_e"))
+    draws = draws.withColumn("tree", F.pmod("_e", F.lit(policy.trees)).cast("int")).drop("_e")
     order = F.row_number().over(Window.partitionBy("tree").orderBy(
         F.xxhash64(F.lit(seed), "tree", *[q(c) for c in key]), *[q(c) for c in key]))
     return (draws.withColumn("_r", order).filter(F.col("_r") <= policy.sample_rows)
@@ -141,8 +140,7 @@ def with_novelty(df: DataFrame, nodes: DataFrame, features: Sequence[str], polic
     return out if threshold is None else out.withColumn("novelty_flagged", F.col("novelty_score") < threshold)
 
 
-def reference(rows: DataFrame, nodes: DataFrame, features: Sequence[str], policy: NoveltyPolicy,
-              method: str = "auto") -> DataFrame:
+def reference(rows: DataFrame, nodes: DataFrame, features: Sequence[str], policy: NoveltyPolicy) -> DataFrame:
     """One row: threshold at the contamination quantile, median and 1st percentile.
 
     Scores are written once, so the passes of the exact quantile read a column
@@ -150,7 +148,7 @@ def reference(rows: DataFrame, nodes: DataFrame, features: Sequence[str], policy
     """
     scored = materialize(with_novelty(rows.select(*[q(f) for f in features]), nodes, features, policy)
                          .select("novelty_score"), "novelty-scores")
-    stats = exact_quantiles(scored, ["novelty_score"], [policy.contamination, 0.5, 0.01], method=method)
+    stats = exact_quantiles(scored, ["novelty_score"], [policy.contamination, 0.5, 0.01])
     return stats.select(F.col("n").alias("n_rows"), F.lit(policy.contamination).alias("contamination"),
                         F.col("values")[0].alias("threshold"), F.col("values")[1].alias("benign_score_median"),
                         F.col("values")[2].alias("benign_score_p1"))

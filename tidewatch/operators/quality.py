@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.coerce import is_infinite, na_to_null, parse_double, to_numeric
+from tidewatch.functions.coerce import finite, is_infinite, na_to_null, parse_double, to_numeric
 from tidewatch.functions.naming import drop_reason, map_label, strip, truth_label
 from tidewatch.operators.rows import q
 from tidewatch.spec import CAPTURE_TS, TARGET, FlowSpec
@@ -39,8 +40,13 @@ def drop_unlabelled(df: DataFrame, label: str) -> DataFrame:
 
 
 def typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Text features to finite doubles, in one projection."""
-    return df.withColumns({c: to_numeric(q(c)) for c in columns if c in df.columns})
+    """Features as finite doubles, in one projection; numeric columns take no way through text."""
+    return df.withColumns({c: _number(df, c) for c in columns if c in df.columns})
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return finite(q(name).cast("double")) if numeric else to_numeric(q(name))
 
 
 def labelled(df: DataFrame, spec: FlowSpec) -> DataFrame:
@@ -75,7 +81,7 @@ def scoreable(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def scoreable_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    usable = _all([to_numeric(q(f)).isNotNull() for f in features])
+    usable = _all([_number(df, f).isNotNull() for f in features])
     counts = df.agg(F.count("*").alias("rows_read"), F.count_if(usable).alias("rows_scored"))
     return counts.withColumns({
         "rows_dropped": F.col("rows_read") - F.col("rows_scored"),

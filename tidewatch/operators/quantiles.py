@@ -1,10 +1,8 @@
 """Exact interpolated quantiles of many columns, per class or overall.
 
-Small inputs use Spark's ``percentile`` in one pass. That aggregate keeps every
-distinct value of a group in one buffer, so large inputs go another way, exact
-as well: two rounds of counting narrow each wanted rank down to a sliver of the
-value range, a third orders just that sliver. Each round is one scan with map-side
-partial counts; no task ever holds a whole group, and a value shared by
+Two rounds of counting narrow each wanted rank down to a sliver of the value range,
+a third orders just that sliver. Each round is one scan of a stored base with
+map-side partial counts; no task ever holds a whole group, and a value shared by
 a third of all rows is just one large count.
 """
 
@@ -15,15 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import is_small
+from tidewatch.session import materialize
 
 LOG_STEPS = 4096      # first round: buckets per factor e
 SUB_BUCKETS = 65536   # second round: slices per first-round bucket
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], *,
-                    by: str | None = None, groups: Sequence[str] = (),
-                    method: str = "auto") -> DataFrame:
+                    by: str | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """Rows ``([by,] feature, n, values)``, values in the order of ``probs``.
 
     NULLs are not counted. ``groups`` lists the classes of ``by``; it is a small
@@ -35,9 +32,7 @@ def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[floa
     base = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
     if by:
         base = base.filter(F.col(by).isin(*groups))
-    if method == "builtin" or (method == "auto" and is_small(df)):
-        return _builtin(base, features, probs, keep)
-    return _by_counting(base, features, probs, keep)
+    return _by_counting(materialize(base, "quantile-base"), features, probs, keep)
 
 
 def _long(base: DataFrame, features: Sequence[str], keep: list[str]) -> DataFrame:
@@ -46,17 +41,6 @@ def _long(base: DataFrame, features: Sequence[str], keep: list[str]) -> DataFram
     return base.select(*keep, pairs.alias("_p")).select(*keep, "_p.*").filter(F.col("value").isNotNull())
 
 
-def _builtin(base: DataFrame, features: Sequence[str], probs: Sequence[float], keep: list[str]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    aggregates = []
-    for i, f in enumerate(features):
-        aggregates += [F.percentile(F.col(f"`{f}`"), wanted).alias(f"v{i}"), F.count(F.col(f"`{f}`")).alias(f"n{i}")]
-    wide = (base.groupBy(*keep) if keep else base.groupBy()).agg(*aggregates)
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"v{i}").alias("values"))
-                     for i, f in enumerate(features)])
-    return (wide.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*").filter(F.col("n") > 0))
-
-
 def _first_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * LOG_STEPS)
 
@@ -83,6 +67,7 @@ def _by_counting(base: DataFrame, features: Sequence[str], probs: Sequence[float
              .withColumn("rank", F.explode(ranks))
              .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
              .select(*key, "b1", "rank", "before", "total", "low", "high"))
+    first = materialize(first, "quantile-ranks")  # a few rows per feature
 
     # Round 2: the same inside the few buckets that hold a wanted rank. The
     # lookup has at most two rows per class, feature and probability.
@@ -95,6 +80,7 @@ def _by_counting(base: DataFrame, features: Sequence[str], probs: Sequence[float
               .withColumn("before2", F.col("before") + F.col("before2"))
               .filter((F.col("rank") >= F.col("before2")) & (F.col("rank") < F.col("before2") + F.col("n2")))
               .select(*key, "b1", "b2", "rank", "before2", "total"))
+    second = materialize(second, "quantile-ranks")
 
     # Round 3: order the distinct values of those slices.
     slices = second.select(*key, "b1", "b2").distinct()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
 from tidewatch.spec import UNKNOWN_CLASS, ContractError, FlowSpec
 
-BLOCK_BITS, SUPER_BITS = 20, 14
+LOCAL_BITS = 33  # of monotonically_increasing_id: the place in a partition
 
 
 def q(name: str) -> Column:
@@ -32,26 +33,31 @@ def distinct_flows(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[
     return keyed.select(*[picked.get(c, q(c)) for c in df.columns])
 
 
-def with_sequence(df: DataFrame, key: str, name: str = "seq", start: int = 1) -> DataFrame:
-    """Gapless row numbers in the order of a unique, non-negative integer key.
+def numbered(df: DataFrame, order_cols: Sequence[str], name: str = "seq", start: int = 1) -> DataFrame:
+    """Gapless row numbers in the order of ``order_cols``, ties in any order.
 
-    Rows are numbered inside blocks of the key range and shifted by the number of
-    rows before their block, so no task sees more than one block. Block offsets
-    are summed in two levels for the same reason. Blocks hold at most 2**20 rows.
+    Rows are sorted by ranges and stored, so a number never changes; a row's number is
+    its place in its range plus the rows of the ranges before. Only one count per
+    range passes through the driver, and no task sees more than its range.
     """
-    block, high = F.shiftright(F.col(key).cast("long"), BLOCK_BITS), F.shiftright(F.col("_block"), SUPER_BITS)
-    blocked = df.withColumn("_block", block)
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("n")).withColumn("_super", high)
-    inner = Window.partitionBy("_super").orderBy("_block")
-    counts = counts.withColumn("in_super", F.sum("n").over(inner) - F.col("n"))
-    supers = counts.groupBy("_super").agg(F.sum("n").alias("m"))
-    supers = supers.withColumn("before_super", F.sum("m").over(Window.orderBy("_super")) - F.col("m"))
-    offsets = (counts.join(supers, "_super")
-               .select("_block", (F.col("in_super") + F.col("before_super")).alias("_offset")))
-    local = F.row_number().over(Window.partitionBy("_block").orderBy(key))
-    return (blocked.withColumn("_local", local).join(offsets, "_block")
-            .withColumn(name, F.col("_offset") + F.col("_local") + F.lit(start - 1))
-            .select(*df.columns, name))
+    order = [q(c).asc_nulls_first() for c in order_cols]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", LOCAL_BITS)
+    counts = placed.groupBy(part.cast("int").alias("_p")).count().orderBy("_p").collect()
+    before, offsets = start, []
+    for r in counts:
+        offsets.append((r["_p"], before))
+        before += r["count"]
+    lookup = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _before long"))
+    local = F.col("_m").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
+    return (placed.withColumn("_p", part.cast("int")).join(lookup, "_p")
+            .withColumn(name, F.col("_before") + local).select(*[q(c) for c in df.columns], q(name)))
+
+
+def with_sequence(df: DataFrame, key: str, name: str = "seq", start: int = 1) -> DataFrame:
+    """Gapless row numbers in the order of one key; see :func:`numbered`."""
+    return numbered(df, [key], name, start)
 
 
 def flow_id(seq: Column, prefix: str) -> Column:

@@ -2,25 +2,26 @@
 
 The order of rows inside a class is the md5 of the seed and the row key, so a
 sample does not depend on partitioning and repeats exactly. Ranking a whole
-class in one window would put a third of all rows into one task; large inputs
-count hash prefixes instead (map-side), find the prefix in which the quota ends,
-rank only that prefix (1/65536 of the class), and then keep rows by comparing
-their hash with the resulting cut.
-
-Keys must tell rows apart, as they do after de-duplication; rows that share a
-key share a hash and are taken or left together on the large path.
+class in one window would put a third of all rows into one task. Hash prefixes are
+counted instead (map-side), the prefix in which the quota ends is found, only that
+prefix (1/65536 of the class) is ranked, and rows are kept by comparing their hash
+with the resulting cut.
+
+A quota is exact whatever the key: rows that share the hash at the cut are ordered
+by the md5 of the whole row, and of rows equal in every column as many are taken as
+are still wanted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import is_small
-
 PREFIX_HEX = 4
+COPY_SLOTS = 256  # equal rows are numbered in so many parts
 
 
 def hash_order(key_cols: Sequence[str], seed: int) -> Column:
@@ -28,66 +29,117 @@ def hash_order(key_cols: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
+def _ends(counts: DataFrame, by: Sequence[str], order: str, wanted: Column) -> DataFrame:
+    """Of ``(by, order, n)`` the entry in which the first ``wanted`` rows end, with ``need`` of its rows."""
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(order))
+    ranked = counts.withColumn("upto", upto).withColumn("wanted", wanted)
+    inside = (F.col("upto") - F.col("n") < F.col("wanted")) & (F.col("upto") >= F.col("wanted"))
+    return ranked.filter(inside).withColumn("need", F.col("wanted") - (F.col("upto") - F.col("n"))).drop("upto", "wanted")
+
+
 def mark_lowest(df: DataFrame, group: str, key_cols: Sequence[str], seed: int, *,
                 groups: Sequence[str], cap: int | None = None, share: float | None = None,
-                flag: str = "taken", ungrouped: bool = False, method: str = "auto") -> DataFrame:
+                flag: str = "taken", ungrouped: bool = False) -> DataFrame:
     """Flag, per class, the first ``cap`` rows (or ``share`` of rows) by hash.
 
-    ``groups`` is the class domain; rows of no listed class get ``ungrouped``.
+    ``groups`` is the class domain, which bounds what passes through the driver;
+    rows of no listed class get ``ungrouped``.
     """
     if (cap is None) == (share is None):
         raise ValueError("give either cap or share")
     hashed = df.withColumn("_h", hash_order(key_cols, seed))
-
-    def quota(total: Column) -> Column:
-        return F.lit(cap).cast("long") if cap is not None else F.round(total * F.lit(share)).cast("long")
-
-    in_domain = F.coalesce(F.col(group).isin(*groups), F.lit(False))
-    if method == "window" or (method == "auto" and is_small(df)):
-        w = Window.partitionBy(group)
-        rank = F.row_number().over(w.orderBy("_h", *[F.col(f"`{c}`") for c in key_cols]))
-        ranked = hashed.withColumns({"_r": rank, "_n": F.count("*").over(w)})
-        taken = F.when(in_domain, F.col("_r") <= quota(F.col("_n"))).otherwise(F.lit(ungrouped))
-        return ranked.withColumn(flag, taken).drop("_h", "_r", "_n")
-
-    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, PREFIX_HEX), 16, 10).cast("int"))
-    members = hashed.filter(in_domain).select(group, "_h", "_b")
-    counts = members.groupBy(group, "_b").agg(F.count("*").alias("n"))
-    counts = counts.withColumns({
-        "upto": F.sum("n").over(Window.partitionBy(group).orderBy("_b")),
-        "total": F.sum("n").over(Window.partitionBy(group))}).withColumn("quota", quota(F.col("total")))
-    ends = counts.filter((F.col("upto") - F.col("n") < F.col("quota")) & (F.col("upto") >= F.col("quota")))
-    ends = ends.select(group, "_b", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("need"))
-    # One row per class from here on: the class domain bounds both lookups.
-    edge = members.join(F.broadcast(ends), [group, "_b"])
-    edge = edge.groupBy(group, "_b", "need", "_h").agg(F.count("*").alias("n"))
-    edge = edge.withColumn("upto", F.sum("n").over(Window.partitionBy(group).orderBy("_h")))
-    cut = (edge.filter((F.col("upto") - F.col("n") < F.col("need")) & (F.col("upto") >= F.col("need")))
-           .select(F.col(group).alias("_g"), F.col("_h").alias("_cut")))
-    sizes = counts.groupBy(group).agg(F.max("total").alias("_n"), F.max("quota").alias("_q"))
-    limits = sizes.withColumnRenamed(group, "_g2").join(cut, F.col("_g2") == F.col("_g"), "left").drop("_g")
-    joined = hashed.join(F.broadcast(limits), F.col(group) == F.col("_g2"), "left")
-    taken = (F.when(~in_domain, F.lit(ungrouped))
-             .when(F.col("_q") <= 0, F.lit(False))
-             .when(F.col("_q") >= F.col("_n"), F.lit(True))
-             .otherwise(F.col("_h") <= F.col("_cut")))
-    return joined.withColumn(flag, taken).drop("_h", "_b", "_g2", "_n", "_q", "_cut")
+    prefix = F.substring("_h", 1, PREFIX_HEX)
+    members = hashed.filter(F.col(group).isin(*groups)).select(F.col(group).alias("g"), "_h")
+    counts = members.groupBy("g", prefix.alias("b")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("g"))
+    quota = F.lit(cap).cast("long") if cap is not None else F.round(F.col("total") * F.lit(share)).cast("long")
+    ends = _ends(counts.withColumn("total", total), ["g"], "b", quota)
+    edge = members.withColumn("b", prefix).join(F.broadcast(ends.select("g", "b", "need")), ["g", "b"])
+    edge = edge.groupBy("g", "need", "_h").agg(F.count("*").alias("n"))
+    cuts = _ends(edge.withColumnRenamed("need", "part"), ["g"], "_h", F.col("part"))
+    # One row per class each: sizes, and the hash at which the quota ends.
+    sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    cut = {r["g"]: r for r in cuts.collect()}
+    quotas = {n: int(Decimal(repr(m * share)).quantize(Decimal(1), ROUND_HALF_UP)) for n, m in sizes.items()} if share else {}
+
+    taken, ties = F.lit(ungrouped), []
+    for name in groups:
+        if name not in sizes:
+            continue
+        quota_of = cap if cap is not None else quotas[name]
+        if quota_of <= 0:
+            kept = F.lit(False)
+        elif quota_of >= sizes[name]:
+            kept = F.lit(True)
+        else:
+            kept = F.col("_h") <= cut[name]["_h"]
+            if cut[name]["need"] < cut[name]["n"]:
+                ties.append(name)
+        taken = F.when(F.col(group) == name, kept).otherwise(taken)
+    if not ties:
+        return hashed.withColumn(flag, taken).drop("_h")
+    at_cut = F.coalesce(_any([(F.col(group) == n) & (F.col("_h") == cut[n]["_h"]) for n in ties]), F.lit(False))
+    settled = hashed.filter(~at_cut).withColumn(flag, taken)
+    need = {n: int(cut[n]["need"]) for n in ties}
+    return settled.unionByName(_break_ties(hashed.filter(at_cut), group, need, df.columns, flag)).drop("_h")
+
+
+def _any(parts: Sequence[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def _break_ties(rows: DataFrame, group: str, need: dict[str, int], columns: Sequence[str], flag: str) -> DataFrame:
+    """Flag exactly ``need`` rows of each class, all of one key hash, by the hash of the whole row."""
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]),
+                            {"ignoreNullFields": "false"}))
+    wanted = F.lit(None).cast("long")
+    for name, n in need.items():
+        wanted = F.when(F.col(group) == name, F.lit(n)).otherwise(wanted)
+    slot = F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SLOTS))
+    rows = rows.withColumns({"_t": whole, "_w": wanted, "_s": slot})
+    counts = rows.groupBy(F.col(group).alias("g"), "_w", "_t").agg(F.count("*").alias("n"))
+    ends = {r["g"]: r for r in _ends(counts, ["g"], "_t", F.col("_w")).collect()}  # one row per class
+    taken = F.lit(False)
+    partial = []
+    for name, r in ends.items():
+        taken = F.when(F.col(group) == name, F.col("_t") <= r["_t"]).otherwise(taken)
+        if r["need"] < r["n"]:
+            partial.append(name)
+    if not partial:
+        return rows.withColumn(flag, taken).drop("_t", "_w", "_s")
+    # Copies in every column: any will do, so they are numbered slot by slot.
+    at_cut = F.coalesce(_any([(F.col(group) == n) & (F.col("_t") == ends[n]["_t"]) for n in partial]), F.lit(False))
+    copies = rows.filter(at_cut).withColumn("_i", F.row_number().over(Window.partitionBy(group, "_s").orderBy("_t")))
+    slots = rows.filter(at_cut).groupBy(F.col(group).alias("g"), "_s").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("_s")) - F.col("n")
+    slots = F.broadcast(slots.select("g", F.col("_s").alias("_s2"), before.alias("_before")))
+    left = F.lit(0)
+    for name in partial:
+        left = F.when(F.col(group) == name, F.lit(int(ends[name]["need"]))).otherwise(left)
+    copies = copies.join(slots, (F.col(group) == F.col("g")) & (F.col("_s") == F.col("_s2")))
+    copies = copies.withColumn(flag, F.col("_before") + F.col("_i") <= left)
+    extra = ("_t", "_w", "_s")
+    return rows.filter(~at_cut).withColumn(flag, taken).drop(*extra).unionByName(
+        copies.drop(*extra, "_i", "g", "_s2", "_before"))
 
 
 def class_cap(df: DataFrame, group: str, key_cols: Sequence[str], cap: int | None, seed: int,
-              groups: Sequence[str], method: str = "auto") -> DataFrame:
+              groups: Sequence[str]) -> DataFrame:
     """At most ``cap`` rows of each class; unlabelled rows are all kept."""
     if cap is None or group not in df.columns:
         return df
     marked = mark_lowest(df, group, key_cols, seed, groups=groups, cap=cap, flag="_keep",
-                         ungrouped=True, method=method)
+                         ungrouped=True)
     return marked.filter("_keep").drop("_keep")
 
 
 def stratified_split(df: DataFrame, group: str, key_cols: Sequence[str], test_share: float, seed: int,
-                     groups: Sequence[str], method: str = "auto") -> DataFrame:
+                     groups: Sequence[str]) -> DataFrame:
     """Add ``is_test``; training and evaluation call this same function."""
-    return mark_lowest(df, group, key_cols, seed, groups=groups, share=test_share, flag="is_test", method=method)
+    return mark_lowest(df, group, key_cols, seed, groups=groups, share=test_share, flag="is_test")
 
 
 def shuffled(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:

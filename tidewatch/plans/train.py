@@ -33,9 +33,9 @@ def split(flows: DataFrame, spec: FlowSpec, policy: TrainingPolicy, key: Sequenc
     return stratified_split(flows, target, key, policy.test_share, policy.seed, spec.classes)
 
 
-def quantile_bounds(train: DataFrame, features: Sequence[str], quantile: float, method: str = "auto") -> DataFrame:
+def quantile_bounds(train: DataFrame, features: Sequence[str], quantile: float) -> DataFrame:
     """``feature, lower, upper, median, n`` of the training split."""
-    stats = exact_quantiles(train, features, [quantile, 1.0 - quantile, 0.5], method=method)
+    stats = exact_quantiles(train, features, [quantile, 1.0 - quantile, 0.5])
     return stats.select("feature", F.col("values")[0].alias("lower"), F.col("values")[1].alias("upper"),
                         F.col("values")[2].alias("median"), "n")
 

@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many bytes of scanned input the single-pass form of an operator is
-# used; above it, the form whose per-task state does not grow with the data.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
 # Most a lookup side may weigh before it is no longer broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -52,19 +49,6 @@ def planned_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the leaves ``df`` reads: what its rows can be made of."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return 1 << 62
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT_BYTES
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the plans rely on for speed, not for results.
 

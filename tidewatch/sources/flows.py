@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,11 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list
     return found, [p for p in paths if p not in set(found)]
 
 
+def cell_count(line: Column) -> Column:
+    """Cells of a CSV line; commas inside quotes part nothing."""
+    return F.size(F.split(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', ""), ","))
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], raw_header: Sequence[str], wanted: Sequence[str] | None,
              *, encoding: str = UTF8, keep_corrupt: bool = False) -> DataFrame:
     """Files sharing one header, as text columns under canonical names.
@@ -78,7 +83,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], raw_header: Sequence[str
     if not keep_corrupt:
         # Short rows are padded with nulls, as flow tools expect; only rows with
         # surplus cells count as malformed.
-        surplus = F.size(F.split(F.col(CORRUPT), ",")) > len(raw_header)
+        surplus = cell_count(F.col(CORRUPT)) > len(raw_header)
         rows = rows.filter(F.col(CORRUPT).isNull() | ~surplus)
     picked: dict[str, str] = {}
     for at, raw in zip(positional, raw_header):
@@ -115,9 +120,9 @@ def read_flows(spark: SparkSession, paths: Sequence[str], spec: FlowSpec, *, kee
 
 def malformed_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Rows per file with more cells than its header: what the readers skip."""
-    heads = header_lines(spark, paths).select("path", F.size(F.split("line", ",")).alias("cells"))
+    heads = header_lines(spark, paths).select("path", cell_count(F.col("line")).alias("cells"))
     text = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
-    wide = (text.filter(F.trim("value") != "").groupBy("path", F.size(F.split("value", ",")).alias("k"))
+    wide = (text.filter(F.trim("value") != "").groupBy("path", cell_count(F.col("value")).alias("k"))
             .agg(F.count("*").alias("n")))  # one row per file and cell count
     return (wide.join(heads, "path").groupBy(_base_name(F.col("path")).alias("file"))
             .agg(F.coalesce(F.sum(F.when(F.col("k") > F.col("cells"), F.col("n"))), F.lit(0)).alias("malformed"),
