@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from check import compare, connect
 
-# Queries whose SQL takes long or that train models are run by check.py at sf0.01.
 CHECKED = sorted(entry.oracle_sql())
+# At sf0.001 there may be no row of this kind.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con(small):
 @pytest.mark.parametrize("name", CHECKED)
 def test_matches_sql(spark, con, small, name):
     found = compare(con, entry.queries()[name](spark, small), entry.oracle_sql()[name])
-    assert found in ("", "EMPTY"), found
+    assert found == "" or (found == "EMPTY" and name in MAY_BE_EMPTY), found
 
 
 def test_every_oracle_has_a_query():

@@ -12,7 +12,8 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
-from tidewatch.catalog.standin import CARRY, CLASSES, FLOWS_SQL, LINE_FEATURES, LINE_SPEC, SEED, flows
+from tidewatch.catalog.standin import (CARRY, CLASSES, FLOWS_SQL, LINE_FEATURES, LINE_SPEC, ORDER_SPEC, SEED, flows,
+                                       order_flows)
 from tidewatch.operators import evaluation, forest, novelty
 from tidewatch.operators.sampling import class_cap
 from tidewatch.plans import score
@@ -47,6 +48,14 @@ def trained(spark, sf_dir):
     return training.train(training_table(spark, sf_dir), LINE_SPEC, CARRY, "WIDE", POLICY, NOVELTY)
 
 
+@lru_cache(maxsize=4)
+def order_model(spark, sf_dir):
+    """A profile fitted on orders, for the streaming queries."""
+    known = order_flows(spark, sf_dir).filter(F.col("truth").isin(*CLASSES)).withColumnRenamed("truth", TARGET)
+    table = materialize(known.drop("model_prediction", "confidence"), "order-training")
+    return training.train(table, ORDER_SPEC, ("seq",), "ORDERS", POLICY, NOVELTY)
+
+
 def _test_rows(spark, sf_dir):
     return training.split(training_table(spark, sf_dir), LINE_SPEC, POLICY, CARRY).filter("is_test")
 

@@ -240,3 +240,19 @@ LINE_IMPORTANCES = {"price": 0.4, "quantity": 0.3, "discount": 0.2, "tax": 0.1}
 def line_evidence(spark: SparkSession, sf_dir: str) -> EvidencePolicy:
     medians = class_medians(flows(spark, sf_dir), LINE_FEATURES, "truth", CLASSES)
     return EvidencePolicy(rules=LINE_RULES, medians=medians_dict(medians), aggregate_notes=cic.NOTES)
+
+
+ORDER_RULES = {
+    "PortScan": (Rule("total", "low", "total far below benign"), Rule("yday", "near", "season as in scans")),
+    "DDoS": (Rule("total", "high", "total far above benign"), Rule("cust", "near", "customers as in floods"),
+             Rule("yday", "low", "early in the year")),
+    "Botnet": (Rule("cust", "low", "old customers"), Rule("total", "near", "total as in botnets")),
+    "BENIGN": (Rule("total", "near", "total as usual"), Rule("yday", "near", "season as usual")),
+}
+ORDER_IMPORTANCES = {"total": 0.5, "cust": 0.3, "yday": 0.2}
+
+
+@lru_cache(maxsize=8)
+def order_evidence(spark: SparkSession, sf_dir: str) -> EvidencePolicy:
+    medians = class_medians(order_flows(spark, sf_dir), ORDER_FEATURES, "truth", CLASSES)
+    return EvidencePolicy(rules=ORDER_RULES, medians=medians_dict(medians), aggregate_notes=cic.NOTES)

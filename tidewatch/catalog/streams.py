@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
-from tidewatch.catalog.standin import ORDER_COLUMNS, ORDER_SQL, order_reference
+from tidewatch.catalog.learning import order_model
+from tidewatch.catalog.standin import (ORDER_COLUMNS, ORDER_FEATURES, ORDER_IMPORTANCES, ORDER_SQL, ORDERS_SQL, order_evidence,
+                                       order_reference)
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import verdict
+from tidewatch.plans import score
 from tidewatch.session import scratch_path
 from tidewatch.sources.streams import stream_parquet
 from tidewatch.streaming import score as streaming
@@ -21,13 +24,25 @@ def _flow_stream(spark, sf_dir):
     return stream_parquet(spark, f"{sf_dir}/orders.parquet").selectExpr(*ORDER_COLUMNS)
 
 
+def order_alert_rows(spark, sf_dir, flows, mode="STREAM", model=None):
+    """Whole alert records of order flows, streaming or not: verdict, evidence, UNKNOWN rows.
+
+    With a ``model`` its predictions and reference are used, else the stand-in's.
+    """
+    if model is None:
+        def assess(rows):
+            return verdict.assess(rows, order_reference(spark, sf_dir), detail=True)
+    else:
+        flows = flows.drop("model_prediction", "confidence")
+
+        def assess(rows):
+            return score.assessed(score.predictions(rows, model), model, detail=True)
+    return score.every_alert(flows, ORDER_FEATURES, assess, order_evidence(spark, sf_dir), "ORDERS", mode, seq="seq",
+                             prefix="F", truth="truth", importances=ORDER_IMPORTANCES)
+
+
 def _alert_stream(spark, sf_dir):
-    """The batch transforms over the stream, as whole alert records."""
-    rows = verdict.assess(_flow_stream(spark, sf_dir), order_reference(spark, sf_dir), detail=True)
-    rows = rows.withColumns({
-        "flow_id": F.format_string("F%06d", "seq"), "evidence": F.lit(None).cast("map<string,double>"),
-        "evidence_detail": F.lit(None), "evidence_method": F.lit(None), "aggregate_context": F.lit(None)})
-    return alert_ops.build_alerts(rows, profile="ORDERS", mode="STREAM", truth="truth")
+    return order_alert_rows(spark, sf_dir, _flow_stream(spark, sf_dir))
 
 
 @query("scan_flow_stream", "SELECT count(*) AS flows FROM orders")
@@ -55,6 +70,16 @@ def _(spark, sf_dir):
     return _scored(spark, sf_dir).select(*_FIELDS)
 
 
+@query("stream_model_score", f"WITH {ORDERS_SQL} SELECT printf('F%06d', seq) AS flow_id, truth AS ground_truth, TRUE AS scored FROM flows")
+def _(spark, sf_dir):
+    """Orders scored by a fitted forest as they arrive."""
+    out, state = scratch_path(spark, "stream-model"), scratch_path(spark, "state")
+    rows = order_alert_rows(spark, sf_dir, _flow_stream(spark, sf_dir), model=order_model(spark, sf_dir))
+    streaming.drain(lambda: streaming.start_alert_stream(rows, out, state))
+    scored = F.col("model_prediction").isin("BENIGN", "DDoS", "PortScan", "Botnet") & F.col("confidence").between(0, 1)
+    return alert_ops.parse_alerts(spark.read.text(out)).select("flow_id", "ground_truth", scored.alias("scored"))
+
+
 @query("sink_alert_stream", f"{ORDER_SQL} SELECT severity, count(*) AS n FROM alerts GROUP BY 1")
 def _(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))

@@ -80,6 +80,11 @@ def scoreable(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return typed(df, features).dropna(how="any", subset=list(features))
 
 
+def unscoreable(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The other rows: those with a feature that is no usable number, which is NULL here."""
+    return typed(df, features).filter(~_all([q(f).isNotNull() for f in features]))
+
+
 def scoreable_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     usable = _all([_number(df, f).isNotNull() for f in features])
     counts = df.agg(F.count("*").alias("rows_read"), F.count_if(usable).alias("rows_scored"))

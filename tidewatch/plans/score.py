@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +44,19 @@ def alerts(assessed_rows: DataFrame, policy: EvidencePolicy, profile: str, mode:
     return alert_ops.build_alerts(rows, profile=profile, mode=mode, truth=truth, identity=identity, observed=observed)
 
 
+def every_alert(flows: DataFrame, features: Sequence[str], assess: Callable[[DataFrame], DataFrame], policy: EvidencePolicy,
+                profile: str, mode: str, *, seq: str, prefix: str, truth: str | None = None,
+                importances: Mapping[str, float] = {}, identity: Mapping[str, str] = alert_ops.IDENTITY_FIELDS,
+                observed: Column | None = None) -> DataFrame:
+    """One alert per flow, in batch and streaming alike: judged by ``assess`` where all
+    features are usable, else UNKNOWN and up for review."""
+    judged = alerts(assess(quality.scoreable(flows, features)), policy, profile, mode, seq=seq, prefix=prefix, truth=truth,
+                    importances=importances, identity=identity, observed=observed)
+    refused = quality.unscoreable(flows, features).withColumn("flow_id", flow_id(F.col(seq), prefix))
+    return judged.unionByName(alert_ops.unknown_alerts(refused, features, profile=profile, mode=mode, truth=truth,
+                                                       identity=identity, observed=observed))
+
+
 PREDICTION_COLUMNS = ("reported_threat", "model_prediction", "confidence", "reliability", "ood_score",
                       "severity", "is_alertable", "needs_review")
 
