@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
+from tidewatch.llm import neardup
 from tidewatch.llm.components import components
 from tidewatch.llm.neardup import classes, deduplicated, probability_jaccard, registers
 
@@ -88,3 +89,18 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_copies_further_from_each_other_than_from_their_source(spark, monkeypatch, tile):
+    """Copies at about 0.8 from their source, some linked only through one another; weights beyond 1."""
+    monkeypatch.setattr(neardup, "TILE_ROWS", tile)
+    rng, base = random.Random(11), [f"w{i % 90}" for i in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        copy = list(rows[rng.randrange(len(rows))][1].split()) if i % 5 == 0 else list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(5)}"
+        rows.append((i, " ".join(copy)))
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)

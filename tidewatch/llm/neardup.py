@@ -30,6 +30,7 @@ from tidewatch.llm.tables import col, materialize, packed
 from tidewatch.llm.text import SQUEEZED, U, Words, annotate, chunks, expand, fields, grams, mix, powers, squeeze, structs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
+TILE_ROWS, TERMS = 2048, 4096  # members of a band compared in one task; shingles per matrix
 # A pair at exactly 0.8 shares no band with a chance of (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
 STEP, OTHER = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -178,13 +179,92 @@ def links(base: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     comp = F.coalesce("comp", "node").alias("comp")
     placed = shared.join(components(found), "node", "left").select("bucket", "node", comp)
     placed = materialize(placed, "neardup-placed")
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_ = placed.join(split.filter("low < high").select("bucket"), "bucket")
-    other = open_.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    across = open_.join(other, "bucket").filter("comp < comp2").select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "neardup-across")
-    return found.union(_verified(across, texts, threshold))
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    open_ = placed.join(split.filter("low < high").select("bucket", "n"), "bucket")
+    return found.union(materialize(_across(open_, texts, threshold), "neardup-across"))
+
+
+def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` between different components of a band, from ``(bucket, node, comp, n)``.
+
+    A band is compared inside a task; one of more than ``TILE_ROWS`` members is cut
+    into blocks, and each two blocks make a task's work of their own.
+    """
+    blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiled = members.withColumn("blocks", blocks).withColumn("own", own)
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
+    whole = tiled.join(texts, "node").select("bucket", "i", "j", "node", "comp", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                part = batch.slice(start, end - start)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in range(3)):
+                    yield _linked(held, threshold)
+                    held = []
+                held.append(part)
+        if held:
+            yield _linked(held, threshold)
+
+    keys = ["bucket", "i", "j"]
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(parts: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:
+    """Links between components among some texts, by products of their weight matrices."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
+    names, place, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    left = np.flatnonzero(place != sizes.argmax())  # a largest component needs no look inside
+    a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if len(names) > 1:
+        column = rows.column("z").combine_chunks() if isinstance(rows.column("z"), pa.ChunkedArray) else rows.column("z")
+        hashes, owner = [], []
+        for chunk in chunks(expand(column), 1 << 62):
+            found = words(chunk)
+            at, h = grams(found, SHINGLE)
+            hashes.append(h)
+            owner.append(found.owner()[at] + chunk.first)
+        h, o, w = weighted(np.concatenate(hashes), np.concatenate(owner))
+        total = np.bincount(o, w, len(node))
+        _, term, held_by = np.unique(h, return_inverse=True, return_counts=True)
+        several = held_by[term] > 1  # others are in no intersection
+        o, w, term = o[several], w[several], np.unique(term[several], return_inverse=True)[1]
+        order = np.argsort(term, kind="stable")
+        o, w, term = o[order], w[order], term[order]
+        # Sums over shared shingles of x, y, x*x, y*y and x*y for each pair (left, any).
+        sx, sy, xx, yy, xy = (np.zeros((len(left), len(node)), dtype=np.float32) for _ in range(5))
+        for start in range(0, int(term[-1]) + 1 if len(term) else 0, TERMS):
+            at = slice(np.searchsorted(term, start), np.searchsorted(term, start + TERMS))
+            m = np.zeros((len(node), TERMS), dtype=np.float32)
+            m[o[at], term[at] - start] = w[at]
+            ones, mine = (m > 0).astype(np.float32), m[left]
+            sx += mine @ ones.T
+            sy += ones[left] @ m.T
+            if (w[at] != 1).any():
+                xx += (mine * mine) @ ones.T
+                yy += ones[left] @ (m * m).T
+                xy += mine @ m.T
+            else:
+                same = mine @ ones.T
+                xx, yy, xy = xx + same, yy + same, xy + same
+        # Where weights agree on what is shared, the similarity is shared weight over united weight.
+        alike = xx + yy - 2 * xy == 0
+        near = np.where(alike, sx / (total[left][:, None] + total[None, :] - sx),
+                        np.minimum(sx / total[left][:, None], sy / total[None, :]))
+        i, j = np.nonzero((near >= threshold - 1e-6) & (place[left][:, None] != place[None, :]))
+        if len(i):
+            # A bound only, or rounded: decided one by one.
+            close = similarities(expand(column.take(pa.array(left[i]))), expand(column.take(pa.array(j)))) >= threshold - 1e-12
+            a, b = node[left[i[close]]], node[j[close]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
