@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
@@ -11,7 +9,7 @@ from tidewatch.catalog.standin import CARRY, COMPLETE_SQL, FLOWS_SQL, LINE_SPEC,
 from tidewatch.operators import inspect
 from tidewatch.operators.evidence import class_medians
 from tidewatch.plans import clean as cleaning
-from tidewatch.session import scratch_path
+from tidewatch.session import per_table, scratch_path
 from tidewatch.sources import flows as source
 from tidewatch.spec import FlowSpec
 
@@ -33,7 +31,7 @@ def _styled(df, style):
     return df.select(*[F.col(c).alias(h) for c, h in HEADERS[style].items()])
 
 
-@lru_cache(maxsize=4)
+@per_table("lineitem")
 def csv_folders(spark, sf_dir):
     """Full layout (style a, with the price twice) and a narrow one (style b)."""
     table = raw(spark, sf_dir)

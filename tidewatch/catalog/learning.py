@@ -6,8 +6,6 @@ stand-in labels are close to noise and deep trees would only memorise them.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from tidewatch.operators import evaluation, forest, novelty
 from tidewatch.operators.sampling import class_cap
 from tidewatch.plans import score
 from tidewatch.plans import train as training
-from tidewatch.session import materialize, scratch_path
+from tidewatch.session import materialize, per_table, scratch_path
 from tidewatch.spec import TARGET, NoveltyPolicy, TrainingPolicy
 
 CARRY_LIST = ", ".join(CARRY)
@@ -36,19 +34,19 @@ def _scored_flows(spark, sf_dir):
     return flows(spark, sf_dir, heavy=True).withColumnRenamed("truth", TARGET).drop("model_prediction", "confidence")
 
 
-@lru_cache(maxsize=4)
+@per_table("lineitem")
 def training_table(spark, sf_dir):
     """Flows of known class, capped per class: what a model is trained on is bounded."""
     capped = class_cap(_labelled(spark, sf_dir), TARGET, CARRY, POLICY.class_cap, SEED, CLASSES)
     return materialize(capped, "training")
 
 
-@lru_cache(maxsize=4)
+@per_table("lineitem")
 def trained(spark, sf_dir):
     return training.train(training_table(spark, sf_dir), LINE_SPEC, CARRY, "WIDE", POLICY, NOVELTY)
 
 
-@lru_cache(maxsize=4)
+@per_table("orders")
 def order_model(spark, sf_dir):
     """A profile fitted on orders, for the streaming queries."""
     known = order_flows(spark, sf_dir).filter(F.col("truth").isin(*CLASSES)).withColumnRenamed("truth", TARGET)

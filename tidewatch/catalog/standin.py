@@ -7,8 +7,6 @@ it is expressed twice, by the operators in Spark and by hand in SQL.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from tidewatch import cic
 from tidewatch.operators import verdict
 from tidewatch.operators.evidence import class_medians, medians_dict
 from tidewatch.plans import train as training
-from tidewatch.session import materialize, spread
+from tidewatch.session import materialize, per_table, spread
 from tidewatch.spec import DistributionReference, EvidencePolicy, FlowSpec, Rule, TrainingPolicy
 
 SEED = 42
@@ -128,12 +126,12 @@ def _fit(df: DataFrame, spec: FlowSpec, features: tuple[str, ...], key: tuple[st
     return training.reference_from(bounds, features, QUANTILE)
 
 
-@lru_cache(maxsize=8)
+@per_table("lineitem")
 def line_reference(spark: SparkSession, sf_dir: str) -> DistributionReference:
     return _fit(flows(spark, sf_dir), LINE_SPEC, LINE_FEATURES, CARRY)
 
 
-@lru_cache(maxsize=8)
+@per_table("orders")
 def order_reference(spark: SparkSession, sf_dir: str) -> DistributionReference:
     return _fit(order_flows(spark, sf_dir), ORDER_SPEC, ORDER_FEATURES, ("seq",))
 
@@ -142,7 +140,7 @@ def assessed(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFram
     return verdict.assess(flows(spark, sf_dir, heavy=detail), line_reference(spark, sf_dir), detail=detail)
 
 
-@lru_cache(maxsize=8)
+@per_table("orders")
 def order_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a stored alert table: verdict, flow id, truth and correctness."""
     rows = verdict.assess(order_flows(spark, sf_dir), order_reference(spark, sf_dir))
@@ -236,7 +234,7 @@ LINE_RULES = {
 LINE_IMPORTANCES = {"price": 0.4, "quantity": 0.3, "discount": 0.2, "tax": 0.1}
 
 
-@lru_cache(maxsize=8)
+@per_table("lineitem")
 def line_evidence(spark: SparkSession, sf_dir: str) -> EvidencePolicy:
     medians = class_medians(flows(spark, sf_dir), LINE_FEATURES, "truth", CLASSES)
     return EvidencePolicy(rules=LINE_RULES, medians=medians_dict(medians), aggregate_notes=cic.NOTES)
@@ -252,7 +250,7 @@ ORDER_RULES = {
 ORDER_IMPORTANCES = {"total": 0.5, "cust": 0.3, "yday": 0.2}
 
 
-@lru_cache(maxsize=8)
+@per_table("orders")
 def order_evidence(spark: SparkSession, sf_dir: str) -> EvidencePolicy:
     medians = class_medians(order_flows(spark, sf_dir), ORDER_FEATURES, "truth", CLASSES)
     return EvidencePolicy(rules=ORDER_RULES, medians=medians_dict(medians), aggregate_notes=cic.NOTES)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as alert_ops
-from tidewatch.operators import evaluation, evidence, forest, novelty, quality, verdict
+from tidewatch.operators import evidence, forest, novelty, quality, verdict
 from tidewatch.operators.rows import flow_id
 from tidewatch.plans.train import TrainedProfile
 from tidewatch.session import materialize
@@ -73,22 +73,20 @@ def prediction_table(rows: DataFrame, spec: FlowSpec, truth: str | None = TARGET
 
 
 def summary(rows: DataFrame, source: str, profile: str) -> DataFrame:
-    """Scoring summary as rows ``input, profile, section, name, n``: few rows, one
-    aggregate per section over the scored table."""
-    def section(name: str, column: str) -> DataFrame:
-        return evaluation.value_shares(rows, column, "name").select(
-            F.lit(name).alias("section"), F.col("name").cast("string").alias("name"), "n")
-
-    queues = rows.agg(F.count_if("is_alertable").alias("a"),
-                      F.count_if(F.col("needs_review") & ~F.col("is_alertable")).alias("r"),
-                      F.count("*").alias("t"))
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("n"))
-                      for n, c in (("alertable", "a"), ("review_only", "r"), ("scored", "t"))])
-    totals = queues.select(F.explode(pairs).alias("p")).select(F.lit("total").alias("section"), "p.*")
-    out = (section("predicted", "model_prediction").unionByName(section("reported", "reported_threat"))
-           .unionByName(section("severity", "severity")).unionByName(section("reliability", "reliability"))
-           .unionByName(totals))
-    return out.select(F.lit(source).alias("input"), F.lit(profile).alias("profile"), "*")
+    """Scoring summary as rows ``input, profile, section, name, n``: one aggregate over
+    one scan of the scored table, a few entries per row combined before the shuffle."""
+    def entry(section: str, name: Column, n: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+
+    one = F.lit(1)
+    entries = F.array(
+        entry("predicted", F.col("model_prediction"), one), entry("reported", F.col("reported_threat"), one),
+        entry("severity", F.col("severity"), one), entry("reliability", F.col("reliability"), one),
+        entry("total", F.lit("alertable"), F.col("is_alertable")),
+        entry("total", F.lit("review_only"), F.col("needs_review") & ~F.col("is_alertable")),
+        entry("total", F.lit("scored"), one))
+    out = rows.select(F.explode(entries).alias("e")).groupBy("e.section", "e.name").agg(F.sum("e.n").alias("n"))
+    return out.select(F.lit(source).alias("input"), F.lit(profile).alias("profile"), "section", "name", "n")
 
 
 def write_summary(table: DataFrame, path: str) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -30,6 +34,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch_mark() -> int:
+    """A point to which :func:`drop_scratch` goes back."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete tables that :func:`materialize` wrote since ``mark``, but for those ``keep`` reads."""
+    kept = [f for f in keep.inputFiles()] if keep is not None else []
+    for path in _SCRATCH[mark:]:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in kept):
+            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+            _SCRATCH.remove(path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
@@ -38,6 +61,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -49,6 +73,31 @@ def planned_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of the last change of a table's folder or file."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hpath).getLength(), fs.getFileStatus(hpath).getModificationTime()
+
+
+def per_table(name: str) -> Callable:
+    """Keep what a function of ``(spark, sf_dir)`` returned for as long as the table stays as it was."""
+    def decorate(fn: Callable) -> Callable:
+        held: dict = {}
+
+        def kept(spark: SparkSession, sf_dir: str):
+            key = (spark.sparkContext.applicationId, sf_dir)
+            state = table_state(spark, f"{sf_dir}/{name}.parquet")
+            if held.get(key, (None,))[0] != state:
+                held[key] = (state, fn(spark, sf_dir))
+            return held[key][1]
+
+        kept.cache_clear = held.clear
+        return kept
+
+    return decorate
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the plans rely on for speed, not for results.
 
