@@ -16,6 +16,7 @@ from tidewatch.llm.neardup import deduplicated
 from tidewatch.llm.registry import importable, table
 from tidewatch.llm.secrets import find_secrets, redacted
 from tidewatch.llm.tables import materialize
+from tidewatch.session import drop_scratch, scratch_mark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage stored on its way is dropped once it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        mark = scratch_mark()
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_scratch(spark, mark, keep=docs)
     return docs
