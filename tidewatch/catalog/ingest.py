@@ -101,17 +101,30 @@ def _(spark, sf_dir):
     return found.agg(F.sum("malformed").alias("malformed"), (F.sum("lines") - F.count("*")).alias("rows"))
 
 
+def _nation_header(spark, sf_dir):
+    """A file whose header cells are the nations, padded by region."""
+    cells = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        "n_nationkey", F.concat(F.repeat(F.lit(" "), F.col("n_regionkey").cast("int")), "n_name").alias("cell"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "cell"))), lambda x: x["cell"]), ",")
+    path = scratch_path(spark, "nation-header")
+    cells.agg(line.alias("value")).write.text(path)
+    return path
+
+
 def _headers(spark, sf_dir):
-    """Header cells of both folders, named by style instead of by part file."""
+    """Header cells of the folders, named by style instead of by part file."""
     a, b = csv_folders(spark, sf_dir)
-    tables = [source.scan_headers(spark, [p]).withColumn("file", F.lit(n)).distinct() for n, p in (("a", a), ("b", b))]
-    return tables[0].unionByName(tables[1])
+    tables = [source.scan_headers(spark, [p]).withColumn("file", F.lit(n)).distinct()
+              for n, p in (("a", a), ("b", b), ("c", _nation_header(spark, sf_dir)))]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 _HEADER_ROWS = ", ".join(
     [f"('a', {i}, '{h}', '{c}')" for i, (c, h) in enumerate(HEADERS["a"].items())] + ["('a', 7, ' price', 'price')"]
     + [f"('b', {i}, '{h}', '{c}')" for i, (c, h) in enumerate(HEADERS["b"].items())])
-_H = f"WITH h(file, pos, raw, canonical) AS (VALUES {_HEADER_ROWS})"
+_H = f"""WITH h(file, pos, raw, canonical) AS (SELECT * FROM (VALUES {_HEADER_ROWS})
+  UNION ALL SELECT 'c', CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER), repeat(' ', CAST(n_regionkey AS INTEGER)) || n_name,
+    n_name FROM nation)"""
 
 
 @query("scan_headers", f"{_H} SELECT * FROM h")
@@ -140,7 +153,8 @@ def _(spark, sf_dir):
   g AS (SELECT f.file, profile, count(*) FILTER (name NOT IN (SELECT canonical FROM h WHERE h.file = f.file)) AS missing
     FROM (SELECT DISTINCT file FROM h) f, c GROUP BY 1, 2)
   SELECT file, profile, missing, missing = 0 AS satisfied,
-    first_value(profile) OVER (PARTITION BY file ORDER BY missing > 0, profile DESC) AS chosen FROM g""")
+    CASE WHEN min(missing) OVER (PARTITION BY file) = 0 THEN
+      first_value(profile) OVER (PARTITION BY file ORDER BY missing > 0, profile DESC) END AS chosen FROM g""")
 def _(spark, sf_dir):
     return inspect.file_profiles(_headers(spark, sf_dir), LINE_SPEC)
 

@@ -120,20 +120,21 @@ def split_flows(df: DataFrame, spec: FlowSpec, key: tuple[str, ...]) -> DataFram
     return training.split(df, spec, TrainingPolicy(seed=SEED), key, target="truth")
 
 
-def _fit(df: DataFrame, spec: FlowSpec, features: tuple[str, ...], key: tuple[str, ...]) -> DistributionReference:
+def fitted(df: DataFrame, spec: FlowSpec, features: tuple[str, ...], key: tuple[str, ...],
+           quantile: float = QUANTILE) -> DistributionReference:
     train = split_flows(df, spec, key).filter(~F.col("is_test"))
-    bounds = training.quantile_bounds(train, features, QUANTILE)
-    return training.reference_from(bounds, features, QUANTILE)
+    bounds = training.quantile_bounds(train, features, quantile)
+    return training.reference_from(bounds, features, quantile)
 
 
 @per_table("lineitem")
 def line_reference(spark: SparkSession, sf_dir: str) -> DistributionReference:
-    return _fit(flows(spark, sf_dir), LINE_SPEC, LINE_FEATURES, CARRY)
+    return fitted(flows(spark, sf_dir), LINE_SPEC, LINE_FEATURES, CARRY)
 
 
 @per_table("orders")
 def order_reference(spark: SparkSession, sf_dir: str) -> DistributionReference:
-    return _fit(order_flows(spark, sf_dir), ORDER_SPEC, ORDER_FEATURES, ("seq",))
+    return fitted(order_flows(spark, sf_dir), ORDER_SPEC, ORDER_FEATURES, ("seq",))
 
 
 def assessed(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFrame:
