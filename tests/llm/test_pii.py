@@ -53,3 +53,12 @@ def test_trees_add_spans_of_the_same_format(spark):
 def test_written(spark):
     df = spark.createDataFrame([([(0, 1, 2), (3, 0, 9)],)], "s array<struct<kind:int,start:int,end:int>>")
     assert df.select(written("s")).first()[0] == "email:1:2,phone:0:9" and len(KINDS) == 4
+
+
+def test_query_counts_each_kind(spark, small, tmp_path):
+    from tidewatch.llm.catalog import QUERIES
+
+    spark.createDataFrame([(1, "a@b.cc 1.2.3.4 5.6.7.8 +1 555 010 9999"), (2, None), (3, "4111 1111 1111 1111")],
+                          "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in QUERIES["op3_personal_data"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2, 0, 1), 2: (0, 0, 0, 0), 3: (0, 0, 1, 0)}

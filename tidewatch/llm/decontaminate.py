@@ -231,11 +231,27 @@ def decontaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     return contamination(docs, bench, **options).filter("found.n_hit = 0").select("row.*")
 
 
-@query("op7_decontaminate")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_decontaminate", f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  i AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM b WHERE len(w) > 0),
+  k AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS p FROM i)),
+  d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents), sizes AS (SELECT DISTINCT n FROM k),
+  q AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes)),
+  m AS (SELECT rid, p, n, item_id FROM q JOIN k USING (n, win)),
+  h AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(generate_series(p, p + n - 1)) AS x FROM m) GROUP BY 1),
+  t AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list
+    FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""")
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "row.doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
-        (F.col("found.n_hit") > 0).alias("contaminated"), "found.longest_words", "found.longest_item", "found.longest_at")
+        (F.col("found.n_hit") > 0).alias("contaminated"))

@@ -162,12 +162,31 @@ def redacted(found: DataFrame) -> DataFrame:
     return found.withColumn("done", done).withColumn("clean", clean).drop("done")
 
 
-@query("op2_secret_scan")
+def _sql() -> str:
+    """The same spans in DuckDB: split at the matches, add up lengths."""
+    found, spans = [], []
+    for rank, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        found.append(f"string_split_regex(t, '{p}') AS p{rank}, regexp_extract_all(t, '{p}', 0) AS m{rank}, "
+                     f"regexp_extract_all(t, '{p}', {r.group}) AS g{rank}")
+        start = (f"CAST(list_sum([length(x) for x in p{rank}[1:i]]) + coalesce(list_sum([length(x) for x in m{rank}[1:i - 1]]), 0) AS BIGINT)")
+        spans.append(f"[{{'a': {start}, 'r': {rank}, 'b': {start} + length(m{rank}[i])}} for i in generate_series(1, len(m{rank})) "
+                     f"if length(g{rank}[i]) >= {r.least}]")
+    names = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    text = f"array_to_string([{names}[x.r + 1] || ':' || x.a || ':' || x.b for x in {{}}], ',')"
+    base = f"[x for x in s if x.r < {len(BASE_RULES)}]"
+    counts = ", ".join(f"CAST(len([x for x in s if x.r = {i}]) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {', '.join(found)} FROM d),
+  u AS (SELECT doc_id, list_sort(flatten([{', '.join(spans)}])) AS s FROM f)
+SELECT doc_id, {counts}, sha256({text.format(base)}) AS base_sha256, {text.format('s')} AS spans FROM u"""
+
+
+@query("op2_secret_scan", _sql())
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     found = found.select("row.doc_id", "spans", base.alias("base"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}")
-              for i, r in enumerate(BASE_RULES)]
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [F.size(F.filter(ranks, F.lit(i).__eq__)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base"), RULES), 256).alias("base_sha256"),
                         written(F.col("spans"), RULES).alias("spans"))

@@ -239,7 +239,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(run, SCHEMA)
 
 
-@query("op4_warc_archives")
+_DIGITS = " || ".join(f"substr('{BASE32}', (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT) >> {shift}) & 31) + 1, 1)"
+                      for i in range(8) for shift in (15, 10, 5, 0))
+
+
+@query("op4_warc_archives", f"""WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+  d AS (SELECT page_id, b, sha1(b) AS h FROM p), g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
+SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM g""")
 def op4_warc_archives(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
