@@ -94,14 +94,28 @@ def fit(docs: DataFrame, text: str, label: str) -> Model:
     return Model(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def _em(p: np.ndarray, n: np.ndarray, owner: np.ndarray, heads: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Mixture shares per text; ``p`` are gram likelihoods, ``heads`` where each text starts."""
-    total = np.add.reduceat(n, heads)[:, None]
-    for _ in range(STEPS):
-        joint = p * share[owner]
-        joint *= (n / np.maximum(joint.sum(axis=1), 1e-30))[:, None]
-        share = np.add.reduceat(joint, heads, axis=0) / total
-    return share
+class Grams(NamedTuple):
+    """Grams of some texts, text by text: likelihoods by language, counts, text, first of each text."""
+    p: np.ndarray
+    n: np.ndarray
+    owner: np.ndarray
+    heads: np.ndarray
+
+    def step(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One EM step: by what each share is multiplied, and the log likelihood before it."""
+        seen = np.maximum(np.einsum("ij,ij->i", self.p, share.astype(np.float32)[self.owner]), 1e-30)
+        total = np.add.reduceat(self.n, self.heads)[:, None]
+        gain = np.add.reduceat(self.p * (self.n / seen)[:, None], self.heads, axis=0) / total
+        return gain, np.add.reduceat(self.n * np.log(seen), self.heads).astype(np.float64)
+
+    def only(self, texts: np.ndarray) -> Grams:
+        """The grams of some of the texts, given in order."""
+        place = np.full(len(self.heads), -1)
+        place[texts] = np.arange(len(texts))
+        owner = place[self.owner]
+        at = np.flatnonzero(owner >= 0)
+        owner = owner[at]
+        return Grams(self.p[at], self.n[at], owner, np.searchsorted(owner, np.arange(len(texts))))
 
 
 def mixtures(chunk: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,39 +123,52 @@ def mixtures(chunk: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     bucket, owner = buckets(chunk)
     pairs, n = np.unique((owner << BUCKET_BITS) | bucket, return_counts=True)
     owner, bucket = pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
-    shares, sure = np.zeros((len(chunk), len(model.languages))), np.zeros(len(chunk))
+    kinds = len(model.languages)
+    shares, sure = np.zeros((len(chunk), kinds)), np.zeros(len(chunk))
     some, heads, dense = np.unique(owner, return_index=True, return_inverse=True)
     if not len(some):
         return shares, sure, some
     logp, n = model.logp[bucket], n.astype(np.float32)
     high = logp.max(axis=1)
-    p = np.exp(logp - high[:, None])
+    grams = Grams(np.exp(logp - high[:, None]), n, dense, heads)
     base = np.add.reduceat((n * high).astype(np.float64), heads)
     single = np.add.reduceat((n[:, None] * logp).astype(np.float64), heads, axis=0)
     total = np.add.reduceat(n.astype(np.float64), heads)
     cost = PENALTY * np.log1p(total)
-
-    def fitted(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = _em(p, n, dense, heads, mask / mask.sum(axis=1, keepdims=True))
-        seen = np.maximum((p * share[dense]).sum(axis=1), 1e-30)
-        return share, base + np.add.reduceat(n * np.log(seen), heads)
-
-    rows = np.arange(len(some))
     top = single.argmax(axis=1)
+    value = single.max(axis=1)
     chosen = np.zeros_like(single)
-    chosen[rows, top] = 1.0
-    value = single[rows, top]
-    full, reached = fitted(np.ones_like(single))
-    # No set can reach more than all languages together do: most texts end here.
-    if (reached - value > cost).any():
-        order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, single.shape[1] + 1):
-            mask = np.zeros_like(single)
-            np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
-            share, likelihood = fitted(mask)
-            better = likelihood - cost * (k - 1) > value
-            chosen[better], value[better] = share[better], (likelihood - cost * (k - 1))[better]
-            if not (reached - cost * k > value).any():
+    chosen[np.arange(len(some)), top] = 1.0
+
+    # By concavity no mixture is likelier than this one by more than total * log(largest gain).
+    # Where that cannot pay for a second language, the text is settled and leaves.
+    open_ = np.arange(len(some))
+    share = np.full_like(single, 0.1 / max(kinds - 1, 1))
+    share[open_, top] = 0.9 if kinds > 1 else 1.0
+    reached = value.copy()
+    for _ in range(STEPS):
+        gain, likelihood = grams.step(share)
+        reached[open_] = base[open_] + likelihood
+        bound = reached[open_] + total[open_] * np.log(np.maximum(gain.max(axis=1), 1.0))
+        left = np.flatnonzero(bound - value[open_] > cost[open_])
+        share = share * gain
+        if len(left) < len(open_):
+            if not len(left):
+                open_ = left
+                break
+            grams, open_, share = grams.only(left), open_[left], share[left]
+    if len(open_):
+        order = np.argsort(-share, axis=1, kind="stable")
+        for k in range(2, kinds + 1):
+            part = np.zeros_like(share)
+            np.put_along_axis(part, order[:, :k], 1.0 / k, axis=1)
+            for _ in range(STEPS):
+                gain, _ = grams.step(part)
+                part = part * gain
+            likelihood = base[open_] + grams.step(part)[1] - cost[open_] * (k - 1)
+            better = likelihood > value[open_]
+            chosen[open_[better]], value[open_[better]] = part[better], likelihood[better]
+            if not (reached[open_] - cost[open_] * k > value[open_]).any():
                 break
     shares[some] = chosen
     odds = np.exp((single - single.max(axis=1, keepdims=True)) / GRAM)
