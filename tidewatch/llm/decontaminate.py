@@ -22,7 +22,7 @@ from tidewatch.llm.tables import col
 from tidewatch.llm.text import Words, annotate, chunks, fields, grams, structs, words
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = (1 << 20) - 2  # of text; a task needs some 100 times as much
 BLOCK_BYTES = 8 << 20
 SLICE = 1 << 16
 

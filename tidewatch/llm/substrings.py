@@ -31,7 +31,7 @@ from tidewatch.llm.text import SQUEEZED, U, annotate, chunks, expand, fields, mi
 
 LENGTH, GRAM = 400, 100
 HOT_BUCKET = 50_000     # distinct places of one gram from which it is dealt out by window
-BUFFER_WINDOWS = 4 << 20
+BUFFER_WINDOWS = (1 << 20) - 2
 LOW32 = U((1 << 32) - 1)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -48,7 +48,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and its inverse modulo 2**64, for i below at least ``size``."""
-    return _powers(1 << max(CHUNK_BYTES + 1, size).bit_length())
+    usual = CHUNK_BYTES + 2
+    return _powers(usual if size <= usual else 1 << (size - 1).bit_length())
 
 
 class Texts(NamedTuple):
