@@ -28,6 +28,11 @@ def test_saved_profile_scores_as_before(spark, small, tmp_path, fitted):
     assert one.count() == rows.count() and one.exceptAll(two).isEmpty()
 
 
+def test_forest_has_the_default_size(fitted):
+    forest_ = fitted.model.stages[-1]
+    assert (forest_.getNumTrees, forest_.getMaxDepth()) == (TrainingPolicy.trees, TrainingPolicy.max_depth) == (60, 20)
+
+
 def test_contract_is_refused(spark, small, tmp_path, fitted):
     training.save(fitted, str(tmp_path), spark)
     other = dataclasses.replace(LINE_SPEC, profiles={"WIDE": ("quantity", "price", "discount", "weight"), "NARROW": ("quantity",)})
