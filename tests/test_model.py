@@ -33,6 +33,19 @@ def test_forest_has_the_default_size(fitted):
     assert (forest_.getNumTrees, forest_.getMaxDepth()) == (TrainingPolicy.trees, TrainingPolicy.max_depth) == (60, 20)
 
 
+def test_cap_bounds_the_fit_alone(spark, small, monkeypatch):
+    policy = TrainingPolicy(trees=2, max_depth=2, class_cap=50, seed=42)
+    monkeypatch.setattr(learning, "POLICY", policy)
+    learning.training_table.cache_clear()
+    table = learning.training_table(spark, small)
+    assert table.count() == learning._labelled(spark, small).count()
+    train = training.split(table, LINE_SPEC, policy, CARRY).filter("NOT is_test")
+    got = training.train(table, LINE_SPEC, CARRY, "WIDE", policy, learning.NOVELTY)
+    assert got.model.tidewatch_rows == 50 * len(got.classes)
+    assert got.reference.n_training_rows == train.count()
+    assert got.reference.novelty["n_rows"] == train.filter("threat_class = 'BENIGN'").count() > 50
+
+
 def test_contract_is_refused(spark, small, tmp_path, fitted):
     training.save(fitted, str(tmp_path), spark)
     other = dataclasses.replace(LINE_SPEC, profiles={"WIDE": ("quantity", "price", "discount", "weight"), "NARROW": ("quantity",)})

@@ -13,7 +13,6 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.standin import (CARRY, CLASSES, FLOWS_SQL, LINE_FEATURES, LINE_SPEC, ORDER_SPEC, SEED, flows,
                                        order_flows)
 from tidewatch.operators import evaluation, forest, novelty
-from tidewatch.operators.sampling import class_cap
 from tidewatch.plans import score
 from tidewatch.plans import train as training
 from tidewatch.session import materialize, per_table, scratch_path
@@ -36,9 +35,8 @@ def _scored_flows(spark, sf_dir):
 
 @per_table("lineitem")
 def training_table(spark, sf_dir):
-    """Flows of known class, capped per class: what a model is trained on is bounded."""
-    capped = class_cap(_labelled(spark, sf_dir), TARGET, CARRY, POLICY.class_cap, SEED, CLASSES)
-    return materialize(capped, "training")
+    """All flows of known class; only the classifier's fit takes a capped part of them."""
+    return materialize(_labelled(spark, sf_dir), "training")
 
 
 @per_table("lineitem")
@@ -92,7 +90,7 @@ def _(spark, sf_dir):
     model = trained(spark, sf_dir)
     forest_ = model.model.stages[-1]
     return spark.createDataFrame([(model.profile, forest_.numFeatures, forest_.getNumTrees, ",".join(sorted(model.classes)),
-                                   model.reference.n_training_rows)],
+                                   model.model.tidewatch_rows)],
                                  "profile string, n_features int, trees int, classes string, training_rows long")
 
 

@@ -56,6 +56,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], policy: TrainingPolicy
     # Scoring input has no label, so the saved pipeline starts at the assembler.
     scoring = PipelineModel(fitted.stages[1:])
     scoring.tidewatch_classes = list(fitted.stages[0].labels)
+    scoring.tidewatch_rows = sum(counts.values())
     return scoring
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation, forest, novelty, quality
 from tidewatch.operators.quantiles import exact_quantiles
-from tidewatch.operators.sampling import stratified_split
+from tidewatch.operators.sampling import class_cap, stratified_split
 from tidewatch.spec import (TARGET, Bound, ContractError, DistributionReference, FlowSpec, NoveltyPolicy,
                             TrainingPolicy)
 
@@ -53,14 +53,18 @@ def reference_from(bounds: DataFrame, features: Sequence[str], quantile: float,
 def train(flows: DataFrame, spec: FlowSpec, key: Sequence[str], profile: str | None = None,
           policy: TrainingPolicy = TrainingPolicy(), novelty_policy: NoveltyPolicy | None = NoveltyPolicy(),
           quantile: float = 0.001) -> TrainedProfile:
-    """Fit one profile on the training part of ``flows``."""
+    """Fit one profile on the training part of ``flows``.
+
+    ``policy.class_cap`` bounds what the classifier is fitted on; bounds, detector and
+    threshold come from the whole training part.
+    """
     features = spec.features(profile)
     missing = [f for f in features if f not in flows.columns]
     if missing:
         raise ContractError(missing)
     quality.require_finite(flows, features)
     rows = split(flows, spec, policy, key).filter(~F.col("is_test"))
-    model = forest.fit_forest(rows, features, policy)
+    model = forest.fit_forest(class_cap(rows, TARGET, key, policy.class_cap, policy.seed, spec.classes), features, policy)
     nodes, stats = None, None
     if novelty_policy is not None:
         benign = rows.filter(F.col(TARGET) == spec.benign)
