@@ -50,6 +50,27 @@ def test_longest_match(spark):
     assert (r["longest_words"], r["longest_item"], r["longest_at"], r["n_hit"]) == (19, "5", 5, 19)
 
 
+def test_longest_match_through_shared_passages(spark):
+    rng = random.Random(5)
+    w = [f"w{i}" for i in range(30)]
+    few = [[rng.choice("abc") for _ in range(60)] for _ in range(6)]
+    items = [(1, ["q"] + w[8:22] + ["q"]), (2, ["r"] + w), (3, w[10:21] + w[10:21]), (4, ["s", "t"])]
+    items += [(10 + i, f[5:45]) for i, f in enumerate(few)] + [(20 + i, f[:25] + few[i - 1][20:50]) for i, f in enumerate(few)]
+    docs = [(0, ["x"] + w + ["y"]), (1, ["s", "t", "y"]), (2, ["a"] * 9)] + [(3 + i, f + few[i - 2]) for i, f in enumerate(few)]
+    got = contamination(spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string"),
+                        spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string"))
+    got = {r["doc_id"]: r for r in got.select("row.doc_id", "found.*").collect()}
+    texts = [f" {' '.join(b)} " for _, b in items]
+    for i, d in docs:
+        runs = [(n, -at) for at in range(len(d)) for n in range(1, len(d) - at + 1)
+                for t, (_, b) in zip(texts, items) if n >= min(10, len(b)) and f" {' '.join(d[at:at + n])} " in t]
+        n, at = max(runs, default=(0, None))
+        assert got[i]["longest_words"] == n and got[i]["longest_at"] == (None if at is None else -at)
+        named = dict((str(k), f" {' '.join(b)} ") for k, b in items).get(got[i]["longest_item"])
+        assert not n or f" {' '.join(d[-at:-at + n])} " in named
+    assert (got[0]["longest_words"], got[0]["longest_item"]) == (30, "2")
+
+
 def test_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and the dog sat on the log")], "item_id long, text string")
     got = decontaminated(odd, bench)

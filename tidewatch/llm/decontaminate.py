@@ -3,7 +3,8 @@
 Each shard of documents (some megabytes of whole texts, inside a task) is turned
 into a word-level suffix array. Every suffix of every benchmark item is looked up
 in every shard by binary search; the range found holds all places where its first
-ten words stand, and runs of neighbouring places give the longest verbatim match.
+ten words stand. The longest verbatim match comes from a second suffix array, over
+the hit words of a shard and every place of the benchmark where their windows stand.
 Nothing is shuffled: a document lies in one shard. The benchmark is cut into blocks
 of bounded size, each broadcast and searched in turn, so it may grow as well.
 """
@@ -38,10 +39,13 @@ class Block(NamedTuple):
     held_from: np.ndarray   # items of window w: held[held_from[w]:held_from[w+1]]
     held: np.ndarray
     names: list[str]
+    placed_from: np.ndarray  # places of window w in flat: placed[placed_from[w]:placed_from[w+1]]
+    placed: np.ndarray
+    bounds: np.ndarray      # words of item i: flat[bounds[i]:bounds[i+1]]
 
 
 def block_of(item_ids: list, texts: pa.Array, window: int) -> Block:
-    flat, starts, lengths, hashes, owners, shift, first = [], [], [], [], [], 0, 0
+    flat, starts, lengths, hashes, owners, bounds, shift, first = [], [], [], [], [], [], 0, 0
     for part in chunks(texts):
         found = words(part)
         at, h = grams(found, window)
@@ -51,16 +55,20 @@ def block_of(item_ids: list, texts: pa.Array, window: int) -> Block:
         lengths.append(np.minimum(np.diff(found.bounds)[owner[at]], window))
         hashes.append(h)
         owners.append(owner[at] + first)
+        bounds.append(found.bounds[:-1] + shift)
         shift, first = shift + len(found.hashes), first + len(part)
     if not shift:
         none = np.zeros(0, dtype=np.int64)
-        return Block(np.zeros(0, dtype=np.uint64), none, none, np.zeros(1, dtype=np.int64), none, [])
+        return Block(np.zeros(0, dtype=np.uint64), none, none, np.zeros(1, dtype=np.int64), none, [],
+                     np.zeros(1, dtype=np.int64), none, np.zeros(1, dtype=np.int64))
     starts, lengths, owners = np.concatenate(starts), np.concatenate(lengths), np.concatenate(owners)
     _, index, window_of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     pairs = np.unique(window_of.astype(np.int64) * (first + 1) + owners)
     held_from = np.searchsorted(pairs, np.arange(len(index) + 1) * (first + 1))
+    placed_from = np.searchsorted(np.sort(window_of), np.arange(len(index) + 1))
     return Block(np.concatenate(flat), starts[index], lengths[index], held_from, pairs % (first + 1),
-                 ["null" if i is None else str(i) for i in item_ids])
+                 ["null" if i is None else str(i) for i in item_ids],
+                 placed_from, starts[np.argsort(window_of, kind="stable")], np.append(np.concatenate(bounds), shift))
 
 
 def blocks_of(bench: DataFrame, item_id: str, text: str, window: int, limit: int = BLOCK_BYTES) -> list:
@@ -161,6 +169,64 @@ def search(shard: Shard, block: Block, window: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(places), np.concatenate(which)) if places else (none, none)
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``low[i]:high[i]``."""
+    counts = high - low
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - low, counts)
+
+
+def _covered(starts: np.ndarray, length: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions within ``length`` of some start, and where each goes if a gap follows every stretch of one text."""
+    at = np.unique((starts[:, None] + np.arange(length)).ravel())
+    owner = np.searchsorted(bounds, at, side="right")
+    return at, np.arange(len(at)) + np.concatenate([[0], np.cumsum((np.diff(at) != 1) | (np.diff(owner) != 0))])
+
+
+def extents(shard: Shard, block: Block, at: np.ndarray, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the text at each place goes on as in some item that holds the window there, and such an item.
+
+    Both sides are cut to words under a hit window and sorted as suffixes together; the
+    longest match of a place is with the nearest benchmark suffix before or behind it.
+    """
+    hit = np.unique(which)
+    places = block.placed[_spread(block.placed_from[hit], block.placed_from[hit + 1])]
+    theirs, to = _covered(places, window, block.bounds)
+    ours, into = _covered(np.unique(at), window, shard.bounds)
+    into = into + to[-1] + 2
+    m = int(into[-1]) + 2
+    rank = np.arange(m) + len(shard.vocabulary) + 1  # gaps differ from all else
+    rank[to], rank[into] = shard.numbers(block.flat[theirs]), shard.words[ours]
+    levels, step = [], 1
+    while True:
+        distinct, rank = np.unique(rank, return_inverse=True)
+        levels.append(rank.astype(np.int32))
+        if len(distinct) == m:
+            break
+        rank = rank * (m + 1) + np.concatenate([rank[step:] + 1, np.zeros(min(step, m), dtype=rank.dtype)])
+        step *= 2
+    order = np.empty(m, dtype=np.int64)
+    order[levels[-1]] = np.arange(m)
+    source = np.full(m, -1)  # the benchmark's place, by place in the joint text
+    source[to] = theirs
+    row, theirs_too = np.arange(m), source[order] >= 0
+    before = np.maximum.accumulate(np.where(theirs_too, row, -1))
+    behind = np.minimum.accumulate(np.where(theirs_too, row, m)[::-1])[::-1]
+    mine = into[np.searchsorted(ours, at)]
+    best, item = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    for near in (before, behind):
+        other = near[levels[-1][mine]]
+        there = (other >= 0) & (other < m)
+        partner = order[np.clip(other, 0, m - 1)]
+        same = np.zeros(len(at), dtype=np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            a, b = np.minimum(mine + same, m - 1), np.minimum(partner + same, m - 1)
+            same += np.where(there & (levels[k][a] == levels[k][b]), 1 << k, 0)
+        owner = np.searchsorted(block.bounds, source[partner], side="right") - 1
+        better = (same > best) | ((same == best) & (owner < item))
+        best, item = np.where(better, same, best), np.where(better, owner, item)
+    return best, item
+
+
 def scan(found: Words, blocks: list[Block], window: int) -> dict[str, list]:
     """Counts, items and longest match per text of a shard."""
     n_words = np.diff(found.bounds)
@@ -187,17 +253,16 @@ def scan(found: Words, blocks: list[Block], window: int) -> dict[str, list]:
         both = np.unique(np.repeat(text_of, counts) * (len(block.names) + 1) + held)
         for p in both.tolist():
             out["items"][p // (len(block.names) + 1)].append(block.names[p % (len(block.names) + 1)])
-        # Runs: the next place holds the next window of the same passage.
-        order = np.lexsort((at, at - block.start[which]))
-        at, which, length = at[order], which[order], length[order]
-        start = block.start[which]
-        fresh = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(start) != 1)])
-        heads = np.flatnonzero(fresh)
-        run = np.diff(np.append(heads, len(at))) - 1 + length[heads]
-        for i, words_in, text in zip(heads.tolist(), run.tolist(), shard.owner(at[heads]).tolist()):
-            if words_in > out["longest_words"][text]:
-                out["longest_words"][text] = words_in
-                out["longest_item"][text] = block.names[int(block.held[block.held_from[which[i]]])]
+        item = block.held[block.held_from[which]]
+        whole = np.flatnonzero(length == window)  # a shorter window is an item's whole text
+        if len(whole):
+            length[whole], item[whole] = extents(shard, block, at[whole], which[whole], window)
+        order = np.lexsort((item, at, -length, owner))
+        for i in order[np.concatenate([[True], np.diff(owner[order]) != 0])].tolist():
+            text = int(owner[i])
+            if length[i] > out["longest_words"][text]:
+                out["longest_words"][text] = int(length[i])
+                out["longest_item"][text] = block.names[int(item[i])]
                 out["longest_at"][text] = int(at[i] - shard.bounds[text])
     hit = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
     out["n_hit"] = (hit[shard.bounds[1:]] - hit[shard.bounds[:-1]]).tolist()
