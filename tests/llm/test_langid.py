@@ -37,3 +37,13 @@ def test_odd_rows(odd, nothing):
     assert said[4] in model.languages and said[5] == said[6] == "en"
     assert predict(nothing, model).count() == 0
     assert [r[0] for r in predict(odd, trained(nothing)).select("found.lang_pred").distinct().collect()] == ["und"]
+
+
+def test_texts_shorter_than_a_gram_are_judged(spark):
+    rows = [("ja der nun so", "de"), ("wie ja", "de"), ("si che no e lo", "it"), ("e no si", "it"), ("lo e", "it")] * 20
+    model = fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    wanted = {"si": "it", "no": "it", "e": "it", "ja": "de", "so": "de", "": "und", " 1 ": "und", "?": "und"}
+    got = predict(spark.createDataFrame([(t,) for t in wanted], "text string"), model)
+    got = {r[0]: r[1:] for r in got.select("row.text", "found.lang_pred", "found.score").collect()}
+    assert {t: r[0] for t, r in got.items()} == wanted
+    assert all((score > 0) == (lang != "und") for lang, score in got.values())

@@ -38,14 +38,22 @@ LETTER[128:] = np.arange(128, 256)
 
 
 def buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every gram; none spans texts or starts with two spaces."""
-    data = LETTER[texts.data]
+    """Bucket and text of every gram; none spans texts or starts with two spaces.
+
+    A text has a space before it and two behind, so any letter is in a gram.
+    """
+    sizes = np.diff(texts.bounds) + 3
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    inner = np.ones(bounds[-1], dtype=bool)
+    inner[bounds[:-1]] = inner[bounds[1:] - 1] = inner[bounds[1:] - 2] = False
+    data = np.full(bounds[-1], 32, dtype=np.uint8)
+    data[inner] = LETTER[texts.data]
     n = max(len(data) - GRAM + 1, 0)
     packed = np.zeros(n, dtype=U)
     for i in range(GRAM):
         packed = (packed << U(8)) | data[i:n + i]
-    owner = np.repeat(np.arange(len(texts)), np.diff(texts.bounds))[:n]
-    fits = np.arange(n) + GRAM <= texts.bounds[1:][owner]
+    owner = np.repeat(np.arange(len(texts)), sizes)[:n]
+    fits = np.arange(n) + GRAM <= bounds[1:][owner]
     fits &= (data[:n] != 32) | (data[1:n + 1] != 32)
     return (mix(packed[fits]) >> U(64 - BUCKET_BITS)).astype(np.int64), owner[fits]
 
@@ -201,11 +209,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 held = [j for j in order.tolist() if shares[i, j] > 0]
                 answers[i] = (model.languages[held[0]], float(shares[i, held[0]] * (sure[i] if len(held) == 1 else 1.0)),
                               [model.languages[j] for j in held], [float(shares[i, j]) for j in held])
-            # Too short for a gram, yet with a letter: the first language, without support.
-            for i in sorted(set(range(len(chunk))) - set(np.asarray(some).tolist())) if model.languages else ():
-                data = chunk.data[chunk.bounds[i]:chunk.bounds[i + 1]].tobytes().decode("utf-8", "replace")
-                if any(map(str.isalpha, data)):
-                    answers[i] = (model.languages[0], 0.0, [model.languages[0]], [1.0])
             for name, values in zip(out, zip(*answers)):
                 out[name] += values
         return structs(FOUND, out)
