@@ -1,9 +1,13 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tests.llm.conftest import LONG, ODD
 from tidewatch.llm import decontaminate
 from tidewatch.llm.decontaminate import contamination, decontaminated
+from tidewatch.llm.text import chunks
+from tidewatch.llm.text import words as text_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -71,6 +75,27 @@ def test_longest_match_through_shared_passages(spark):
     assert (got[0]["longest_words"], got[0]["longest_item"]) == (30, "2")
 
 
+def test_one_block_in_memory_at_a_time():
+    class Kept:  # a broadcast as a worker sees it
+        def __init__(self, block):
+            self.block = block
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                assert not any(hasattr(b, "_value") for b in blocks)
+                self._value = self.block._replace(flat=self.block.flat.copy())
+            return self._value
+
+    texts = [" ".join(f"w{i}" for i in range(n, n + 12)) for n in (0, 20, 40)]
+    blocks = [Kept(decontaminate.block_of([i], pa.array([t]), 10)) for i, t in enumerate(texts)]
+    shard = next(chunks(pa.array([texts[1] + " " + texts[2]])))
+    for _ in range(2):
+        found = decontaminate.scan(text_words(shard), decontaminate.one_by_one(blocks), 10)
+        assert found["items"] == [["1", "2"]] and found["n_hit"] == [24]
+    assert not any(hasattr(b, "_value") for b in blocks)
+
+
 def test_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and the dog sat on the log")], "item_id long, text string")
     got = decontaminated(odd, bench)

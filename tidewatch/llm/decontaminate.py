@@ -6,15 +6,18 @@ in every shard by binary search; the range found holds all places where its firs
 ten words stand. The longest verbatim match comes from a second suffix array, over
 the hit words of a shard and every place of the benchmark where their windows stand.
 Nothing is shuffled: a document lies in one shard. The benchmark is cut into blocks
-of bounded size, each broadcast and searched in turn, so it may grow as well.
+of bounded size, each broadcast and searched in turn, with one of them in a task's
+memory at a time, so it may grow as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,7 +230,15 @@ def extents(shard: Shard, block: Block, at: np.ndarray, which: np.ndarray, windo
     return best, item
 
 
-def scan(found: Words, blocks: list[Block], window: int) -> dict[str, list]:
+def one_by_one(blocks: list[Broadcast]) -> Iterator[Block]:
+    """The blocks in turn; of several, each is unloaded before the next is read."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            del b._value  # it is read from the broadcast's file again
+
+
+def scan(found: Words, blocks: Iterable[Block], window: int) -> dict[str, list]:
     """Counts, items and longest match per text of a shard."""
     n_words = np.diff(found.bounds)
     texts = len(n_words)
@@ -240,6 +251,7 @@ def scan(found: Words, blocks: list[Block], window: int) -> dict[str, list]:
     for block in blocks:
         at, which = search(shard, block, window)
         if not len(at):
+            del block
             continue
         length = block.length[which]
         np.add.at(steps, at, 1)
@@ -264,6 +276,7 @@ def scan(found: Words, blocks: list[Block], window: int) -> dict[str, list]:
                 out["longest_words"][text] = int(length[i])
                 out["longest_item"][text] = block.names[int(item[i])]
                 out["longest_at"][text] = int(at[i] - shard.bounds[text])
+        del block
     hit = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
     out["n_hit"] = (hit[shard.bounds[1:]] - hit[shard.bounds[:-1]]).tolist()
     out["items"] = [sorted(set(i)) for i in out["items"]]
@@ -284,7 +297,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item
     def work(texts: pa.Array) -> pa.Array:
         parts: dict[str, list] = {f.name: [] for f in FOUND}
         for shard in chunks(texts, SHARD_BYTES):
-            for name, values in scan(words(shard), [b.value for b in blocks], window).items():
+            for name, values in scan(words(shard), one_by_one(blocks), window).items():
                 parts[name] += values
         return structs(FOUND, parts)
 
