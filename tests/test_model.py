@@ -29,8 +29,8 @@ def test_saved_profile_scores_as_before(spark, small, tmp_path, fitted):
 
 
 def test_forest_has_the_default_size(fitted):
-    forest_ = fitted.model.stages[-1]
-    assert (forest_.getNumTrees, forest_.getMaxDepth()) == (TrainingPolicy.trees, TrainingPolicy.max_depth) == (60, 20)
+    assert (fitted.model.trees, fitted.model.max_depth) == (TrainingPolicy.trees, TrainingPolicy.max_depth) == (60, 20)
+    assert fitted.model.nodes.select("tree").distinct().count() == 60
 
 
 def test_cap_bounds_the_fit_alone(spark, small, monkeypatch):
@@ -41,7 +41,7 @@ def test_cap_bounds_the_fit_alone(spark, small, monkeypatch):
     assert table.count() == learning._labelled(spark, small).count()
     train = training.split(table, LINE_SPEC, policy, CARRY).filter("NOT is_test")
     got = training.train(table, LINE_SPEC, CARRY, "WIDE", policy, learning.NOVELTY)
-    assert got.model.tidewatch_rows == 50 * len(got.classes)
+    assert got.model.rows == 50 * len(got.classes)
     assert got.reference.n_training_rows == train.count()
     assert got.reference.novelty["n_rows"] == train.filter("threat_class = 'BENIGN'").count() > 50
 

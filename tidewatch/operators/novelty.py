@@ -14,9 +14,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import walk
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.rows import q
 from tidewatch.session import materialize
@@ -105,33 +107,21 @@ def score_expression(nodes: DataFrame, features: Sequence[str], policy: NoveltyP
 
     Collects the node table: a fitted model of bounded size, no data.
     """
-    table = nodes.toPandas().sort_values(["tree", "node"])
-    trees = [(t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(),
-              t["depth"].to_numpy()) for _, t in table.groupby("tree")]
+    columns = ("feature", "threshold", "left", "right", "depth")
+    table = nodes.orderBy("tree", "node").toArrow()
+    ends = np.append(np.flatnonzero(np.diff(table.column("tree").to_numpy())) + 1, table.num_rows)
+    arrays = [table.column(n).to_numpy() for n in columns]
+    trees = [walk.flat_from_table(*(a[i:j] for a in arrays[:4]), arrays[4][i:j, None]) for i, j in zip([0, *ends[:-1]], ends)]
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
     scale = average_path(policy.sample_rows)
 
-    @F.pandas_udf("double")
-    def anomaly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for pdf in batches:
-            data = pdf.to_numpy(dtype="float64")
-            total = np.zeros(len(data))
-            everyone = np.arange(len(data))
-            for feature, threshold, left, right, depth in shared.value:
-                at = np.zeros(len(data), dtype=np.int64)
-                open_ = everyone
-                while len(open_):
-                    f = feature[at[open_]]
-                    inner = f >= 0
-                    open_, f = open_[inner], f[inner]
-                    if not len(open_):
-                        break
-                    here = at[open_]
-                    at[open_] = np.where(data[open_, f] <= threshold[here], left[here], right[here])
-                total += depth[at]
-            yield pd.Series(-np.exp2(-(total / max(len(shared.value), 1)) / scale))
-
-    return anomaly(F.struct(*[q(f) for f in features]))
+    @F.arrow_udf("double")
+    def anomaly(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            depth = walk.summed(shared.value, walk.columns_of(batch), 1)[:, 0]
+            yield pa.array(-np.exp2(-(depth / max(len(shared.value), 1)) / scale))
+
+    return anomaly(*[q(f) for f in features])
 
 
 def with_novelty(df: DataFrame, nodes: DataFrame, features: Sequence[str], policy: NoveltyPolicy,

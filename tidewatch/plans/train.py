@@ -6,13 +6,13 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation, forest, novelty, quality
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.sampling import class_cap, stratified_split
+from tidewatch.session import materialize
 from tidewatch.spec import (TARGET, Bound, ContractError, DistributionReference, FlowSpec, NoveltyPolicy,
                             TrainingPolicy)
 
@@ -22,7 +22,7 @@ class TrainedProfile:
     profile: str
     features: tuple[str, ...]
     classes: tuple[str, ...]
-    model: PipelineModel
+    model: forest.Forest
     reference: DistributionReference
     novelty_nodes: DataFrame | None = None
 
@@ -59,22 +59,33 @@ def train(flows: DataFrame, spec: FlowSpec, key: Sequence[str], profile: str | N
     threshold come from the whole training part.
     """
     features = spec.features(profile)
+    _require(flows, features)
+    rows = materialize(split(flows, spec, policy, key).filter(~F.col("is_test")), "training-part")
+    return fit(rows, spec, key, profile, policy, novelty_policy, quantile)
+
+
+def _require(flows: DataFrame, features: Sequence[str]) -> None:
     missing = [f for f in features if f not in flows.columns]
     if missing:
         raise ContractError(missing)
-    quality.require_finite(flows, features)
-    rows = split(flows, spec, policy, key).filter(~F.col("is_test"))
-    model = forest.fit_forest(class_cap(rows, TARGET, key, policy.class_cap, policy.seed, spec.classes), features, policy)
+
+
+def fit(rows: DataFrame, spec: FlowSpec, key: Sequence[str], profile: str | None, policy: TrainingPolicy,
+        novelty_policy: NoveltyPolicy | None, quantile: float = 0.001) -> TrainedProfile:
+    """Fit one profile on a stored training part; it is read again by each step."""
+    features = spec.features(profile)
+    _require(rows, features)
+    quality.require_finite(rows, features)
+    model = forest.fit_forest(class_cap(rows, TARGET, key, policy.class_cap, policy.seed, spec.classes), features, policy, key)
     nodes, stats = None, None
     if novelty_policy is not None:
         benign = rows.filter(F.col(TARGET) == spec.benign)
         nodes = novelty.fit(benign, features, key, novelty_policy, policy.seed)
         if nodes is not None:
-            nodes = nodes.persist()
+            nodes = materialize(nodes, "novelty-nodes")
             stats = novelty.reference(benign, nodes, features, novelty_policy).first().asDict()
     reference = reference_from(quantile_bounds(rows, features, quantile), features, quantile, novelty_stats=stats)
-    return TrainedProfile((profile or spec.default_profile).upper(), tuple(features),
-                          tuple(model.tidewatch_classes), model, reference, nodes)
+    return TrainedProfile((profile or spec.default_profile).upper(), tuple(features), model.classes, model, reference, nodes)
 
 
 def metrics(scored: DataFrame, classes: Sequence[str], truth: str = TARGET) -> tuple[DataFrame, DataFrame]:
@@ -88,10 +99,10 @@ def compare_profiles(flows: DataFrame, spec: FlowSpec, key: Sequence[str], polic
 
     One forest per profile: the loop is over the spec's profiles, not over data.
     """
-    rows = None
+    parts, rows = materialize(split(flows, spec, policy, key), "split"), None
+    test = parts.filter("is_test")
     for profile in spec.profiles:
-        fitted = train(flows, spec, key, profile, policy, novelty_policy=None)
-        test = split(flows, spec, policy, key).filter("is_test")
+        fitted = fit(parts.filter("NOT is_test"), spec, key, profile, policy, None)
         prf, overall = metrics(forest.score(test, fitted.model, fitted.classes), fitted.classes)
         one = prf.select(F.lit(profile).alias("profile"), F.lit(len(fitted.features)).alias("n_features"),
                          "class", "f1", F.lit(1).alias("_k")).join(
@@ -113,9 +124,10 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 def save(trained: TrainedProfile, root: str, spark: SparkSession) -> str:
     """Model, contract and reference under ``<root>/<profile>/``."""
     base = f"{root}/{trained.profile.lower()}"
-    trained.model.write().overwrite().save(f"{base}/model")
+    forest.save(trained.model, f"{base}/model")
     _write_json(spark, f"{base}/contract", json.dumps({
-        "profile": trained.profile, "features": list(trained.features), "classes": list(trained.classes)}))
+        "profile": trained.profile, "features": list(trained.features), "classes": list(trained.classes),
+        "trees": trained.model.trees, "max_depth": trained.model.max_depth, "rows": trained.model.rows}))
     _write_json(spark, f"{base}/reference", trained.reference.to_json())
     nodes = trained.novelty_nodes
     empty = spark.createDataFrame([], novelty.NODE_SCHEMA)  # no stale detector stays behind
@@ -130,15 +142,9 @@ def load(spark: SparkSession, root: str, spec: FlowSpec, profile: str | None = N
     contract = _read_json(spark, f"{base}/contract")
     if contract["profile"] != name or contract["features"] != spec.features(name):
         raise ContractError([f for f in spec.features(name) if f not in contract["features"]])
-    model = PipelineModel.load(f"{base}/model")
-    if model.stages[-1].numFeatures != len(contract["features"]):
-        raise ValueError(f"the model expects {model.stages[-1].numFeatures} features")
+    model = forest.load(spark, f"{base}/model", contract["features"], contract["classes"], contract["trees"],
+                        contract["max_depth"], contract["rows"])
     reference = DistributionReference.from_json(json.dumps(_read_json(spark, f"{base}/reference")))
     nodes = spark.read.parquet(f"{base}/novelty")
     return TrainedProfile(name, tuple(contract["features"]), tuple(contract["classes"]), model, reference,
                           nodes if reference.novelty else None)
-
-
-def importance_table(trained: TrainedProfile, spark: SparkSession) -> DataFrame:
-    rows = [(i, f, v) for i, (f, v) in enumerate(forest.importances(trained.model, trained.features).items(), 1)]
-    return spark.createDataFrame(rows, "rank int, feature string, importance double")
