@@ -1,22 +1,25 @@
 """Exact interpolated quantiles of many columns, per class or overall.
 
-Two rounds of counting narrow each wanted rank down to a sliver of the value range,
-a third orders just that sliver. Each round is one scan of a stored base with
-map-side partial counts; no task ever holds a whole group, and a value shared by
+A mergeable quantile summary of every column, all in one scan, brackets each wanted
+rank between two values that lie some thousandths of the rows apart. A second scan
+counts what is below and inside each bracket, which proves that it holds the rank,
+and a third keeps only values inside brackets and counts them one by one. No scan
+multiplies rows by columns, no task ever holds a whole group, and a value shared by
 a third of all rows is just one large count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.session import materialize, spread, takes_a_shuffle
 
-LOG_STEPS = 4096      # first round: buckets per factor e
-SUB_BUCKETS = 65536   # second round: slices per first-round bucket
+ACCURACY = 10_000   # the summary's ranks are off by 1/ACCURACY of the rows at most
+MARGIN = 2.0        # brackets reach so many times as far
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], *,
@@ -24,82 +27,98 @@ def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[floa
     """Rows ``([by,] feature, n, values)``, values in the order of ``probs``.
 
     NULLs are not counted. ``groups`` lists the classes of ``by``; it is a small
-    fixed domain, which is what bounds the lookups of the counting rounds.
+    fixed domain, which is what bounds the brackets: two values per class, feature and rank.
     """
     if by is not None and not groups:
         raise ValueError("quantiles by class need the list of classes")
-    keep = [by] if by else []
-    base = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    keep = [F.col(by).alias("g")] if by else [F.lit("").alias("g")]
+    base = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)])
     if by:
-        base = base.filter(F.col(by).isin(*groups))
-    return _by_counting(materialize(base, "quantile-base"), features, probs, keep)
-
-
-def _long(base: DataFrame, features: Sequence[str], keep: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value")) for f in features]))
-    return base.select(*keep, pairs.alias("_p")).select(*keep, "_p.*").filter(F.col("value").isNotNull())
-
-
-def _first_bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * LOG_STEPS)
-
-
-def _second_bucket(value: Column, low: Column, high: Column) -> Column:
-    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    return F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (SUB_BUCKETS - 1))
-
-
-def _by_counting(base: DataFrame, features: Sequence[str], probs: Sequence[float], keep: list[str]) -> DataFrame:
-    key = [*keep, "feature"]
-    long = _long(base, features, keep).withColumn("b1", _first_bucket(F.col("value")))
-
-    # Round 1: how many values per bucket, and where each wanted rank falls.
-    counts = long.groupBy(*key, "b1").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    upto = Window.partitionBy(*key).orderBy("b1")
-    ranked = counts.withColumns({
-        "before": F.sum("n").over(upto) - F.col("n"),
-        "total": F.sum("n").over(Window.partitionBy(*key))})
-    position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(F.array(*[r for x in position for r in (F.floor(x), F.ceil(x))]))
-    first = (ranked
-             .withColumn("rank", F.explode(ranks))
-             .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-             .select(*key, "b1", "rank", "before", "total", "low", "high"))
-    first = materialize(first, "quantile-ranks")  # a few rows per feature
-
-    # Round 2: the same inside the few buckets that hold a wanted rank. The
-    # lookup has at most two rows per class, feature and probability.
-    cells = first.select(*key, "b1", "low", "high").distinct()
-    sliced = (long.join(F.broadcast(cells), [*key, "b1"])
-              .withColumn("b2", _second_bucket(F.col("value"), F.col("low"), F.col("high"))))
-    sub = sliced.groupBy(*key, "b1", "b2").agg(F.count("*").alias("n2"))
-    sub = sub.withColumn("before2", F.sum("n2").over(Window.partitionBy(*key, "b1").orderBy("b2")) - F.col("n2"))
-    second = (sub.join(first, [*key, "b1"])
-              .withColumn("before2", F.col("before") + F.col("before2"))
-              .filter((F.col("rank") >= F.col("before2")) & (F.col("rank") < F.col("before2") + F.col("n2")))
-              .select(*key, "b1", "b2", "rank", "before2", "total"))
-    second = materialize(second, "quantile-ranks")
-
-    # Round 3: order the distinct values of those slices.
-    slices = second.select(*key, "b1", "b2").distinct()
-    exact = (sliced.join(F.broadcast(slices), [*key, "b1", "b2"])
-             .groupBy(*key, "b1", "b2", "value").agg(F.count("*").alias("n3")))
-    exact = exact.withColumn(
-        "before3", F.sum("n3").over(Window.partitionBy(*key, "b1", "b2").orderBy("value")) - F.col("n3"))
-    at_rank = (exact.join(second, [*key, "b1", "b2"])
-               .withColumn("before3", F.col("before2") + F.col("before3"))
-               .filter((F.col("rank") >= F.col("before3")) & (F.col("rank") < F.col("before3") + F.col("n3"))))
-
-    # At most two ranks per probability are left per class and feature.
-    found = at_rank.groupBy(*key).agg(
-        F.max("total").alias("n"),
-        F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at"))
-    values = []
-    for p in probs:
-        x = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.col("at")[F.floor(x)], F.col("at")[F.ceil(x)]
-        values.append(F.when(low == high, low)
-                      .otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high))
-    return found.select(*key, "n", F.array(*values).alias("values"))
+        base = base.filter(F.col("g").isin(*groups))
+    base = base if takes_a_shuffle(base) else spread(base)
+    if takes_a_shuffle(base):
+        base = materialize(base, "quantile-base")
+    found = _values(base, len(features), probs)
+    kind = df.schema[by].dataType.simpleString() if by else "string"
+    rows = [(g, features[i], n, values) for (g, i), (n, values) in sorted(found.items())]
+    out = df.sparkSession.createDataFrame(rows, f"g {kind}, feature string, n long, values array<double>")
+    return out.withColumnRenamed("g", by) if by else out.drop("g")
+
+
+def _values(base: DataFrame, width: int, probs: Sequence[float]) -> dict:
+    """``(class, column) -> (count, values)``: a few numbers per class and column."""
+    near = sorted({min(max(p + side * MARGIN / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)})
+    sketches = base.groupBy("g").agg(*[part for i in range(width) for part in (
+        F.percentile_approx(f"x{i}", F.array(*[F.lit(p) for p in near]), F.lit(ACCURACY)).alias(f"s{i}"),
+        F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"l{i}"), F.max(f"x{i}").alias(f"h{i}"))]).collect()
+    brackets, sizes = {}, {}
+    for r in sketches:
+        for i in range(width):
+            n = sizes[r["g"], i] = r[f"n{i}"]
+            at = dict(zip(near, r[f"s{i}"] or []))
+            for p in probs if n else ():
+                low, high = (min(max(p + side * MARGIN / ACCURACY, 0.0), 1.0) for side in (-1, 1))
+                low, high = (r[f"l{i}"] if low == 0 else at[low]), (r[f"h{i}"] if high == 1 else at[high])
+                # A rank between two rows needs both, and few rows leave no room between ranks.
+                wide = n <= MARGIN * ACCURACY
+                brackets[r["g"], i, p] = (r[f"l{i}"], r[f"h{i}"]) if wide else (low, high)
+    found = _in_brackets(base, brackets, sizes)
+    missed = {k: (None, None) for k in brackets if k not in found}
+    if missed:  # beyond the summary's promise: search all of the column
+        ends = {(r["g"], i): (r[f"l{i}"], r[f"h{i}"]) for r in sketches for i in range(width)}
+        found |= _in_brackets(base, {k: ends[k[:2]] for k in missed}, sizes)
+    out = {}
+    for (g, i), n in sizes.items():
+        if n:
+            values = []
+            for p in probs:
+                x, (low, high) = (n - 1) * p, found[g, i, p]
+                share = x - math.floor(x)
+                values.append(low if low == high else (math.ceil(x) - x) * low + share * high)
+            out[g, i] = (n, values)
+    return out
+
+
+def _in_brackets(base: DataFrame, brackets: dict, sizes: dict) -> dict:
+    """``(class, column, prob) -> (value at the rank below, at the rank above)`` where the bracket holds both."""
+    if not brackets:
+        return {}
+    spark = base.sparkSession
+    slots = sorted({(i, p) for _, i, p in brackets})
+    classes = sorted({g for g, _, _ in brackets}, key=str)
+    names = [(f"a{j}", f"b{j}") for j in range(len(slots))]
+    lookup = spark.createDataFrame([(g, *[v for i, p in slots for v in brackets.get((g, i, p), (None, None))]) for g in classes],
+                                   ", ".join([f"g {base.schema['g'].dataType.simpleString()}", *[f"{n} double" for ab in names for n in ab]]))
+    joined = base.join(F.broadcast(lookup), "g")  # one row per class
+    below = joined.groupBy("g").agg(*[part for (i, _), (a, b) in zip(slots, names) for part in (
+        F.count_if(F.col(f"x{i}") < F.col(a)).alias(f"below_{a}"), F.count_if(F.col(f"x{i}") <= F.col(b)).alias(f"upto_{a}"))]).collect()
+    before = {(r["g"], j): (r[f"below_a{j}"], r[f"upto_a{j}"]) for r in below for j in range(len(slots))}
+    out, ranks = {}, []
+    for (g, i, p), (low, high) in brackets.items():
+        j = slots.index((i, p))
+        x = (sizes[g, i] - 1) * p
+        first, last = math.floor(x), math.ceil(x)
+        start, stop = before.get((g, j), (0, 0))
+        if not start <= first <= last < stop:
+            continue
+        if low == high:
+            out[g, i, p] = (low, high)
+        else:
+            ranks.append((g, j, start, first, last))
+    if not ranks:
+        return out
+    wanted = {(g, j) for g, j, *_ in ranks}
+    inside = [F.when(F.col("g").isin([g for g, k in wanted if k == j]) & F.col(f"x{i}").between(F.col(a), F.col(b)),
+                     F.struct(F.lit(j).alias("j"), F.col(f"x{i}").alias("v")))
+              for j, ((i, _), (a, b)) in enumerate(zip(slots, names)) if any(k == j for _, k in wanted)]
+    counts = joined.select("g", F.explode(F.array_compact(F.array(*inside))).alias("e")).groupBy("g", "e.j", "e.v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "j").orderBy("v"))  # the values of one bracket
+    need = spark.createDataFrame(ranks, f"g {base.schema['g'].dataType.simpleString()}, j int, start long, first long, last long")
+    placed = counts.withColumn("upto", upto).join(F.broadcast(need), ["g", "j"]).withColumn("upto", F.col("start") + F.col("upto"))
+
+    def at(rank: str):
+        return F.min(F.when((F.col(rank) >= F.col("upto") - F.col("n")) & (F.col(rank) < F.col("upto")), F.col("v")))
+
+    for r in placed.groupBy("g", "j").agg(at("first").alias("low"), at("last").alias("high")).collect():
+        out[r["g"], slots[r["j"]][0], slots[r["j"]][1]] = (r["low"], r["high"])
+    return out

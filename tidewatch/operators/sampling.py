@@ -4,8 +4,10 @@ The order of rows inside a class is the md5 of the seed and the row key, so a
 sample does not depend on partitioning and repeats exactly. Ranking a whole
 class in one window would put a third of all rows into one task. Hash prefixes are
 counted instead (map-side), the prefix in which the quota ends is found, only that
-prefix (1/65536 of the class) is ranked, and rows are kept by comparing their hash
-with the resulting cut.
+prefix (1/4096 of the class) is ranked, and rows are kept by comparing their hash
+with the resulting cut. An input that takes a shuffle or more to make is stored once,
+with its hashes, and not made again for each step; a plain scan is read again,
+by its key columns alone.
 
 A quota is exact whatever the key: rows that share the hash at the cut are ordered
 by the md5 of the whole row, and of rows equal in every column as many are taken as
@@ -20,7 +22,9 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_HEX = 4
+from tidewatch.session import materialize, spread, takes_a_shuffle
+
+PREFIX_HEX = 3
 COPY_SLOTS = 256  # equal rows are numbered in so many parts
 
 
@@ -47,26 +51,37 @@ def mark_lowest(df: DataFrame, group: str, key_cols: Sequence[str], seed: int, *
     """
     if (cap is None) == (share is None):
         raise ValueError("give either cap or share")
+    df = df if takes_a_shuffle(df) else spread(df)
     hashed = df.withColumn("_h", hash_order(key_cols, seed))
-    prefix = F.substring("_h", 1, PREFIX_HEX)
+    if takes_a_shuffle(df):
+        hashed = materialize(hashed, "hashed")
     members = hashed.filter(F.col(group).isin(*groups)).select(F.col(group).alias("g"), "_h")
-    counts = members.groupBy("g", prefix.alias("b")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("g"))
-    quota = F.lit(cap).cast("long") if cap is not None else F.round(F.col("total") * F.lit(share)).cast("long")
-    ends = _ends(counts.withColumn("total", total), ["g"], "b", quota)
-    edge = members.withColumn("b", prefix).join(F.broadcast(ends.select("g", "b", "need")), ["g", "b"])
-    edge = edge.groupBy("g", "need", "_h").agg(F.count("*").alias("n"))
-    cuts = _ends(edge.withColumnRenamed("need", "part"), ["g"], "_h", F.col("part"))
-    # One row per class each: sizes, and the hash at which the quota ends.
-    sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    cut = {r["g"]: r for r in cuts.collect()}
-    quotas = {n: int(Decimal(repr(m * share)).quantize(Decimal(1), ROUND_HALF_UP)) for n, m in sizes.items()} if share else {}
+    prefix = F.substring("_h", 1, PREFIX_HEX)
+    # At most 16**PREFIX_HEX numbers per class.
+    counts = members.groupBy("g", prefix.alias("b")).agg(F.count("*").alias("n")).toArrow().to_pandas()
+    sizes, quotas, edges = {}, {}, []
+    for name, part in counts.sort_values("b").groupby("g"):
+        total = sizes[name] = int(part["n"].sum())
+        quotas[name] = cap if cap is not None else int(
+            (Decimal(total) * Decimal(repr(share))).quantize(Decimal(1), ROUND_HALF_UP))
+        if 0 < quotas[name] < total:
+            upto = part["n"].cumsum()
+            at = int((upto < quotas[name]).sum())
+            edges.append((name, part["b"].iloc[at], quotas[name] - int(upto.iloc[at] - part["n"].iloc[at])))
+    cut = {}
+    if edges:
+        inside = _any([(F.col("g") == name) & (prefix == b) for name, b, _ in edges])
+        need = F.lit(None).cast("long")
+        for name, _, n in edges:
+            need = F.when(F.col("g") == name, F.lit(n)).otherwise(need)
+        edge = members.filter(inside).groupBy("g", "_h").agg(F.count("*").alias("n")).withColumn("part", need)
+        cut = {r["g"]: r for r in _ends(edge, ["g"], "_h", F.col("part")).collect()}  # one row per class
 
     taken, ties = F.lit(ungrouped), []
     for name in groups:
         if name not in sizes:
             continue
-        quota_of = cap if cap is not None else quotas[name]
+        quota_of = quotas[name]
         if quota_of <= 0:
             kept = F.lit(False)
         elif quota_of >= sizes[name]:
@@ -99,7 +114,8 @@ def _break_ties(rows: DataFrame, group: str, need: dict[str, int], columns: Sequ
     for name, n in need.items():
         wanted = F.when(F.col(group) == name, F.lit(n)).otherwise(wanted)
     slot = F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SLOTS))
-    rows = rows.withColumns({"_t": whole, "_w": wanted, "_s": slot})
+    # Stored, so that a slot's rows are the same whenever they are counted or numbered.
+    rows = materialize(rows.withColumns({"_t": whole, "_w": wanted, "_s": slot}), "ties")
     counts = rows.groupBy(F.col(group).alias("g"), "_w", "_t").agg(F.count("*").alias("n"))
     ends = {r["g"]: r for r in _ends(counts, ["g"], "_t", F.col("_w")).collect()}  # one row per class
     taken = F.lit(False)

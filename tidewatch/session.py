@@ -73,6 +73,15 @@ def planned_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def takes_a_shuffle(df: DataFrame) -> bool:
+    """Whether making ``df`` moves rows between tasks, so that reading it twice should not make it twice."""
+    try:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+    except Exception:  # no JVM handle (for instance Spark Connect)
+        return True
+    return any(word in plan for word in ("Aggregate", "Join", "Window", "Exchange", "Sort ", "InArrow", "InPandas", "EvalPython"))
+
+
 def table_state(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes and time of the last change of a table's folder or file."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
