@@ -166,13 +166,6 @@ def _(spark, sf_dir):
     return training.metrics(scored, model.classes)[1]
 
 
-@query("sink_model")
-def _(spark, sf_dir):
-    root = scratch_path(spark, "profiles")
-    base = training.save(trained(spark, sf_dir), root, spark)
-    return spark.read.parquet(f"{base}/novelty").groupBy("tree").agg(F.count("*").alias("nodes"))
-
-
 @query("ml_ood_reference", f"""WITH {_SPLIT_SQL} {' UNION ALL '.join(
     f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.001), 6) AS lower, round(quantile_cont({c}, 0.999), 6) AS upper, "
     f"round(quantile_cont({c}, 0.5), 6) AS median, count({c}) AS n FROM train" for c in LINE_FEATURES)}""")
@@ -182,12 +175,88 @@ def _(spark, sf_dir):
     return bounds.withColumns({c: F.round(c, 6) for c in ("lower", "upper", "median")})
 
 
-@query("ml_novelty_fit")
+# --- the novelty detector in SQL: samples, growth level by level, walk level by level ----
+def _number(text: str) -> str:
+    """A number of eight hexadecimal digits."""
+    return " + ".join(f"(instr('0123456789abcdef', substr({text}, {i}, 1)) - 1) * {16 ** (8 - i)}" for i in range(1, 9))
+
+
+def _novelty_sql() -> str:
+    """Tables ``inodes`` (the detector's nodes) and ``train``."""
+    trees, rows, feats = NOVELTY.trees, NOVELTY.sample_rows, LINE_FEATURES
+    columns, two32 = ", ".join(feats), float(1 << 32)
+    ctes = [f"""{_SPLIT_SQL}, benign AS (SELECT * FROM train WHERE truth = 'BENIGN'),
+  size AS (SELECT count(*) AS n, least(1.0, {novelty.SLACK * rows} / greatest(count(*), 1)) AS part FROM benign),
+  hexed AS (SELECT *, md5(concat_ws('|', '{SEED}', 'novelty', 'arc', {_KEYS})) AS ah FROM benign),
+  arcs AS (SELECT *, CAST({_number('ah')} AS DOUBLE) * {trees} / {two32} AS place FROM hexed),
+  ends AS (SELECT arcs.*, CAST(floor(place) AS BIGINT) AS e1, greatest(CAST(floor(place - part * {trees}) AS BIGINT) + 1,
+    CAST(floor(place) AS BIGINT) - {trees - 1}) AS e0 FROM arcs, size),
+  drawn AS (SELECT *, unnest(generate_series(e0, e1)) AS e FROM ends WHERE e0 <= e1),
+  dealt AS (SELECT *, CAST((e % {trees} + {trees}) % {trees} AS INTEGER) AS tree FROM drawn),
+  sampled AS (SELECT * FROM dealt QUALIFY row_number() OVER (PARTITION BY tree ORDER BY
+    md5(concat_ws('|', '{SEED}', 'novelty', CAST(tree AS VARCHAR), {_KEYS})), {CARRY_LIST}) <= {rows}),
+  bounded AS (SELECT tree, CAST(ceil(log2(greatest(count(*), 2))) AS INTEGER) AS deepest FROM sampled GROUP BY 1),
+  s0 AS (SELECT tree, deepest, CAST(1 AS BIGINT) AS node, {columns} FROM sampled JOIN bounded USING (tree))"""]
+    depths = range((rows - 1).bit_length() + 1)
+    can = [f"CASE WHEN hi{i} > lo{i} THEN 1 ELSE 0 END" for i in range(len(feats))]
+    upto = [" + ".join(can[:i + 1]) for i in range(len(feats))]
+    for d in depths:
+        ends = ", ".join(f"min({f}) AS lo{i}, max({f}) AS hi{i}" for i, f in enumerate(feats))
+        pick = " ".join(f"WHEN hi{i} > lo{i} AND {upto[i]} = chosen + 1 THEN {i}" for i in range(len(feats)))
+        low, high, value = (f"CASE feature {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(xs))} END" for xs in (
+            [f"lo{i}" for i in range(len(feats))], [f"hi{i}" for i in range(len(feats))], feats))
+        ctes.append(f"""g{d} AS (SELECT tree, node, deepest, count(*) AS n, {ends},
+    md5(concat_ws('|', '{SEED}', 'split', CAST(tree AS VARCHAR), CAST(node AS VARCHAR))) AS h FROM s{d} GROUP BY 1, 2, 3),
+  c{d} AS (SELECT *, CASE WHEN {d} < deepest AND {upto[-1]} > 0 THEN ({_number('h')}) % ({upto[-1]}) ELSE -1 END AS chosen FROM g{d}),
+  f{d} AS (SELECT *, CASE WHEN chosen < 0 THEN -1 {pick} ELSE -1 END AS feature FROM c{d}),
+  v{d} AS (SELECT *, {low} AS a, {high} AS b, CAST({_number('substr(h, 9, 8)')} AS DOUBLE) / {two32} AS u FROM f{d}),
+  t{d} AS (SELECT *, CASE WHEN feature < 0 THEN 0.0 WHEN a + u * (b - a) >= b THEN a ELSE a + u * (b - a) END AS threshold FROM v{d})""")
+        if d < depths[-1]:
+            ctes.append(f"""s{d + 1} AS (SELECT tree, deepest, 2 * node + CASE WHEN ({value}) <= threshold THEN 0 ELSE 1 END AS node, {columns}
+    FROM s{d} JOIN (SELECT tree, node, feature, threshold FROM t{d}) USING (tree, node) WHERE feature >= 0)""")
+    path = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n END"
+    nodes = " UNION ALL ".join(f"SELECT tree, node, CAST(feature AS INTEGER) AS feature, threshold, {d} + {path} AS depth FROM t{d}" for d in depths)
+    return ", ".join([*ctes, f"inodes AS ({nodes})"])
+
+
+def _walk_sql(table: str) -> str:
+    """Table ``walked``: the rows of ``table`` with ``r`` and their novelty score."""
+    value = f"CASE feature {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(LINE_FEATURES))} END"
+    columns = ", ".join(LINE_FEATURES)
+    ctes = [f"placed AS (SELECT *, row_number() OVER () AS r FROM {table})",
+            f"w0 AS (SELECT r, tree, node, {columns}, feature, threshold, depth FROM placed, inodes WHERE node = 1)"]
+    deepest = (NOVELTY.sample_rows - 1).bit_length()
+    for d in range(deepest):
+        ctes.append(f"""w{d + 1} AS (SELECT w.r, w.tree, w.node, {', '.join('w.' + f for f in LINE_FEATURES)}, i.feature, i.threshold, i.depth
+    FROM (SELECT r, tree, 2 * node + CASE WHEN ({value}) <= threshold THEN 0 ELSE 1 END AS node, {columns} FROM w{d} WHERE feature >= 0) w
+    JOIN inodes i ON i.tree = w.tree AND i.node = w.node)""")
+    leaves = " UNION ALL ".join(f"SELECT r, depth FROM w{d} WHERE feature < 0" for d in range(deepest + 1))
+    scale = novelty.average_path(NOVELTY.sample_rows)
+    ctes.append(f"sums AS (SELECT r, -pow(2.0, -(sum(depth) / {NOVELTY.trees} / {scale!r})) AS novelty_score FROM ({leaves}) GROUP BY r)")
+    return ", ".join([*ctes, "walked AS (SELECT * FROM placed JOIN sums USING (r))"])
+
+
+_NOVELTY_STATS = f"""SELECT count(*) AS n_rows, CAST({NOVELTY.contamination} AS DOUBLE) AS contamination,
+    quantile_cont(novelty_score, {NOVELTY.contamination}) AS threshold, quantile_cont(novelty_score, 0.5) AS benign_score_median,
+    quantile_cont(novelty_score, 0.01) AS benign_score_p1 FROM walked"""
+
+
+@query("ml_novelty_fit", f"""WITH {_novelty_sql()} SELECT tree, node, feature, round(threshold, 9) AS threshold,
+    CASE WHEN feature < 0 THEN -1 ELSE 2 * node END AS left, CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 1 END AS right,
+    round(depth, 9) AS depth FROM inodes""")
 def _(spark, sf_dir):
-    return trained(spark, sf_dir).novelty_nodes
+    nodes = trained(spark, sf_dir).novelty_nodes
+    return nodes.withColumns({c: F.round(c, 9) for c in ("threshold", "depth")})
 
 
-@query("ml_novelty_score")
+@query("ml_novelty_score", f"WITH {_novelty_sql()}, {_walk_sql('flows')} SELECT {CARRY_LIST}, round(novelty_score, 9) AS novelty_score FROM walked")
+def _(spark, sf_dir):
+    model = trained(spark, sf_dir)
+    scored = novelty.with_novelty(_scored_flows(spark, sf_dir), model.novelty_nodes, LINE_FEATURES, NOVELTY)
+    return scored.select(*CARRY, F.round("novelty_score", 9).alias("novelty_score"))
+
+
+@query("ml_novelty_flags")
 def _(spark, sf_dir):
     model = trained(spark, sf_dir)
     scored = novelty.with_novelty(_scored_flows(spark, sf_dir), model.novelty_nodes, LINE_FEATURES, NOVELTY,
@@ -195,12 +264,20 @@ def _(spark, sf_dir):
     return scored.select(*CARRY, "novelty_score", "novelty_flagged")
 
 
-@query("agg_novelty_reference")
+@query("agg_novelty_reference", f"""WITH {_novelty_sql()}, {_walk_sql('benign')}, stats AS ({_NOVELTY_STATS})
+  SELECT n_rows, contamination, {', '.join(f'round({c}, 9) AS {c}' for c in ('threshold', 'benign_score_median', 'benign_score_p1'))} FROM stats""")
 def _(spark, sf_dir):
     model = trained(spark, sf_dir)
-    train = _parts(spark, sf_dir).filter("NOT is_test")
-    benign = train.filter(F.col(TARGET) == "BENIGN")
-    return novelty.reference(benign, model.novelty_nodes, LINE_FEATURES, NOVELTY)
+    benign = _parts(spark, sf_dir).filter("NOT is_test").filter(F.col(TARGET) == "BENIGN")
+    stats = novelty.reference(benign, model.novelty_nodes, LINE_FEATURES, NOVELTY)
+    return stats.withColumns({c: F.round(c, 9) for c in ("threshold", "benign_score_median", "benign_score_p1")})
+
+
+@query("sink_model", f"WITH {_novelty_sql()} SELECT tree, count(*) AS nodes FROM inodes GROUP BY 1")
+def _(spark, sf_dir):
+    root = scratch_path(spark, "profiles")
+    base = training.save(trained(spark, sf_dir), root, spark)
+    return spark.read.parquet(f"{base}/novelty").groupBy("tree").agg(F.count("*").alias("nodes"))
 
 
 @query("ml_compare_profiles")

@@ -2,13 +2,15 @@
 
 Trees are grown from at most ``sample_rows`` rows each, so fitting is a sampling
 job plus one small task per tree. Sampling hashes the row key once per row and gives
-each tree an arc of the hash circle; arcs overlap where rows are few.
+each tree an arc of the hash circle; arcs overlap where rows are few. Draws are bits
+of md5 values of stated texts, so any engine with md5 grows the same trees.
 The grown forest holds at most trees x 2 x sample_rows nodes whatever the input,
 which is why it may pass through the driver; scoring is one Arrow-batched pass.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -24,7 +26,7 @@ from tidewatch.operators.rows import q
 from tidewatch.session import materialize
 from tidewatch.spec import NoveltyPolicy
 
-NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, depth double")
+NODE_SCHEMA = "tree int, node long, feature int, threshold double, left long, right long, depth double"
 SLACK = 2.0          # candidates drawn per wanted row
 EULER = 0.5772156649015329
 
@@ -36,8 +38,9 @@ def average_path(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def _uniform(key: Sequence[str], salt: Column) -> Column:
-    return F.pmod(F.xxhash64(salt, *[q(c) for c in key]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def _keyed(seed: int, what: Column, key: Sequence[str]) -> Column:
+    parts = [F.coalesce(q(c).cast("string"), F.lit("~")) for c in key]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("novelty"), what, *parts))
 
 
 def tree_samples(rows: DataFrame, features: Sequence[str], key: Sequence[str], n_rows: int,
@@ -47,43 +50,40 @@ def tree_samples(rows: DataFrame, features: Sequence[str], key: Sequence[str], n
     share = min(1.0, SLACK * policy.sample_rows / max(n_rows, 1))
     # Tree t draws from the arc [t/trees, t/trees + share) of the hash circle: one hash
     # per row tells its trees, few of them where the table is large.
-    at = _uniform(key, F.lit(seed)) * policy.trees
+    bits = F.conv(F.substring(_keyed(seed, F.lit("arc"), key), 1, 8), 16, 10).cast("double")
+    at = bits * policy.trees / F.lit(float(1 << 32))
     last = F.floor(at).cast("int")
     first = F.greatest(F.floor(at - share * policy.trees).cast("int") + 1, last - (policy.trees - 1))
     draws = base.withColumn("_a", F.array(first, last)).filter(F.col("_a")[0] <= F.col("_a")[1]).drop("_a")
     draws = draws.select("*", F.explode(F.sequence(first, last)).alias("_e"))
     draws = draws.withColumn("tree", F.pmod("_e", F.lit(policy.trees)).cast("int")).drop("_e")
     order = F.row_number().over(Window.partitionBy("tree").orderBy(
-        F.xxhash64(F.lit(seed), "tree", *[q(c) for c in key]), *[q(c) for c in key]))
+        _keyed(seed, F.col("tree").cast("string"), key), *[q(c) for c in key]))
     return (draws.withColumn("_r", order).filter(F.col("_r") <= policy.sample_rows)
             .select("tree", *[q(f) for f in features]))
 
 
 def _grow(tree: int, data: np.ndarray, seed: int) -> list[tuple]:
-    rng = np.random.default_rng([seed, tree])
-    limit = math.ceil(math.log2(max(len(data), 2)))
-    nodes: list[list] = []
-
-    def add(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append([tree, at, -1, 0.0, -1, -1, depth + average_path(len(rows))])
+    """Nodes of one tree; node n splits into 2n and 2n + 1, a leaf's feature is -1."""
+    limit = (max(len(data), 2) - 1).bit_length()
+    nodes, todo = [], [(1, 0, data)]
+    while todo:
+        node, depth, rows = todo.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         splittable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(splittable):
-            return at
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        if depth >= limit or not len(splittable):
+            nodes.append((tree, node, -1, 0.0, -1, -1, depth + average_path(len(rows))))
+            continue
+        bits = hashlib.md5(f"{seed}|split|{tree}|{node}".encode()).hexdigest()
+        feature = int(splittable[int(bits[:8], 16) % len(splittable)])
+        a, b = float(low[feature]), float(high[feature])
+        threshold = a + int(bits[8:16], 16) / float(1 << 32) * (b - a)
+        if threshold >= b:  # the sum may round up to the maximum
+            threshold = a
+        nodes.append((tree, node, feature, threshold, 2 * node, 2 * node + 1, depth + average_path(len(rows))))
         below = rows[:, feature] <= threshold
-        if below.all():  # the draw may round up to the maximum
-            threshold = float(low[feature])
-            below = rows[:, feature] <= threshold
-        nodes[at][2:4] = [feature, threshold]
-        nodes[at][4] = add(rows[below], depth + 1)
-        nodes[at][5] = add(rows[~below], depth + 1)
-        return at
-
-    add(data, 0)
-    return [tuple(n) for n in nodes]
+        todo += [(2 * node, depth + 1, rows[below]), (2 * node + 1, depth + 1, rows[~below])]
+    return nodes
 
 
 def fit(rows: DataFrame, features: Sequence[str], key: Sequence[str], policy: NoveltyPolicy, seed: int,
@@ -107,11 +107,14 @@ def score_expression(nodes: DataFrame, features: Sequence[str], policy: NoveltyP
 
     Collects the node table: a fitted model of bounded size, no data.
     """
-    columns = ("feature", "threshold", "left", "right", "depth")
-    table = nodes.orderBy("tree", "node").toArrow()
+    table = nodes.select("tree", "node", "feature", "threshold", "depth").orderBy("tree", "node").toArrow()
     ends = np.append(np.flatnonzero(np.diff(table.column("tree").to_numpy())) + 1, table.num_rows)
-    arrays = [table.column(n).to_numpy() for n in columns]
-    trees = [walk.flat_from_table(*(a[i:j] for a in arrays[:4]), arrays[4][i:j, None]) for i, j in zip([0, *ends[:-1]], ends)]
+    columns = [table.column(n).to_numpy() for n in ("node", "feature", "threshold", "depth")]
+    trees = []
+    for i, j in zip([0, *ends[:-1]], ends):
+        node, feature, threshold, depth = (c[i:j] for c in columns)
+        left = np.where(feature >= 0, np.searchsorted(node, 2 * node), 0)
+        trees.append(walk.flat_from_table(feature, threshold, left, left + 1, depth[:, None]))
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
     scale = average_path(policy.sample_rows)
 
