@@ -55,6 +55,12 @@ def labelled(df: DataFrame, spec: FlowSpec) -> DataFrame:
     return out.filter(F.col(TARGET).isNotNull()).drop(spec.label_column)
 
 
+def marked_labels(df: DataFrame, spec: FlowSpec, mark: str) -> DataFrame:
+    """Class column for the raw label; a label without a class stands, stripped, in ``mark``."""
+    out = df.withColumn(TARGET, map_label(q(spec.label_column), spec.label_map))
+    return out.withColumn(mark, F.when(F.col(TARGET).isNull(), strip(q(spec.label_column)))).drop(spec.label_column)
+
+
 def dropped_labels(df: DataFrame, spec: FlowSpec) -> DataFrame:
     """Labels without a class, how many rows each cost, and why."""
     label = strip(q(spec.label_column))
@@ -110,6 +116,11 @@ def require_finite(df: DataFrame, features: Sequence[str]) -> None:
 
 def quality_counters(df: DataFrame, spec: FlowSpec) -> DataFrame:
     """Every counter of the per-row cleaning steps, in one pass over the raw text."""
+    return df.agg(*counter_columns(df, spec))
+
+
+def counter_columns(df: DataFrame, spec: FlowSpec) -> list[Column]:
+    """The counters as aggregates, for a pass of their own or to be observed in another."""
     label = spec.label_column
     cells = [c for c in spec.numeric_columns if c in df.columns]
     retained = [c for c in spec.retained if c in df.columns]
@@ -118,7 +129,7 @@ def quality_counters(df: DataFrame, spec: FlowSpec) -> DataFrame:
     junk = _sum([(q(c).isNotNull() & parse_double(q(c)).isNull()).cast("long") for c in cells])
     infinite = _sum([F.coalesce(is_infinite(parse_double(q(c))), F.lit(False)).cast("long") for c in cells])
     unmapped = map_label(q(label), spec.label_map).isNull() if label in df.columns else F.lit(False)
-    return df.agg(
+    return [
         F.count("*").alias("rows_in"),
         F.count_if(empty).alias("empty_rows"),
         F.count_if(~empty & ~kept).alias("missing_label"),
@@ -126,7 +137,7 @@ def quality_counters(df: DataFrame, spec: FlowSpec) -> DataFrame:
         F.coalesce(F.sum(F.when(kept, infinite)), F.lit(0)).alias("infinite_cells"),
         F.count_if(kept & unmapped).alias("unmapped_labels"),
         F.count_if(kept & ~unmapped).alias("rows_kept"),
-    )
+    ]
 
 
 def numeric_health(df: DataFrame, features: Sequence[str]) -> DataFrame:
