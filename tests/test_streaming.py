@@ -45,3 +45,39 @@ def test_a_wrong_field_costs_no_record(spark):
     assert [r["flow_id"] for r in got] == ["a", "b", "c", "d", None, None]
     assert got[0]["in_distribution"] is None and got[0]["confidence"] == 0.5
     assert got[1]["evidence"] is None and got[2]["src_port"] == 80
+
+
+ALERT = '{{"flow_id":"{0}","timestamp":"2024-05-0{1}T10:00:00Z","threat_class":"DDoS","severity":"HIGH","correct":true,"is_alertable":true}}'
+
+
+@pytest.mark.parametrize("within", ["1 day", None])
+def test_replayed_and_torn_lines_count_once(spark, tmp_path, within):
+    first = [ALERT.format(i, 1) for i in range(20)]
+    second = [ALERT.format(i, 1) for i in range(10, 30)] + [first[3][:50], "", first[3]]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.txt").write_text("\n".join(first + [second[0][:40]]))
+
+    def run():
+        stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "log")), within)
+        streaming.drain(lambda: stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        return sorted(int(r["flow_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list(range(20))
+    (tmp_path / "log" / "b.txt").write_text("\n".join(second))
+    assert run() == list(range(30))  # what was seen before the restart is remembered
+
+
+def test_totals_survive_a_restart(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+
+    def run():
+        rows = alerts.parse_alerts(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "log")))
+        streaming.drain(lambda: streaming.start_status_stream(rows, str(tmp_path / "out"), str(tmp_path / "state"), keep=2))
+        return [tuple(r) for r in streaming.run_counters(spark, str(tmp_path / "out")).select("threat_class", "flows", "correct_flows").collect()]
+
+    for n, name in enumerate("abcd", 1):
+        (tmp_path / "log" / name).write_text("\n".join(ALERT.format(f"{name}{i}", 1) for i in range(5)))
+        assert run() == [("DDoS", 5 * n, 5 * n)]
+    status = streaming.run_status(spark, str(tmp_path / "out")).orderBy("batch").collect()
+    assert [r["flows"] for r in status] == [15, 20] and status[-1]["live_accuracy"] == 1.0

@@ -85,9 +85,22 @@ def _(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("stream_dedupe_guard", f"{ORDER_SQL} SELECT count(*) AS lines, count(DISTINCT flow_id) AS flows FROM alerts")
+@query("stream_dedupe_guard", f"""{ORDER_SQL} SELECT threat_class, count(*) AS lines, count(DISTINCT flow_id) AS flows,
+    count(*) FILTER (is_alertable) AS alertable FROM alerts GROUP BY 1""")
 def _(spark, sf_dir):
-    return _scored(spark, sf_dir).agg(F.count("*").alias("lines"), F.count_distinct("flow_id").alias("flows"))
+    """A log in which every third line comes again and every fifth was first read half written."""
+    whole, log = scratch_path(spark, "stream-alerts"), scratch_path(spark, "stream-log")
+    out, state = scratch_path(spark, "stream-once"), (scratch_path(spark, "state"), scratch_path(spark, "state"))
+    streaming.drain(lambda: streaming.start_alert_stream(_alert_stream(spark, sf_dir), whole, state[0]))
+    lines = spark.read.text(whole)
+    hashed = F.pmod(F.xxhash64("value"), F.lit(15))
+    torn = lines.filter(hashed % 5 == 0).select(F.substring("value", 1, 80).alias("value"))
+    torn.unionByName(lines).unionByName(lines.filter(hashed % 3 == 0)).write.text(log)
+    stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", 4).text(log))
+    streaming.drain(lambda: stream.writeStream.format("parquet").option("path", out)
+                    .option("checkpointLocation", state[1]).trigger(availableNow=True).start())
+    return spark.read.parquet(out).groupBy("threat_class").agg(
+        F.count("*").alias("lines"), F.count_distinct("flow_id").alias("flows"), F.count_if("is_alertable").alias("alertable"))
 
 
 @query("stream_alert_queues", f"""{ORDER_SQL} SELECT flow_id, CASE WHEN is_alertable THEN 'alerts' ELSE 'review' END AS queue

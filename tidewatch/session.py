@@ -48,11 +48,16 @@ def drop_scratch(spark: SparkSession, mark: int = 0, keep: DataFrame | None = No
     for path in _SCRATCH[mark:]:
         name = path.rsplit("/", 1)[1]
         if not any(f"/{name}/" in f for f in kept):
-            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+            remove(spark, path)
             _SCRATCH.remove(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
