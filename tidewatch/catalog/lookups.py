@@ -11,7 +11,8 @@ from tidewatch.catalog.standin import (CARRY, CLASSES, FLOWS_SQL, LINE_FEATURES,
                                        split_flows)
 from tidewatch.functions import coerce, naming
 from tidewatch.functions import severity as sev
-from tidewatch.operators import alerts, evaluation, evidence, quality, rows
+from tidewatch.operators import alerts, evidence, quality, rows
+from tidewatch.operators.verdict import known
 from tidewatch.plans import train as training
 
 CARRY_LIST = ", ".join(CARRY)
@@ -152,9 +153,8 @@ def _(spark, sf_dir):
 @query("filter_known_class", f"""WITH {FLOWS_SQL} SELECT {CARRY_LIST}, truth,
     truth IN ('BENIGN', 'DDoS', 'PortScan', 'Botnet') AS known FROM flows""")
 def _(spark, sf_dir):
-    table = flows(spark, sf_dir).select(*CARRY, "truth")
-    return (evaluation.known_only(table, CLASSES).withColumn("known", F.lit(True))
-            .unionByName(evaluation.unseen_only(table, CLASSES).withColumn("known", F.lit(False))))
+    answer = F.coalesce(known(F.col("truth"), CLASSES), F.lit(False))
+    return flows(spark, sf_dir).select(*CARRY, "truth", answer.alias("known"))
 
 
 # --- records as maps -----------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Reading flow CSV files: headers, encodings, malformed lines, many files.
 
-All cells are read as text; typing is the cleaning job's work. Files are read in
-groups of equal header and encoding, one scan per group, so a thousand files of
-one layout cost one scan.
+All cells are read as text; typing is the cleaning job's work. Any number of files is
+read in two scans. The first makes a table of files, one row each: its header, and
+whether it is valid UTF-8. The second joins lines to it, decodes and parses them, and
+takes each cell by the place its column has in the file's header. The driver sees
+distinct headers, never files or lines.
 """
 
 from __future__ import annotations
@@ -11,13 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions.naming import canonical_header, canonical_name
-from tidewatch.session import path_exists
+from tidewatch.session import materialize, path_exists
 from tidewatch.spec import FlowSpec
 
-UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
+LATIN1 = "ISO-8859-1"
 CORRUPT = "_corrupt"
 
 
@@ -47,11 +48,22 @@ def explode_headers(lines: DataFrame) -> DataFrame:
             .withColumn("canonical", canonical_header(F.col("raw"))))
 
 
-def undecodable_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files holding a line that is no valid UTF-8."""
-    text = spark.read.text(list(paths))
-    return (text.filter(~F.is_valid_utf8("value"))
-            .select(F.col("_metadata.file_path").alias("path")).distinct())
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, at, i, value``: lines with the offset of their split and their place in the scan."""
+    return spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"), "value")
+
+
+def file_table(lines: DataFrame) -> DataFrame:
+    """``path, line, head, latin``: each file's first line, its place, and whether any line is no valid UTF-8.
+
+    One pass over the text; only splits at offset 0 give a first line, one per file.
+    """
+    opening = F.col("at") == 0
+    return lines.groupBy("path").agg(
+        F.first(F.when(opening, F.col("value")), ignorenulls=True).alias("line"),
+        F.min(F.when(opening, F.col("i"))).alias("head"), (~F.bool_and(F.is_valid_utf8("value"))).alias("latin"))
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -67,55 +79,53 @@ def cell_count(line: Column) -> Column:
     return F.size(F.split(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', ""), ","))
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], raw_header: Sequence[str], wanted: Sequence[str] | None,
-             *, encoding: str = UTF8, keep_corrupt: bool = False) -> DataFrame:
-    """Files sharing one header, as text columns under canonical names.
-
-    Columns are named by position, because Spark's reader renames every copy of a
-    repeated header; the first copy is kept.
-    """
-    positional = [f"c{i}" for i in range(len(raw_header))]
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in positional],
-                           T.StructField(CORRUPT, T.StringType())])
-    rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-            .option("encoding", encoding).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(list(paths)))
-    if not keep_corrupt:
-        # Short rows are padded with nulls, as flow tools expect; only rows with
-        # surplus cells count as malformed.
-        surplus = cell_count(F.col(CORRUPT)) > len(raw_header)
-        rows = rows.filter(F.col(CORRUPT).isNull() | ~surplus)
-    picked: dict[str, str] = {}
-    for at, raw in zip(positional, raw_header):
-        name = canonical_name(raw)
-        if (wanted is None or name in set(wanted)) and name not in picked:
-            picked[name] = at
-    extra = [F.col(CORRUPT)] if keep_corrupt else []
-    return rows.select(*[F.col(at).alias(name) for name, at in picked.items()], *extra,
-                       F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.file_block_start").alias("_block"))
-
-
 def read_flows(spark: SparkSession, paths: Sequence[str], spec: FlowSpec, *, keep_file: bool = False,
                keep_corrupt: bool = False) -> DataFrame:
-    """Union of the given files by column name, pruned to what the spec retains.
+    """The given files as one table by column name, pruned to what the spec retains.
 
-    The driver handles one header line per file, the same order of size as the
-    file listing itself; rows stay on the executors.
+    Short rows are padded with nulls, as flow tools expect; rows with more cells than
+    their file's header are left out, or kept whole under ``CORRUPT``. The first copy of
+    a repeated column counts. A file that is no valid UTF-8 is read as Latin-1 throughout.
+    A line in a file that repeats its header is a row like any other.
     """
     found, _ = existing(spark, paths)
-    lines = {r["path"]: r["line"] for r in header_lines(spark, found).collect()}
-    latin = {r["path"] for r in undecodable_files(spark, found).collect()}
-    groups: dict[tuple[str, str], list[str]] = {}
-    for path, line in sorted(lines.items()):
-        groups.setdefault((line.rstrip("\r\n"), LATIN1 if path in latin else UTF8), []).append(path)
-    tables = [read_csv(spark, members, line.split(","), spec.retained, encoding=encoding, keep_corrupt=keep_corrupt)
-              for (line, encoding), members in groups.items()]
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table, allowMissingColumns=True)
-    out = out.withColumn("file", _base_name(F.col("_path"))).drop("_path", "_block")
-    return out if keep_file else out.drop("file")
+    text = _lines(spark, found)  # one listing of the files, so both scans place lines alike
+    files = materialize(file_table(text), "flow-files")
+    headers = [r["line"] for r in files.select("line").distinct().collect()]  # the layouts, not the files
+    layouts = {line: line.rstrip("\r\n").split(",") for line in sorted(headers)}
+    places: dict[str, dict[str, int]] = {}
+    for line, cells in layouts.items():
+        for at, raw in enumerate(cells):
+            name = canonical_name(raw)
+            if name in set(spec.retained):
+                places.setdefault(name, {}).setdefault(line, at)
+    width = max(map(len, layouts.values()), default=1)
+
+    # The table of files is joined by broadcast where it is small enough for the planner, else by its key.
+    moved = F.raise_error(F.lit("the input files changed while they were read"))
+    body = F.when(F.col("i") != F.col("head"), F.lit(True)).when(F.col("value") == F.col("line"), F.lit(False)).otherwise(moved.cast("boolean"))
+    lines = text.join(files, "path").filter(body).filter(F.trim("value") != "")
+    lines = lines.withColumn("value", F.when(F.col("latin"), F.decode(F.col("value").cast("binary"), LATIN1)).otherwise(F.col("value")))
+    size = F.lit(0)
+    for line, cells in layouts.items():
+        size = F.when(F.col("line") == line, F.lit(len(cells))).otherwise(size)
+    # Commas at large are counted first: few lines have more of them than they may.
+    surplus = (F.size(F.split("value", ",")) > size) & (cell_count(F.col("value")) > size)
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+    parsed = lines.withColumns({"surplus": surplus, "row": cells})
+    if not keep_corrupt:
+        parsed = parsed.filter(~F.col("surplus"))
+    columns = []
+    for name, at in places.items():
+        value = F.lit(None).cast("string")
+        for line, i in at.items():
+            value = F.when(F.col("line") == line, F.col(f"row.c{i}")).otherwise(value)
+        columns.append(value.alias(name))
+    if keep_corrupt:
+        columns.append(F.when(F.col("surplus"), F.col("value")).alias(CORRUPT))
+    if keep_file:
+        columns.append(_base_name(F.col("path")).alias("file"))
+    return parsed.select(*columns)
 
 
 def malformed_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
