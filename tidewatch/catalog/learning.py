@@ -241,12 +241,12 @@ _NOVELTY_STATS = f"""SELECT count(*) AS n_rows, CAST({NOVELTY.contamination} AS
     quantile_cont(novelty_score, 0.01) AS benign_score_p1 FROM walked"""
 
 
-@query("ml_novelty_fit", f"""WITH {_novelty_sql()} SELECT tree, node, feature, round(threshold, 9) AS threshold,
+@query("ml_novelty_fit", f"""WITH {_novelty_sql()} SELECT tree, node, feature, round(threshold, 6) AS threshold,
     CASE WHEN feature < 0 THEN -1 ELSE 2 * node END AS left, CASE WHEN feature < 0 THEN -1 ELSE 2 * node + 1 END AS right,
     round(depth, 9) AS depth FROM inodes""")
 def _(spark, sf_dir):
     nodes = trained(spark, sf_dir).novelty_nodes
-    return nodes.withColumns({c: F.round(c, 9) for c in ("threshold", "depth")})
+    return nodes.withColumns({"threshold": F.round("threshold", 6), "depth": F.round("depth", 9)})
 
 
 @query("ml_novelty_score", f"WITH {_novelty_sql()}, {_walk_sql('flows')} SELECT {CARRY_LIST}, round(novelty_score, 9) AS novelty_score FROM walked")
