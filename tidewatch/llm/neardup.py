@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.components import components
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col, materialize, packed
-from tidewatch.llm.text import SQUEEZED, U, Words, annotate, chunks, expand, fields, grams, mix, powers, squeeze, structs, words
+from tidewatch.llm.text import SQUEEZED, U, Words, annotate, chunks, expand, fields, grams, mix, prefix_hashes, span_hash, squeeze, structs, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TILE_ROWS, TERMS = 2048, 4096  # members of a band compared in one task; shingles per matrix
@@ -77,15 +77,14 @@ def band_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sequence_hash(found: Words) -> np.ndarray:
-    """One number per text for its whole sequence of words."""
-    up, down = powers(len(found.hashes) + 1)
-    total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(mix(found.hashes) * up[:len(found.hashes)], dtype=U)])
+def _sequence_hash(found: Words, salt: int = 0) -> np.ndarray:
+    """One number per text for its whole sequence of words; another one with another salt."""
+    word = mix(found.hashes ^ U(salt))
     start, end = found.bounds[:-1], found.bounds[1:]
-    return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(U)))
+    return mix(span_hash(prefix_hashes(word >> U(33), word & U((1 << 31) - 1)), start, end) + mix((end - start).astype(U)))
 
 
-SIGNED = fields(node="long", bands="long[]")
+SIGNED = fields(node="long", node2="long", bands="long[]")
 
 
 def signed(texts: pa.Array, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> pa.Array:
@@ -97,11 +96,11 @@ def signed(texts: pa.Array, shingle: int = SHINGLE, bands: int = BANDS, rows: in
         h, o, w = weighted(h, found.owner()[at])
         keys = band_keys(registers(h, o, w, len(chunk), bands * rows), bands, rows)
         empty = np.diff(found.bounds) == 0
-        node = pa.array(_sequence_hash(found).view(np.int64), mask=empty)
+        node, node2 = (pa.array(_sequence_hash(found, salt).view(np.int64), mask=empty) for salt in (0, int(OTHER)))
         offsets = pa.array(np.arange(len(chunk) + 1, dtype=np.int32) * bands, mask=np.append(empty, False))
         parts.append(structs(SIGNED, {
-            "node": node, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))}))
-    return pa.concat_arrays(parts) if parts else structs(SIGNED, {"node": [], "bands": []})
+            "node": node, "node2": node2, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))}))
+    return pa.concat_arrays(parts) if parts else structs(SIGNED, {"node": [], "node2": [], "bands": []})
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -126,19 +125,24 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 def similarities(left: pa.Array, right: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     out = []
     for chunk in chunks(left):
-        sides = []
-        for part in (chunk, next(chunks(right.slice(chunk.first, len(chunk)), 1 << 62))):
-            found = words(part)
-            at, h = grams(found, shingle)
-            sides.append((h, np.searchsorted(at, found.bounds)))
-        (ha, ba), (hb, bb) = sides
-        for i in range(len(chunk)):
-            a, x = np.unique(ha[ba[i]:ba[i + 1]], return_counts=True)
-            b, y = np.unique(hb[bb[i]:bb[i + 1]], return_counts=True)
+        sides = [_shingled(side.slice(chunk.first, len(chunk)), shingle) for side in (left, right)]
+        for mine, theirs in zip(*sides):
+            a, x = np.unique(mine, return_counts=True)
+            b, y = np.unique(theirs, return_counts=True)
             out.append(probability_jaccard(a, x.astype(float), b, y.astype(float)))
     return np.array(out)
 
 
+def _shingled(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The shingles of each text, with repeats; about one chunk is in memory at a time."""
+    for part in chunks(texts):
+        found = words(part)
+        at, h = grams(found, shingle)
+        bounds = np.searchsorted(at, found.bounds)
+        for i in range(len(part)):
+            yield h[bounds[i]:bounds[i + 1]]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of ``(a, b)`` those at least ``threshold`` similar, stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +231,7 @@ def _linked(parts: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:
     if len(names) > 1:
         column = rows.column("z").combine_chunks() if isinstance(rows.column("z"), pa.ChunkedArray) else rows.column("z")
         hashes, owner = [], []
-        for chunk in chunks(expand(column), 1 << 62):
+        for chunk in chunks(expand(column)):
             found = words(chunk)
             at, h = grams(found, SHINGLE)
             hashes.append(h)
@@ -267,6 +271,18 @@ def _linked(parts: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def told_apart(sig: DataFrame) -> DataFrame:
+    """``sig`` with a node of its own for each ``(node, node2)`` where several share a node.
+
+    Two hashes of 62 bits say whether the words of two texts are the same. Nodes that
+    hold different texts are next to none, so the side joined is next to empty.
+    """
+    mixed = sig.filter("node IS NOT NULL").groupBy("node").agg(F.min("node2").alias("low"), F.max("node2").alias("high"))
+    mixed = materialize(mixed.filter("low < high").select("node", F.lit(True).alias("mixed")), "neardup-mixed")
+    node = F.when(F.col("mixed"), F.xxhash64("node", "node2")).otherwise(F.col("node"))
+    return sig.join(mixed, "node", "left").withColumn("node", node).drop("mixed", "node2")
+
+
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, tk, class_id, class_size, first)`` per row: its class, named by the least id in it.
@@ -280,7 +296,7 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     base = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     base = base.withColumns({"tk": F.xxhash64("text"), "id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
     sig = annotate(base, "text", SIGNED, signed, keep=["doc_id", "tk", "id"])
-    sig = materialize(sig.select("row.*", "found.*"), "neardup-signed")
+    sig = told_apart(materialize(sig.select("row.*", "found.*"), "neardup-signed"))
     whole = components(links(base, sig, threshold))
     member = sig.select("doc_id", "tk", "node").join(whole, "node", "left")
     member = materialize(member.select("doc_id", "tk", F.coalesce("comp", "node").alias("comp")), "neardup-members")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,30 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.registry import query, table
 from tidewatch.llm.tables import col, materialize
-from tidewatch.llm.text import SQUEEZED, U, annotate, chunks, expand, fields, mix, powers, prefix_hashes, span_hash, squeeze, structs
+from tidewatch.llm.text import BASE, CHUNK_BYTES, SQUEEZED, U, annotate, chunks, expand, fields, mix, prefix_hashes, span_hash, squeeze, structs
 
 LENGTH, GRAM = 400, 100
 HOT_BUCKET = 50_000     # distinct places of one gram from which it is dealt out by window
+TOP_GRAMS = 100_000     # the most frequent hot grams, which are broadcast
 BUFFER_WINDOWS = (1 << 20) - 2
 LOW32 = U((1 << 32) - 1)
 
 
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, BASE, dtype=U), np.full(size, pow(BASE, -1, 1 << 64), dtype=U)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+
+
+def _rolling(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram at each place, modulo 2**64: it only says where to look, so it may collide."""
+    up, down = _powers(max(CHUNK_BYTES + 2, 1 << len(data).bit_length()))
+    prefix = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum((data.astype(U) + U(1)) * up[:len(data)], out=prefix[1:])
+    return mix((prefix[gram:] - prefix[:-gram]) * down[:len(data) - gram + 1])
+
+
 def cover_sample(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Sampled grams with the windows each is sampled for: hash, place, first and last window start.
 
@@ -44,9 +61,7 @@ def cover_sample(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -
     n, width = len(data) - gram + 1, length - gram + 1
     if len(data) < length:
         return none.view(U), none, none, none
-    prefix = prefix_hashes(data)
-    _, down = powers(len(prefix))
-    hashes = mix((prefix[gram:] - prefix[:-gram]) * down[:n])
+    hashes = _rolling(data, gram)
     key = (hashes & ~LOW32) | (LOW32 - np.arange(n, dtype=U))
     rows = -(-n // width)
     grid = np.full(rows * width, ~U(0), dtype=U)
@@ -90,7 +105,7 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
 
     Rows with ``body`` go to the bucket of their gram; rows without say that these
     windows repeat (seen twice here). Hot grams give one row per distinct window of
-    a batch, with its fingerprint in ``gram`` and ``seen`` below 0.
+    a batch, with its fingerprint in ``rank`` and ``seen`` below 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +126,7 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
                     return_index=True, return_inverse=True, return_counts=True)
                 bodies = [chunk.data[start[c]:end[c]].tobytes() for c in cold[index].tolist()]
                 again = cold[counts[which] > 1]
-                parts = [(gram[i:j][cold[index]], row[cold[index]], low[i:j][cold[index]], high[i:j][cold[index]],
+                parts = [(gram[i:j][cold[index]], 0, row[cold[index]], low[i:j][cold[index]], high[i:j][cold[index]],
                           np.minimum(counts, 2), bodies)]
                 over = [(row[again], low[i:j][again], high[i:j][again])]
                 warm = np.flatnonzero(hot[i:j])
@@ -119,21 +134,23 @@ def _stretches(texts: DataFrame, length: int) -> DataFrame:
                     n = high[i:j][warm] - low[i:j][warm] + 1
                     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     s, r, at_ = np.repeat(start[warm], n) + step, np.repeat(row[warm], n), np.repeat(low[i:j][warm], n) + step
-                    rank, index, which, counts = np.unique(
-                        span_hash(prefix, s, s + length), return_index=True, return_inverse=True, return_counts=True)
-                    parts.append((rank.view(np.int64), r[index], at_[index], at_[index], -np.minimum(counts, 2), [None] * len(rank)))
+                    rank, of = span_hash(prefix, s, s + length), np.repeat(gram[i:j][warm], n)
+                    _, index, which, counts = np.unique(
+                        mix(rank ^ of.view(U)), return_index=True, return_inverse=True, return_counts=True)
+                    parts.append((of[index], rank[index].view(np.int64), r[index], at_[index], at_[index],
+                                  -np.minimum(counts, 2), [None] * len(index)))
                     twice = counts[which] > 1
                     over.append((r[twice], at_[twice], at_[twice]))
                 r, a, b = _merged(*(np.concatenate(x) for x in zip(*over)))
-                parts.append((np.zeros(len(r), dtype=np.int64), r, a, b, np.full(len(r), 2), [None] * len(r)))
-                for g, r, a, b, seen, body in parts:
+                parts.append((np.zeros(len(r), dtype=np.int64), 0, r, a, b, np.full(len(r), 2), [None] * len(r)))
+                for g, rank, r, a, b, seen, body in parts:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g), pa.array(tk[r]), pa.array(tk2[r]), pa.array(a.astype(np.int32)),
+                        [pa.array(g), pa.array(np.broadcast_to(rank, len(r)).astype(np.int64)), pa.array(tk[r]), pa.array(tk2[r]), pa.array(a.astype(np.int32)),
                          pa.array(b.astype(np.int32)), pa.array(seen.astype(np.int32)), pa.array(body, pa.binary())],
-                        names=["gram", "tk", "tk2", "low", "high", "seen", "body"])
+                        names=["gram", "rank", "tk", "tk2", "low", "high", "seen", "body"])
 
     return texts.select("z", "tk", "tk2", "spans").mapInArrow(
-        run, "gram long, tk long, tk2 long, low int, high int, seen int, body binary")
+        run, "gram long, rank long, tk long, tk2 long, low int, high int, seen int, body binary")
 
 
 def _merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +206,7 @@ def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            windows += pc.sum(pc.binary_length(batch.column(6))).as_py() or 0
+            windows += pc.sum(pc.binary_length(batch.column(7))).as_py() or 0
             if windows >= BUFFER_WINDOWS:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 gram = whole.column("gram").to_numpy()
@@ -197,7 +214,7 @@ def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
                 if cut:
                     yield repeats(whole.slice(0, cut))
                 held = whole.slice(cut).to_batches()
-                windows = sum(pc.sum(pc.binary_length(b.column(6))).as_py() or 0 for b in held)
+                windows = sum(pc.sum(pc.binary_length(b.column(7))).as_py() or 0 for b in held)
         if held:
             yield repeats(pa.Table.from_batches(held))
 
@@ -212,8 +229,13 @@ def repeated_spans(base: DataFrame, length: int, gram: int, hot: int) -> DataFra
     # More than one place; copies of a text are one place.
     place = F.xxhash64("tk", "tk2", "low")
     often = sample.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n"))
-    often = often.filter("p < q").select("gram", (F.col("n") > hot).alias("hot"))
-    chosen = sample.join(often, "gram").distinct().groupBy("tk", "tk2").agg(
+    often = materialize(often.filter("p < q").select("gram", "n", (F.col("n") > hot).alias("hot")), "substr-often")
+    # Places of the most frequent grams stay where they are; each other gram is a small share of a task.
+    top = materialize(often.filter("hot").orderBy(F.desc("n"), "gram").limit(TOP_GRAMS).select("gram", "hot"), "substr-top")
+    rest = often.join(F.broadcast(top), "gram", "left_anti").select("gram", "hot")
+    placed = sample.join(F.broadcast(top), "gram").union(
+        sample.join(F.broadcast(top), "gram", "left_anti").join(rest, "gram").select("gram", "tk", "tk2", "low", "high", "hot"))
+    chosen = placed.distinct().groupBy("tk", "tk2").agg(
         F.sort_array(F.collect_list(F.struct("gram", "low", "high", "hot"))).alias("spans"))  # of one text
     one = texts.groupBy("tk", "tk2").agg(F.min("id").alias("id"), F.count("*").alias("copies"),
                                          F.min(F.octet_length("text")).alias("size"))
@@ -226,9 +248,10 @@ def repeated_spans(base: DataFrame, length: int, gram: int, hot: int) -> DataFra
     stretch = materialize(_stretches(some, length), "substr-stretches")
     local = stretch.filter("body IS NULL AND seen > 1").select(
         "tk", "tk2", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
-    windows = stretch.filter("seen < 0").select("gram", "tk", "tk2", "low", "seen")
-    twice = windows.groupBy("gram").agg(F.sum("seen").alias("n")).filter("n < -1").select("gram")
-    dealt = windows.join(twice, "gram").select("tk", "tk2", F.col("low").alias("start"), (F.col("low") + length).alias("end"))
+    # Equal windows agree in two hashes of unlike kinds, as those of a bucket do.
+    windows = stretch.filter("seen < 0").select("gram", "rank", "tk", "tk2", "low", "seen")
+    twice = windows.groupBy("gram", "rank").agg(F.sum("seen").alias("n")).filter("n < -1").select("gram", "rank")
+    dealt = windows.join(twice, ["gram", "rank"]).select("tk", "tk2", F.col("low").alias("start"), (F.col("low") + length).alias("end"))
     copies = one.filter("copies > 1").select("tk", "tk2", F.lit(0).alias("start"), F.col("size").alias("end"))
     spans = _sorted_buckets(stretch, length).union(local).union(dealt).union(copies)
     return spans.groupBy("tk", "tk2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))

@@ -1,8 +1,9 @@
 """Words and byte strings of many texts at once, as numpy arrays, inside tasks.
 
 Everything works on the UTF-8 bytes that Arrow hands over, so no Python string is
-made per word. Hashes are 64-bit polynomials, mixed; equal bytes give equal hashes
-on every executor.
+made per word. Hashes are pairs of polynomials modulo the prime 2**31 - 1, each with a
+base of its own, mixed into 64 bits; equal bytes give equal hashes on every executor.
+A prime modulus has no texts that collide for every base, as powers of two have.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+BASES = (1_103_515_245, 1_812_433_253 % PRIME)
 CHUNK_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -39,15 +41,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def modulo(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo ``PRIME``."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    x = (x & U(PRIME)) + (x >> U(31))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def _series(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, dtype=U)
+    done = 1
+    while done < size:
+        more = out[:min(done, size - done)]
+        out[done:done + len(more)] = modulo(more * U(pow(base, done, PRIME)))
+        done += len(more)
+    return out
+
+
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, dtype=U), np.full(size, INVERSE, dtype=U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+def _powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    return tuple((_series(b, size), _series(pow(b, -1, PRIME), size)) for b in BASES)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and its inverse modulo 2**64, for i below at least ``size``."""
+def powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For each base its powers and their inverses, for exponents below at least ``size``."""
     usual = CHUNK_BYTES + 2
     return _powers(usual if size <= usual else 1 << (size - 1).bit_length())
 
@@ -82,17 +99,23 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         start = stop
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Cumulative hash; with ``span_hash`` it gives that of any byte span."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[:len(data)], out=out[1:])
+def prefix_hashes(data: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Cumulative hashes, a row per base; with ``span_hash`` they give that of any span.
+
+    ``data`` holds numbers below 2**31, as ``other``, which the second base takes if given.
+    """
+    out = np.zeros((len(BASES), len(data) + 1), dtype=U)
+    for row, values, (up, _) in zip(out, (data, data if other is None else other), powers(len(data) + 1)):
+        terms = (values.astype(U) + U(1)) * up[:len(data)]
+        np.cumsum((terms & U(PRIME)) + (terms >> U(31)), out=row[1:])  # below 2**33 each
+        row[:] = modulo(row)
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    first, second = (modulo((row[end] + U(PRIME) - row[start]) * down[start])
+                     for row, (_, down) in zip(prefix, powers(prefix.shape[1])))
+    return mix(first << U(32) | second)
 
 
 class Words(NamedTuple):
