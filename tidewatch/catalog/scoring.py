@@ -65,7 +65,25 @@ def _(spark, sf_dir):
     return assessed(spark, sf_dir).select(*CARRY, F.round("ood_score", 6).alias("ood_score"))
 
 
-@query("op_ood_reason")
+def _reason_sql() -> str:
+    """Text of the reason in table ``a``: the first feature of largest excursion is described."""
+    n, gaps = len(LINE_FEATURES), {f: f"coalesce({e}, -1)" for f, e in _EXC.items()}
+    worst = f"greatest({', '.join(gaps.values())})"
+
+    def number(x: str) -> str:
+        return f"format('{{:,.4g}}', {x})"
+
+    described = " ".join(f"""WHEN {gap} = {worst} THEN '{f} = ' || {number(f)} || ' is ' || CASE WHEN {f} > {f}_hi THEN 'above' ELSE 'below' END
+      || ' the training bound of ' || CASE WHEN {f} > {f}_hi THEN {number(f + '_hi')} ELSE {number(f + '_lo')} END || ' (range ['
+      || {number(f + '_lo')} || ', ' || {number(f + '_hi')} || '], ' || format('{{:,.1f}}', {gap}) || 'x the range width beyond it)'"""
+                         for f, gap in gaps.items())
+    return f"""CASE WHEN n_violations = 0 THEN 'All {n} features are in the range seen in training.' ELSE CASE
+      WHEN reliability = 'UNRELIABLE' THEN n_violations || ' of {n} features are out of the range seen in training, so the model '
+        || 'extrapolates and is not to be trusted. Worst: '
+      ELSE '1 of {n} features is out of the training range. Treat with caution. ' END || CASE {described} END END"""
+
+
+@query("op_ood_reason", f"{LINE_SQL} SELECT {CARRY_LIST}, reliability, {_reason_sql()} AS ood_reason FROM a")
 def _(spark, sf_dir):
     return assessed(spark, sf_dir, detail=True).select(*CARRY, "reliability", "ood_reason")
 
@@ -193,7 +211,24 @@ def _(spark, sf_dir):
     return rows.select(*CARRY, "r.rule.feature", F.col("r.rule.position").alias("pos"), (F.col("r.tier") == 0).alias("notable"))
 
 
-@query("fn_comparison")
+def _shown_sql(value: str) -> str:
+    return (f"CASE WHEN abs({value}) >= 1000 THEN format('{{:,.0f}}', {value}) WHEN abs({value}) >= 1 THEN "
+            f"rtrim(rtrim(format('{{:,.2f}}', {value}), '0'), '.') ELSE rtrim(rtrim(format('{{:,.3f}}', {value}), '0'), '.') END")
+
+
+_USUAL = "the middle of benign flows is "
+_BENIGN = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}_BENIGN" for f in LINE_FEATURES) + " END"
+
+
+@query("fn_comparison", f"""{_EVIDENCE_SQL}, w AS (SELECT e.*, {_BENIGN} AS benign FROM e, m), t AS (SELECT *, {_shown_sql('value')} AS display,
+    CASE WHEN benign = 0 THEN CASE WHEN value > 0 THEN '{_USUAL}0' END
+      WHEN value = 0 AND 0 <= benign * 0.34 THEN 'nothing, where {_USUAL}' || {_shown_sql('benign')}
+      WHEN value / benign >= 3.0 THEN format('{{:,.1f}}', value / benign) || ' times what half of benign flows stay under: ' || {_shown_sql('benign')}
+      WHEN value / benign <= 0.34 THEN format('{{:,.1f}}', 1 / greatest(value / benign, 1e-9))
+        || ' times less than the middle of benign flows: ' || {_shown_sql('benign')}
+      ELSE '{_USUAL}' || {_shown_sql('benign')} END AS comparison FROM w)
+  SELECT {CARRY_LIST}, string_agg(display, ' | ' ORDER BY notable DESC, place) AS displays,
+    coalesce(string_agg(comparison, ' | ' ORDER BY notable DESC, place), '') AS comparisons FROM t GROUP BY rid, {CARRY_LIST}""")
 def _(spark, sf_dir):
     detail = _evidence(spark, sf_dir)
     return detail.select(*CARRY, F.concat_ws(" | ", "evidence_detail.display").alias("displays"),
