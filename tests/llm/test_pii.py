@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
+
 from tests.llm.conftest import ODD
-from tidewatch.llm.pii import KINDS, find_personal, luhn, strict, written
+from tidewatch.llm.pii import KINDS, best_apart, find_personal, loose, luhn, strict, written
 
 PATTERNS = [re.compile(x) for x in (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -50,6 +52,51 @@ def test_trees_add_spans_of_the_same_format(spark):
     assert all(len(by[i]["base"]) == 1 for i in range(400))
 
 
+def card(n):
+    body = f"4{n * 7919 % 10 ** 14:014d}"
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def test_planted_loose_spans(spark):
+    """Forms that no strict pattern takes are learned from strict matches alone; other numbers and prose stay."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abdeilnorst"), 5))
+    rows = []
+    for i in range(1200):
+        c = card(i)
+        what = [f"{word()}.{i}@mail{i % 9}.example.com", ".".join(map(str, rng.integers(0, 256, 4))), c,
+                f"+1 ({200 + i % 700}) 555-{1000 + i}"][i % 4]
+        rows.append((i, f"{word()} {word()} {what} {word()}, {word()} {i * 37}. {word()}"))
+    c = card(77)
+    planted = {
+        5000: ("phone", "(212) 555-0134"), 5001: ("phone", "1-212-555-0134"), 5002: ("card", f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"),
+        5003: ("email", "jo.doe (at) mail3.example.com"), 5004: ("email", "jo.doe at mail3 dot example dot com"),
+        5005: ("ip", "10[.]20[.]131[.]244"), 5006: ("ip", "210-20-131-244")}
+    rows += [(k, f"{word()} {word()} {v} {word()} {word()}") for k, (_, v) in planted.items()]
+    clean = ["look at the house. Then go", "paid 12 on 2023-05-01 and 300", "room 12-34-56, floor 7", f"serial {'12345' * 5} x", "1, 2, 3, 4"]
+    rows += [(6000 + i, t) for i, t in enumerate(clean)]
+    rows += [(7000, f"{word()} (212) 555-0134 415-555-9999 {word()}")]
+    got = find_personal(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "base", "spans", written("spans").alias("w"))
+    by, texts = {r["doc_id"]: r for r in got.collect()}, dict(rows)
+    for k, (kind, v) in planted.items():
+        at = texts[k].index(v)
+        assert not by[k]["base"] and f"{kind}:{at}:{at + len(v)}" in by[k]["w"].split(","), (k, by[k]["w"])
+    assert not [by[6000 + i]["w"] for i in range(len(clean)) if by[6000 + i]["w"]]
+    assert [texts[7000][s[1]:s[2]] for s in by[7000]["spans"] if s[0] == 3] == ["(212) 555-0134", "415-555-9999"]
+    assert all(len(by[i]["base"]) == 1 and by[i]["base"] == by[i]["spans"] for i in range(1200))
+
+
+def test_generators_overlap():
+    text = "415-555-1234 415-555-9999"
+    assert {(0, 12), (13, 25), (4, 16)} <= {(f.start, f.end) for f in loose(text) if f.kind == 3}
+    assert not list(loose("7" * 5000)) and len(list(loose("12 " * 3000))) < 7 * 3000
+
+
+def test_best_apart():
+    assert best_apart([(1.0, 3, 0, 9, 0), (2.0, 3, 5, 12, 1), (0.5, 3, 12, 20, 2), (0.1, 2, 0, 9, 3), (2.0, 3, 4, 12, 4)]) == [3, 4, 2]
+    assert best_apart([]) == []
+
+
 def test_written(spark):
     df = spark.createDataFrame([([(0, 1, 2), (3, 0, 9)],)], "s array<struct<kind:int,start:int,end:int>>")
     assert df.select(written("s")).first()[0] == "email:1:2,phone:0:9" and len(KINDS) == 4
