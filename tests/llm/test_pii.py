@@ -75,7 +75,7 @@ def test_planted_loose_spans(spark):
     rows += [(k, f"{word()} {word()} {v} {word()} {word()}") for k, (_, v) in planted.items()]
     clean = ["look at the house. Then go", "paid 12 on 2023-05-01 and 300", "room 12-34-56, floor 7", f"serial {'12345' * 5} x", "1, 2, 3, 4"]
     rows += [(6000 + i, t) for i, t in enumerate(clean)]
-    rows += [(7000, f"{word()} (212) 555-0134 415-555-9999 {word()}")]
+    rows += [(7000, f"{word()} (212) 555-0134 415-555-9999 {word()}"), (7001, f"{word()} {card(5)} {card(6)} {word()}")]
     got = find_personal(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "base", "spans", written("spans").alias("w"))
     by, texts = {r["doc_id"]: r for r in got.collect()}, dict(rows)
     for k, (kind, v) in planted.items():
@@ -83,6 +83,7 @@ def test_planted_loose_spans(spark):
         assert not by[k]["base"] and f"{kind}:{at}:{at + len(v)}" in by[k]["w"].split(","), (k, by[k]["w"])
     assert not [by[6000 + i]["w"] for i in range(len(clean)) if by[6000 + i]["w"]]
     assert [texts[7000][s[1]:s[2]] for s in by[7000]["spans"] if s[0] == 3] == ["(212) 555-0134", "415-555-9999"]
+    assert [texts[7001][s[1]:s[2]] for s in by[7001]["spans"]] == [card(5), card(6)] and not by[7001]["base"]
     assert all(len(by[i]["base"]) == 1 and by[i]["base"] == by[i]["spans"] for i in range(1200))
 
 
