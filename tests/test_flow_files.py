@@ -45,3 +45,12 @@ def test_many_small_splits(spark, tmp_path):
 def test_text_is_read_once_for_the_files_and_once_for_the_rows(spark, folder):
     plan = source.read_flows(spark, [folder], SPEC)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("FileScan text") == 1 and "FileScan csv" not in plan
+
+
+def test_first_lines_are_found_without_sorting_texts(spark, folder):
+    """A sort by path alone spills on larger files, and the first row after it is any line of the file."""
+    for table in (source.file_table(source._lines(spark, [folder])), source.header_lines(spark, [folder])):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "first(" not in plan
+        lines = {r.path.rsplit("/", 1)[1]: r.line.strip() for r in table.collect()}
+        assert lines["a.csv"] == "src, quantity,label" and lines["d.csv"] == "src,label" and len(lines) == 4
