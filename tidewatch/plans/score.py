@@ -106,5 +106,5 @@ def stored(assessed_rows: DataFrame) -> DataFrame:
 
 
 def write_alert_queue(alert_rows: DataFrame, path: str) -> None:
-    """Alerts of both queues as JSON lines; ``alert_rows`` holds queued rows only."""
-    alert_ops.alert_json(alert_rows).write.mode("overwrite").text(path)
+    """Alerts of both queues as compressed JSON lines; ``alert_rows`` holds queued rows only."""
+    alert_ops.alert_json(alert_rows).write.mode("overwrite").text(path, compression=alert_ops.COMPRESSION)
