@@ -17,7 +17,7 @@ from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import inspect, verdict
 from tidewatch.operators.rows import numbered
 from tidewatch.plans import score
-from tidewatch.session import materialize, per_table, scratch_path, spread
+from tidewatch.session import drop_scratch, materialize, per_table, scratch_mark, scratch_path, spread
 
 # What plays each feature; both engines read these.
 PLAYED = {
@@ -73,10 +73,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Decided on counters first; violations, reasons and evidence are worded for queued rows only."""
     reference, path = wide_reference(spark, sf_dir), scratch_path(spark, "wide-queue")
+    mark = scratch_mark()
     flows = numbered(wide_flows(spark, sf_dir), (*CARRY, *PLAYED, "truth"))
     profile = inspect.choose_profile(flows.columns, CIC_SPEC)
     decided = verdict.assess(flows, reference).filter("is_alertable OR needs_review").select(*flows.columns)
-    rows = verdict.assess(materialize(decided, "wide-queued"), reference, detail=True)
+    queued = materialize(decided, "wide-queued")
+    drop_scratch(spark, mark, keep=queued)  # the numbered rows
+    rows = verdict.assess(queued, reference, detail=True)
     alerts = score.alerts(rows, CIC_EVIDENCE, profile, "BATCH_SCORING", seq="seq", prefix="S", truth="truth")
     score.write_alert_queue(alerts, path)
     back = alert_ops.parse_alerts(spark.read.text(path))
