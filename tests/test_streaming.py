@@ -9,6 +9,7 @@ from tidewatch.catalog.learning import order_model
 from tidewatch.catalog.standin import order_flows
 from tidewatch.catalog.streams import order_alert_rows
 from tidewatch.operators import alerts
+from tidewatch.plans import score
 from tidewatch.sources.streams import stream_parquet
 from tidewatch.streaming import score as streaming
 
@@ -81,3 +82,15 @@ def test_totals_survive_a_restart(spark, tmp_path):
         assert run() == [("DDoS", 5 * n, 5 * n)]
     status = streaming.run_status(spark, str(tmp_path / "out")).orderBy("batch").collect()
     assert [r["flows"] for r in status] == [15, 20] and status[-1]["live_accuracy"] == 1.0
+
+
+def test_alert_files_are_compressed(spark, tmp_path):
+    """Two kilobytes of mostly fixed texts a flow, in queues, streams and logs alike."""
+    rows = spark.range(1000).select(F.concat(F.lit("F"), F.col("id")).alias("flow_id"), F.lit(alerts.CONFIDENCE_MEANS).alias("confidence_means"))
+    score.write_alert_queue(rows, str(tmp_path / "queue"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    streaming.drain(lambda: streaming.start_alert_stream(stream_parquet(spark, str(tmp_path / "rows")), str(tmp_path / "out"), str(tmp_path / "state")))
+    for name in ("queue", "out"):
+        files = [f for f in (tmp_path / name).rglob("part-*")]
+        assert files and sum(f.stat().st_size for f in files) < 1000 * len(alerts.CONFIDENCE_MEANS) / 4
+        assert alerts.parse_alerts(spark.read.text(str(tmp_path / name))).select("flow_id").distinct().count() == 1000

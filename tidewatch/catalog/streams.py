@@ -11,7 +11,7 @@ from tidewatch.catalog.standin import (ORDER_COLUMNS, ORDER_FEATURES, ORDER_IMPO
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import verdict
 from tidewatch.plans import score
-from tidewatch.session import scratch_path
+from tidewatch.session import remove, scratch_path
 from tidewatch.sources.streams import stream_parquet
 from tidewatch.streaming import score as streaming
 
@@ -95,8 +95,9 @@ def _(spark, sf_dir):
     lines = spark.read.text(whole)
     hashed = F.pmod(F.xxhash64("value"), F.lit(15))
     torn = lines.filter(hashed % 5 == 0).select(F.substring("value", 1, 80).alias("value"))
-    torn.unionByName(lines).unionByName(lines.filter(hashed % 3 == 0)).write.text(log)
-    stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", 4).text(log))
+    torn.unionByName(lines).unionByName(lines.filter(hashed % 3 == 0)).write.text(log, compression=alert_ops.COMPRESSION)
+    remove(spark, whole)  # all of it is in the log
+    stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", 4).text(log)).select("threat_class", "flow_id", "is_alertable")
     streaming.drain(lambda: stream.writeStream.format("parquet").option("path", out)
                     .option("checkpointLocation", state[1]).trigger(availableNow=True).start())
     return spark.read.parquet(out).groupBy("threat_class").agg(

@@ -19,10 +19,10 @@ STATUS_BATCHES = 100
 
 
 def start_alert_stream(alert_rows: DataFrame, output: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Append alerts as JSON lines. The file sink's log makes output exactly-once;
+    """Append alerts as compressed JSON lines. The file sink's log makes output exactly-once;
     starting over means a new output and checkpoint folder."""
     writer = (alert_ops.alert_json(alert_rows).writeStream.format("text").outputMode("append")
-              .option("path", output).option("checkpointLocation", checkpoint))
+              .option("path", output).option("compression", alert_ops.COMPRESSION).option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -36,7 +36,8 @@ def start_queue_stream(alert_rows: DataFrame, output: str, checkpoint: str, *, o
         kept = batch.persist()
         try:
             for name, rows in (("alerts", kept.filter("is_alertable")), ("review", monitor.review_only(kept))):
-                alert_ops.alert_json(rows).write.mode("overwrite").text(f"{output}/{name}/batch={batch_id}")
+                alert_ops.alert_json(rows).write.mode("overwrite").text(
+                    f"{output}/{name}/batch={batch_id}", compression=alert_ops.COMPRESSION)
         finally:
             kept.unpersist()
 
