@@ -126,3 +126,23 @@ def test_one_class_is_refused(spark, rows):
         forest.fit_forest(rows.filter("threat_class = 'low'"), FEATURES, POLICY, ["id"])
     with pytest.raises(ValueError):
         forest.fit_forest(rows, FEATURES, TrainingPolicy(trees=0), ["id"])
+
+
+@pytest.mark.parametrize("size", [1, 2, 64, 65, 200, 300])
+def test_leaf_sets_end_where_the_walk_ends(size):
+    """One lookup per feature in place of a step per level; only the largest trees are walked."""
+    rng = np.random.default_rng(size)
+    feature, cut, left, ends = [-1], [0.0], [0], [0]
+    while len(ends) < size:
+        node = ends.pop(int(rng.integers(len(ends))))
+        feature[node], cut[node], left[node] = int(rng.integers(3)), float(rng.integers(20)), len(feature)
+        for _ in range(2):
+            ends.append(len(feature))
+            feature, cut, left = [*feature, -1], [*cut, 0.0], [*left, 0]
+    below = np.array(left)
+    tree = walk.flat_from_table(np.array(feature), np.array(cut), below, below + 1, np.arange(len(feature), dtype=float)[:, None])
+    rows = rng.integers(-1, 21, (3, 500)).astype(float)
+    rows[0, :5], rows[1, 5:9], rows[2, 9:12] = np.nan, np.inf, -np.inf
+    ready = walk.prepared([tree], 3)
+    assert isinstance(ready.trees[0], walk.Masks) == (size <= 64 * walk.MOST_WORDS)
+    assert (walk.summed(ready, rows, 1)[:, 0] == tree.value[walk.leaves(tree, rows), 0]).all()

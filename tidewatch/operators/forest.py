@@ -331,8 +331,9 @@ def shares(shared, classes: int, features: Sequence[str]) -> Column:
 
     @F.arrow_udf("array<double>")
     def vote(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        ready = walk.prepared(shared.value, len(features))
         for arrays in batches:
-            total = walk.summed(shared.value, walk.columns_of(arrays), classes)
+            total = walk.summed(ready, walk.columns_of(arrays), classes)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * classes, pa.int32()), pa.array(total.ravel()))
 
     return vote(*[q(f) for f in features])

@@ -120,8 +120,9 @@ def score_expression(nodes: DataFrame, features: Sequence[str], policy: NoveltyP
 
     @F.arrow_udf("double")
     def anomaly(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        ready = walk.prepared(shared.value, len(features))
         for batch in batches:
-            depth = walk.summed(shared.value, walk.columns_of(batch), 1)[:, 0]
+            depth = walk.summed(ready, walk.columns_of(batch), 1)[:, 0]
             yield pa.array(-np.exp2(-(depth / max(len(shared.value), 1)) / scale))
 
     return anomaly(*[q(f) for f in features])
