@@ -95,3 +95,14 @@ def test_sequence_is_gapless_across_blocks(spark):
 def test_hot_copies_collapse_before_the_shuffle(spark, skewed):
     plan = rows.distinct_flows(skewed.select("x", "cls", "id"), ["x", "cls"], ["id"])._jdf.queryExecution().toString()
     assert "partial_min" in plan
+
+
+def test_lookup_tables_of_unknown_size_are_broadcast(spark):
+    """A join by feature name has as many keys as features; unbroadcast, each key is one task."""
+    from tidewatch.operators.evidence import lookup
+    big = spark.range(1000).selectExpr("id", "concat('f', id % 4) AS feature")
+    table = spark.createDataFrame([(f"f{i}", float(i)) for i in range(3)], "feature string, importance double")
+    joined = lookup(big, table, ["feature"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert joined.count() == 1000 and joined.filter("importance IS NULL").count() == 250

@@ -18,7 +18,7 @@ from tidewatch.functions.naming import describe_port, port_number
 from tidewatch.functions.text import display_value, grouped
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.rows import q
-from tidewatch.session import BROADCAST_BYTES, planned_bytes
+from tidewatch.session import BROADCAST_BYTES, UNKNOWN_BYTES, materialize, planned_bytes
 from tidewatch.spec import EvidencePolicy, Rule
 
 METHOD = ("Feature-based evidence: per-class reference medians combined with the model's "
@@ -172,7 +172,13 @@ def with_evidence(df: DataFrame, policy: EvidencePolicy, importances: Mapping[st
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join to a lookup table: broadcast when its size is known to be small,
-    else left to the optimizer (sort-merge, skewed keys split by AQE)."""
+    else left to the optimizer (sort-merge, skewed keys split by AQE).
+
+    A table made of rows of the driver or from an aggregate over such has no known
+    size until it is stored. Joined unbroadcast, a few names as keys would gather all
+    rows in as many tasks."""
+    if planned_bytes(table) >= UNKNOWN_BYTES and not df.isStreaming:
+        table = materialize(table, "lookup")
     side = F.broadcast(table) if planned_bytes(table) <= BROADCAST_BYTES else table
     return df.join(side, list(on), "left")
 
