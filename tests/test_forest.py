@@ -146,3 +146,14 @@ def test_leaf_sets_end_where_the_walk_ends(size):
     ready = walk.prepared([tree], 3)
     assert isinstance(ready.trees[0], walk.Masks) == (size <= 64 * walk.MOST_WORDS)
     assert (walk.summed(ready, rows, 1)[:, 0] == tree.value[walk.leaves(tree, rows), 0]).all()
+
+
+def test_no_leaf_is_mixed_for_want_of_levels():
+    """Two levels and one feature tried at a time: unlucky draws used to end in mixed leaves."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 200, (300, 4)).astype(np.uint8)
+    y = (bins[:, 0] > 90).astype(np.uint8)
+    rules = growth.Rules(classes=2, features=4, tried=1, min_leaf=1, max_depth=2, seed=42)
+    for tree in range(12):
+        for level in growth.grow(tree, 1, 0, bins, y, np.ones(300, dtype=np.uint8), np.ones(2), rules):
+            assert (np.count_nonzero(level.counts[level.feature < 0], axis=1) == 1).all()

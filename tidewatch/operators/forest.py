@@ -206,7 +206,8 @@ def _grow_top(rows: DataFrame, edges: list[np.ndarray], drawn: np.ndarray, reach
                 return growth.best_cut(column["bin"][at].astype(np.int64), counts[at], column["rows"][at], 1, weights[t], rules.min_leaf)
 
             whole = counts[column["feature"] == 0].sum(axis=0)
-            found = growth.choose(growth.feature_order(t, np.array([node]), rules), cut_of, whole[None] * weights[t], rules)
+            found = growth.choose(growth.feature_order(t, np.array([node]), rules), cut_of, whole[None] * weights[t],
+                                  growth.at_depth(rules, node.bit_length() - 1))
             left = (column["feature"] == found.feature[0]) & (column["bin"] <= found.bin[0])
             return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int64()), "feature": pa.array(found.feature, pa.int32()),
                              "bin": pa.array(found.bin, pa.int32()), "gain": pa.array(found.gain), "rows": pa.array([int(column["rows"][left].sum())], pa.int64()),
