@@ -233,3 +233,15 @@ def test_unlabelled_table_keeps_its_rows(spark):
     none = some.withColumn("label", F.lit(None).cast("string"))
     out = scoring_truth(none, spec)
     assert out.count() == 3 and "threat_class" not in out.columns
+
+
+def test_alerts_are_parsed_once_when_validated(spark):
+    rows = [(None,), ("[1]",), ("{}",), ('{"schema_version":2,"confidence":7,"evidence":[],"reliability":"odd"}',)]
+    found = spark.createDataFrame(rows, "value string").select(alerts.alert_problems(F.col("value")).alias("p"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(value") == 1
+    codes = [r["p"] for r in found.collect()]
+    missing = [f"missing:{k}" for k in alerts.REQUIRED_KEYS]
+    assert codes[:3] == [["version"], ["version"], [*missing, "version"]]
+    held = {f"missing:{k}" for k in ("schema_version", "confidence", "evidence", "reliability")}
+    assert codes[3] == [*[m for m in missing if m not in held], "range:confidence", "type:evidence", "domain:reliability"]

@@ -8,7 +8,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.standin import ORDER_SQL, order_alerts
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import monitor
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, spread
 
 COLUMNS = ("flow_id", "threat_class", "model_prediction", "confidence", "reliability", "severity", "is_alertable",
            "needs_review", "ground_truth", "correct")
@@ -131,7 +131,7 @@ _CODES = """concat_ws(',', CASE WHEN event_type = 'purchase' THEN 'missing:needs
 
 @query("op_validate_alert", f"SELECT event_id, {_CODES} AS problems FROM events")
 def _(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_RECORD).alias("value"))
+    lines = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.expr(_RECORD).alias("value"))
     return lines.select("event_id", F.concat_ws(",", alert_ops.alert_problems(F.col("value"))).alias("problems"))
 
 
