@@ -106,3 +106,17 @@ def test_lookup_tables_of_unknown_size_are_broadcast(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert joined.count() == 1000 and joined.filter("importance IS NULL").count() == 250
+
+
+def test_brackets_are_counted_in_one_pass(spark):
+    """What is below each bracket, up to its end and inside it, NaN being above all numbers and NULL nowhere."""
+    from tidewatch.operators.quantiles import _counted
+
+    values = [3.0, 1.0, 2.0, 2.0, None, float("nan"), 9.0, float("nan"), -1.0]
+    base = spark.createDataFrame([(g, v) for g in "ab" for v in values + [5.0] * (g == "b")], "g string, x0 double").repartition(3)
+    brackets = {("a", 0, 0.5): (2.0, 3.0), ("b", 0, 0.5): (2.0, 5.0), ("a", 0, 1.0): (9.0, float("nan")), ("b", 0, 1.0): (9.0, 9.0)}
+    got = {(r.g, r.j, r.side, str(r.v)): r.n for r in _counted(base, brackets, [(0, 0.5), (0, 1.0)]).collect()}
+    assert got == {("a", 0, 0, "None"): 2, ("a", 0, 1, "None"): 5, ("a", 0, 2, "2.0"): 2, ("a", 0, 2, "3.0"): 1,
+                   ("b", 0, 0, "None"): 2, ("b", 0, 1, "None"): 6, ("b", 0, 2, "2.0"): 2, ("b", 0, 2, "3.0"): 1, ("b", 0, 2, "5.0"): 1,
+                   ("a", 1, 0, "None"): 5, ("a", 1, 1, "None"): 8, ("a", 1, 2, "9.0"): 1, ("a", 1, 2, "nan"): 2,
+                   ("b", 1, 0, "None"): 6, ("b", 1, 1, "None"): 7}
