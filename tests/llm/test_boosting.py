@@ -20,3 +20,20 @@ def test_threshold_keeps_ties_together():
 def test_one_class_and_constant_features():
     model = boosting.fit(np.zeros((10, 3)), np.ones(10))
     assert (model.margin(np.zeros((2, 3))) > 0).all()
+
+
+def test_blocks_of_an_rdd_give_the_same_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (600, 4)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 2] > 3)).astype(float)
+    whole = boosting.fit(x, y, trees=5)
+    edges = [np.unique(np.quantile(x[:, f], boosting.PROBS)) for f in range(4)]
+    cases = [(boosting.binned(x[i:i + 70], edges), y[i:i + 70], np.ones(len(y[i:i + 70]))) for i in range(0, 600, 70)]
+    for parts in (1, 4):
+        got = boosting.fit_blocks(spark.sparkContext.parallelize(cases, parts), edges, boosting.log_odds(y.mean()), trees=5)
+        assert all(np.array_equal(a, b) for a, b in zip(got, whole))
+
+
+def test_a_threshold_counts_cases_by_number():
+    score, true, n = np.array([2.0, 1.0]), np.array([9, 0]), np.array([10, 10])
+    assert boosting.threshold(score, true, 0.9, 10, n) == 2 and boosting.threshold(score, true, 0.9, 11, n) == np.inf

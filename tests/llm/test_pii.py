@@ -110,3 +110,16 @@ def test_query_counts_each_kind(spark, small, tmp_path):
                           "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in QUERIES["op3_personal_data"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 2, 0, 1), 2: (0, 0, 0, 0), 3: (0, 0, 1, 0)}
+
+
+def test_every_labelled_span_teaches(spark):
+    """3,000 different addresses are 3,000 windows, and all cases of their views are counted."""
+    from tidewatch.llm import pii
+    from tidewatch.llm.text import annotate
+
+    rows = [(f"write to user{i}@host{i % 50}.example.com or not",) for i in range(3000)]
+    docs = spark.createDataFrame(rows * 2, "text string").repartition(3)
+    windows = pii._windows(annotate(docs, "text", pii.PROPOSED, pii.proposed).select("found.*"))
+    assert windows.count() == 3000
+    want = sum(len(list(pii.cases(r.w_kind, r.w_good, r.w_text, r.w_at, r.w_size))) for r in windows.collect())
+    assert pii._cases(windows).groupBy().sum("n").first()[0] == want > 3000

@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,8 @@ CUES = {"email": ("mail", "contact"), "ip": ("ip", "host", "server", "addr"),
 CONTEXT = 32
 MARGIN = CONTEXT + 2      # text kept around a labelled span
 TAUGHT = 128              # a longer strict match teaches nothing
-SAMPLE_ROWS = 4_000       # the trees are fitted on views of about so many different labelled spans
+AT_ONCE = 256             # windows whose views are made at once
+STEPS = 1024              # steps in a unit of the scores that thresholds are chosen from
 PRECISION, LEAST, DEPTH = 0.98, 30, 4
 
 
@@ -252,32 +254,78 @@ class Judge(NamedTuple):
     thresholds: tuple[float, ...]
 
 
-def judge(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Judge:
-    """Fit on a bounded sample of different spans by hash, three quarters to train, one to calibrate."""
+def _windows(candidates: DataFrame) -> DataFrame:
+    """One window of each different labelled span."""
     names = ["w_kind", "w_good", "w_text", "w_at", "w_size", "w_hash"]
     one = candidates.select(F.explode(F.arrays_zip(*names)).alias("w")).select("w.*")
-    one = one.groupBy("w_kind", "w_good", "w_hash").agg(F.min(F.struct("w_text", "w_at", "w_size")).alias("w"))
-    one = materialize(one, "pii-windows")
-    strata = 2 * len(KINDS)
-    share = F.lit(0)
-    for r in one.groupBy("w_kind", "w_good").count().collect():  # one row per kind and outcome
-        part = int(min(1.0, sample_rows / strata / r["count"]) * (1 << 20)) + 1
-        share = F.when((F.col("w_kind") == r["w_kind"]) & (F.col("w_good") == r["w_good"]), part).otherwise(share)
-    picked = one.filter(F.pmod(F.xxhash64("w_hash"), F.lit(1 << 20)) < share).select("w_kind", "w_good", "w.*", "w_hash").toArrow()
-    rows = sorted(picked.to_pylist(), key=lambda r: (r["w_hash"], r["w_kind"], r["w_good"]))
-    found = [(r["w_hash"], label, x) for r in rows
-             for label, x in cases(r["w_kind"], r["w_good"], r["w_text"], r["w_at"], r["w_size"])]
-    none = Judge(None, (np.inf,) * len(KINDS))
-    if not found:
-        return none
-    hashes, y, x = (np.array(c, dtype=t) for c, t in zip(zip(*found), (np.int64, float, np.float32)))
-    x = x.astype(float)
-    held = hashes % 4 == 3
-    if len(set(y[~held])) < 2:
-        return none
-    trees = boosting.fit(x[~held], y[~held], depth=DEPTH)
-    score = trees.margin(x[held])
-    return Judge(trees, tuple(boosting.threshold(score[x[held, 0] == k], y[held][x[held, 0] == k], PRECISION, LEAST)
+    span = F.substring("w_text", F.col("w_at") + 1, F.col("w_size"))
+    one = one.groupBy("w_kind", "w_good", span.alias("span")).agg(F.min(F.struct("w_text", "w_at", "w_size", "w_hash")).alias("w"))
+    return one.select("w_kind", "w_good", "w.*")
+
+
+def _cases(windows: DataFrame) -> DataFrame:
+    """``(held, y, x, n)``: the different cases of all windows, and how many of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                found = [(r["w_hash"] % 4 == 3, int(label), x) for r in batch.slice(at, AT_ONCE).to_pylist()
+                         for label, x in cases(r["w_kind"], r["w_good"], r["w_text"], r["w_at"], r["w_size"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                    zip(*found) if found else ((),) * 3, (pa.bool_(), pa.int32(), pa.list_(pa.float32())))], names=["held", "y", "x"])
+
+    return windows.mapInArrow(run, "held boolean, y int, x array<float>").groupBy("held", "y", "x").agg(F.count("*").alias("n"))
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(-1, FEATURES).astype(float)
+
+
+def _blocks(train: DataFrame, edges: list[np.ndarray]) -> RDD:
+    """Cases of equal bins put together, as arrays of an Arrow batch each."""
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [b.tobytes() for b in boosting.binned(_matrix(batch.column(1)), edges)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary()), batch.column(2)], names=["y", "bins", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, n = (batch.column(i).to_numpy().astype(float).tobytes() for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b"".join(batch.column(1).to_pylist()), y, n)],
+                                             names=["bins", "y", "n"])
+
+    bins = train.select("y", "x", "n").mapInArrow(to_bins, "y int, bins binary, n long")
+    bins = materialize(bins.groupBy("y", "bins").agg(F.sum("n").alias("n")), "pii-bins")
+    return bins.mapInArrow(pack, "bins binary, y binary, n binary").rdd.map(lambda r: (
+        np.frombuffer(r["bins"], np.uint8).reshape(-1, FEATURES), np.frombuffer(r["y"]), np.frombuffer(r["n"])))
+
+
+def _held_scores(held: DataFrame, trees: boosting.Boosted) -> DataFrame:
+    """``(kind, score, n, true)`` of all held-out cases, scores in steps of 1/STEPS."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            score = np.floor(trees.margin(x) * STEPS) / STEPS
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(score), batch.column(0), batch.column(2)],
+                                             names=["kind", "score", "y", "n"])
+
+    scored = held.select("y", "x", "n").mapInArrow(run, "kind int, score double, y int, n long")
+    return scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("true"))
+
+
+def judge(candidates: DataFrame) -> Judge:
+    """Fit on the views of all different spans, three quarters to train, one to calibrate."""
+    table = materialize(_cases(materialize(_windows(candidates), "pii-windows")), "pii-cases")
+    train, held = table.filter("NOT held"), table.filter("held")
+    # Values of a feature are few: spans and their surroundings are short.
+    cuts = [F.percentile(F.col("x")[i], boosting.PROBS.tolist(), F.col("n")).alias(f"c{i}") for i in range(FEATURES)]
+    of_train = train.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("true"), *cuts).first()
+    if not of_train["n"] or of_train["true"] in (0, of_train["n"]):
+        return Judge(None, (np.inf,) * len(KINDS))
+    edges = [np.unique(of_train[f"c{i}"]) for i in range(FEATURES)]
+    trees = boosting.fit_blocks(_blocks(train, edges), edges, boosting.log_odds(of_train["true"] / of_train["n"]), depth=DEPTH)
+    scores = _held_scores(held, trees).toArrow()  # as many rows as scores have steps
+    kind, score, n, true = (scores.column(i).to_numpy() for i in range(4))
+    return Judge(trees, tuple(boosting.threshold(score[kind == k], true[kind == k], PRECISION, LEAST, n[kind == k])
                               for k in range(len(KINDS))))
 
 
@@ -294,8 +342,7 @@ def best_apart(spans: list[tuple[float, int, int, int, int]]) -> list[int]:
     return out
 
 
-def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
-                  sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``(row, base, spans)``: strict spans and all selected spans, by kind, then start.
 
     Spans count code points, end exclusive; those of unlike kinds may overlap. NULL counts as
@@ -303,7 +350,7 @@ def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """
     candidates = annotate(docs, text, PROPOSED, proposed, keep=keep).select("row", "found.*")
     candidates = materialize(candidates, "pii-candidates")
-    shared = docs.sparkSession.sparkContext.broadcast(judge(candidates, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(judge(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, thresholds = shared.value
