@@ -37,3 +37,18 @@ def test_blocks_of_an_rdd_give_the_same_trees(spark):
 def test_a_threshold_counts_cases_by_number():
     score, true, n = np.array([2.0, 1.0]), np.array([9, 0]), np.array([10, 10])
     assert boosting.threshold(score, true, 0.9, 10, n) == 2 and boosting.threshold(score, true, 0.9, 11, n) == np.inf
+
+
+def test_a_level_is_one_stage(spark):
+    """Sums of a level go straight to the driver; rounds of shuffles would cost more than the sums."""
+    context = spark.sparkContext
+    cases = [(np.full((3, 2), i % 3, np.uint8), np.array([i % 2.0, 1, 0]), np.ones(3)) for i in range(40)]
+    edges = [np.array([0.5, 1.5])] * 2
+    context.setJobGroup("one-stage", "")
+    try:
+        boosting.fit_blocks(context.parallelize(cases, 20), edges, 0.0, trees=2, depth=2)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("one-stage")]
+    assert len(jobs) == 4 and all(len(j.stageIds) == 1 for j in jobs)

@@ -123,3 +123,29 @@ def test_every_labelled_span_teaches(spark):
     assert windows.count() == 3000
     want = sum(len(list(pii.cases(r.w_kind, r.w_good, r.w_text, r.w_at, r.w_size))) for r in windows.collect())
     assert pii._cases(windows).groupBy().sum("n").first()[0] == want > 3000
+
+
+def test_a_few_cases_take_one_task_whatever_the_partitions(spark, monkeypatch):
+    """Blocks follow the number of cases, not the files that a shuffle of many partitions leaves."""
+    from tidewatch.llm import pii
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (2000, pii.FEATURES)).astype(float)
+    rows = [(i % 2, v, 1 + i % 3) for i, v in enumerate(x.tolist())]
+    train = spark.createDataFrame(rows, "y int, x array<float>, n long").repartition(40)
+    edges = [np.arange(8) + 0.5] * pii.FEATURES
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few = pii._blocks(train, edges)
+        monkeypatch.setattr(pii, "PART", 500)
+        more = pii._blocks(train, edges)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert few.getNumPartitions() == 1 and few.count() == 1 and more.getNumPartitions() == 4
+    want = sorted((v.astype(np.uint8).tobytes(), float(y), float(n)) for (y, _, n), v in zip(rows, x))
+    for blocks in (few, more):
+        got = blocks.collect()
+        assert sorted((r.tobytes(), a, b) for bins, y, n in got for r, a, b in zip(bins, y, n)) == want

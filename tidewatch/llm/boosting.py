@@ -123,7 +123,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 
 def fit_blocks(blocks: RDD, edges: Sequence[np.ndarray], start: float, trees: int = TREES, depth: int = DEPTH,
                rate: float = RATE) -> Boosted:
-    """Trees for all cases of an RDD of ``(bins, y, n)``, which stay where they are; a job adds up one level."""
+    """Trees for all cases of an RDD of ``(bins, y, n)``, which stay where they are; a job adds up one level.
+
+    A job is one stage: each partition sends its sums, whose size does not depend on the cases, to the driver. A shuffle
+    of them would cost more than they do, at every level. So partitions should hold many cases.
+    """
     level = StorageLevel.MEMORY_AND_DISK
     held = [blocks.map(lambda b: Block(*b, np.full(len(b[1]), start))).persist(level)]
 
@@ -133,7 +137,7 @@ def fit_blocks(blocks: RDD, edges: Sequence[np.ndarray], start: float, trees: in
             held.pop(0).unpersist()
 
     try:
-        return boost(lambda use: held[-1].map(use).treeReduce(np.add), advance, edges, start, trees, depth, rate)
+        return boost(lambda use: held[-1].map(use).reduce(np.add), advance, edges, start, trees, depth, rate)
     finally:
         for part in held:
             part.unpersist()

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +55,8 @@ CONTEXT = 32
 MARGIN = CONTEXT + 2      # text kept around a labelled span
 TAUGHT = 128              # a longer strict match teaches nothing
 AT_ONCE = 256             # windows whose views are made at once
+BLOCK = 1 << 16           # cases of a block
+PART = 1 << 18            # cases for which a level takes one more task
 STEPS = 1024              # steps in a unit of the scores that thresholds are chosen from
 PRECISION, LEAST, DEPTH = 0.98, 30, 4
 
@@ -281,20 +284,28 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
 
 
 def _blocks(train: DataFrame, edges: list[np.ndarray]) -> RDD:
-    """Cases of equal bins put together, as arrays of an Arrow batch each."""
+    """Cases of equal bins put together, as arrays of up to BLOCK of them."""
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = [b.tobytes() for b in boosting.binned(_matrix(batch.column(1)), edges)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary()), batch.column(2)], names=["y", "bins", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, n = (batch.column(i).to_numpy().astype(float).tobytes() for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b"".join(batch.column(1).to_pylist()), y, n)],
-                                             names=["bins", "y", "n"])
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if held and (batch is None or sum(b.num_rows for b in held) + batch.num_rows > BLOCK):
+                whole = pa.Table.from_batches(held)
+                y, n = (whole.column(i).to_numpy().astype(float).tobytes() for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b"".join(whole.column(1).to_pylist()), y, n)],
+                                                 names=["bins", "y", "n"])
+                held = []
+            if batch is not None and batch.num_rows:
+                held.append(batch)
 
     bins = train.select("y", "x", "n").mapInArrow(to_bins, "y int, bins binary, n long")
     bins = materialize(bins.groupBy("y", "bins").agg(F.sum("n").alias("n")), "pii-bins")
+    # As many tasks as the cases need, not as many as the shuffle before had.
+    bins = bins.coalesce(max(1, -(-bins.count() // PART)))
     return bins.mapInArrow(pack, "bins binary, y binary, n binary").rdd.map(lambda r: (
         np.frombuffer(r["bins"], np.uint8).reshape(-1, FEATURES), np.frombuffer(r["y"]), np.frombuffer(r["n"])))
 
