@@ -76,7 +76,7 @@ def _(spark, sf_dir):
     mark = scratch_mark()
     flows = numbered(wide_flows(spark, sf_dir), (*CARRY, *PLAYED, "truth"))
     profile = inspect.choose_profile(flows.columns, CIC_SPEC)
-    decided = verdict.assess(flows, reference).filter("is_alertable OR needs_review").select(*flows.columns)
+    decided = alert_ops.queued(verdict.assess(flows, reference)).select(*flows.columns)
     queued = materialize(decided, "wide-queued")
     drop_scratch(spark, mark, keep=queued)  # the numbered rows
     rows = verdict.assess(queued, reference, detail=True)
