@@ -97,7 +97,8 @@ def _(spark, sf_dir):
     torn = lines.filter(hashed % 5 == 0).select(F.substring("value", 1, 80).alias("value"))
     torn.unionByName(lines).unionByName(lines.filter(hashed % 3 == 0)).write.text(log, compression=alert_ops.COMPRESSION)
     remove(spark, whole)  # all of it is in the log
-    stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", 4).text(log)).select("threat_class", "flow_id", "is_alertable")
+    files = max(4, spark.sparkContext.defaultParallelism)  # a compressed file is one task: one for each core
+    stream = streaming.each_alert_once(spark.readStream.option("maxFilesPerTrigger", files).text(log)).select("threat_class", "flow_id", "is_alertable")
     streaming.drain(lambda: stream.writeStream.format("parquet").option("path", out)
                     .option("checkpointLocation", state[1]).trigger(availableNow=True).start())
     return spark.read.parquet(out).groupBy("threat_class").agg(
