@@ -8,8 +8,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.operators import rows, sampling
+from tidewatch.functions.text import format_value, significant
+from tidewatch.operators import alerts as alert_ops
+from tidewatch.operators import rows, sampling, verdict
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.spec import Bound, DistributionReference
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +123,38 @@ def test_brackets_are_counted_in_one_pass(spark):
                    ("b", 0, 0, "None"): 2, ("b", 0, 1, "None"): 6, ("b", 0, 2, "2.0"): 2, ("b", 0, 2, "3.0"): 1, ("b", 0, 2, "5.0"): 1,
                    ("a", 1, 0, "None"): 5, ("a", 1, 1, "None"): 8, ("a", 1, 2, "9.0"): 1, ("a", 1, 2, "nan"): 2,
                    ("b", 1, 0, "None"): 6, ("b", 1, 1, "None"): 7}
+
+
+def test_queue_is_decided_on_finished_columns(spark):
+    """Before, the filter went below the scoring chain with copies of all it rests on."""
+    bounds = {f: Bound(0.0, 5.0, 2.0) for f in "abc"}
+    rows = spark.range(40).selectExpr("id", "id % 7 * 1.0 AS a", "id % 9 * 1.0 AS b", "id % 11 * 1.0 AS c",
+                                      "'DDoS' AS model_prediction", "id % 10 / 10.0D AS confidence")
+    marked = verdict.assess(rows, DistributionReference(features=tuple("abc"), quantile=0.1, min_violations=2, bounds=bounds, n_training_rows=9))
+    plan = alert_ops.queued(marked)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE" not in line for line in plan.split("\n") if "Filter" in line)
+    expected = [r["id"] for r in marked.collect() if r["is_alertable"] or r["needs_review"]]
+    assert [r["id"] for r in alert_ops.queued(marked).orderBy("id").collect()] == expected and expected
+
+
+def test_alert_text_is_parsed_once(spark):
+    """Before, each line was parsed for the filter and again for the fields."""
+    lines = spark.createDataFrame([('{"flow_id": "a"}',), (' \t{"flow_id": "b"} ',), ('{"flow_id": 3}',), ("[1]",), ('"x"',), ("",),
+                                   ('{"flow_id":',), ("null",), (None,), ("{}",)], "value string")
+    out = alert_ops.parse_alerts(lines).select("flow_id", "severity")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert sorted(str(r["flow_id"]) for r in out.collect()) == ["None", "None", "a", "b"]
+
+
+@pytest.mark.parametrize("value,text", [(0.0, "0"), (9.9985, "9.998"), (9.9996, "10"), (9999.4, "9,999"), (9999.6, "1e+04"),
+                                        (0.00012345, "0.0001234"), (0.000012345, "1.234e-05"), (-12.5, "-12.5"), (123456.0, "1.235e+05")])
+def test_significant_digits(spark, value, text):
+    one = spark.createDataFrame([(value,)], "v double").select(significant(F.col("v")).alias("t"))
+    assert one.first()["t"] == text
+
+
+def test_display_numbers_use_fixed_patterns(spark):
+    """Before, a format that changed from row to row was read anew, then trimmed by a regex."""
+    shown = spark.createDataFrame([(1234.5,), (12.5,), (0.125,), (-0.0001,), (7.0,)], "v double").select(format_value(F.col("v")).alias("t"))
+    assert [r["t"] for r in shown.collect()] == ["1,234", "12.5", "0.125", "-0", "7"]
+    assert "regexp" not in shown._jdf.queryExecution().analyzed().toString()
