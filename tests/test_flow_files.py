@@ -2,6 +2,8 @@
 
 import pytest
 
+from tidewatch.catalog.standin import LINE_SPEC
+from tidewatch.operators import inspect
 from tidewatch.sources import flows as source
 from tidewatch.spec import FlowSpec
 
@@ -54,3 +56,15 @@ def test_first_lines_are_found_without_sorting_texts(spark, folder):
         assert "Sort" not in plan and "first(" not in plan
         lines = {r.path.rsplit("/", 1)[1]: r.line.strip() for r in table.collect()}
         assert lines["a.csv"] == "src, quantity,label" and lines["d.csv"] == "src,label" and len(lines) == 4
+
+
+def test_column_profile_names_what_it_counts(spark):
+    """Before, repeated names came without positions and identity columns without names."""
+    cells = [("x", 0, " src", "src"), ("x", 1, "price", "price"), ("x", 2, "tax", "tax"), ("x", 3, " price ", "price"), ("x", 12, "price", "price"),
+             ("y", 0, "tax", "tax")]
+    rows = {r["file"]: r for r in inspect.column_profile(spark.createDataFrame(cells, "file string, pos int, raw string, canonical string"),
+                                                         LINE_SPEC).collect()}
+    x, y = rows["x"], rows["y"]
+    assert [(d["canonical"], d["positions"]) for d in x["duplicates"]] == [("price", [1, 3, 12])] and y["duplicates"] == []
+    assert (x["present"], x["missing"], y["missing"]) == (["src"], ["seen_at"], ["src", "seen_at"])
+    assert (x["columns"], x["padded"], x["unpadded"], x["repeated"], x["identity_present"], y["identity_missing"]) == (5, 2, 3, 2, 1, 2)
