@@ -5,7 +5,7 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.catalog import learning
+from tidewatch.catalog import ORACLES, learning
 from tidewatch.catalog.standin import CARRY, LINE_SPEC, flows
 from tidewatch.plans import score
 from tidewatch.plans import train as training
@@ -46,6 +46,14 @@ def test_cap_bounds_the_fit_alone(spark, small, monkeypatch):
     assert got.reference.novelty["n_rows"] == train.filter("threat_class = 'BENIGN'").count() > 50
 
 
+def test_the_queries_fit_all_training_rows(spark, small, fitted):
+    """Before, at most 50,000 rows of a class were taken, in the SQL as well."""
+    assert learning.POLICY.class_cap is None
+    train = training.split(learning.training_table(spark, small), LINE_SPEC, learning.POLICY, CARRY).filter("NOT is_test")
+    assert fitted.model.rows == train.count()
+    assert "QUALIFY row_number" not in ORACLES["ml_train_forest"]
+
+
 def test_contract_is_refused(spark, small, tmp_path, fitted):
     training.save(fitted, str(tmp_path), spark)
     other = dataclasses.replace(LINE_SPEC, profiles={"WIDE": ("quantity", "price", "discount", "weight"), "NARROW": ("quantity",)})

@@ -18,7 +18,7 @@ from tidewatch.session import materialize, per_table, scratch_path, spread
 from tidewatch.spec import TARGET, NoveltyPolicy, TrainingPolicy
 
 CARRY_LIST = ", ".join(CARRY)
-POLICY = TrainingPolicy(class_cap=50_000, seed=SEED)
+POLICY = TrainingPolicy(class_cap=None, seed=SEED)
 NOVELTY = NoveltyPolicy(trees=100, sample_rows=256, contamination=0.01)
 
 RULE = """CASE WHEN quantity > 38 THEN CASE WHEN discount > 0.045 THEN 'DDoS' WHEN tax > 0.045 THEN 'Botnet' ELSE 'BENIGN' END
@@ -43,7 +43,7 @@ def _labelled(spark, sf_dir):
 
 @per_table("lineitem")
 def training_table(spark, sf_dir):
-    """All flows of known class; only the classifier's fit takes a capped part of them."""
+    """All flows of known class; the classifier is fitted on the whole training part."""
     return materialize(_labelled(spark, sf_dir), "training")
 
 
@@ -88,23 +88,21 @@ def _(spark, sf_dir):
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.round(F.max("w"), 8).alias("weight"))
 
 
-# What training reads: flows of known class without the test rows, of which the classifier takes a capped part.
+# What training reads: flows of known class without the test rows.
 _KEYS = ", ".join(f"CAST({c} AS VARCHAR)" for c in CARRY)
 _SPLIT_SQL = f"""{FLOWS_SQL}, ranked AS (SELECT *, md5(concat_ws('|', '{SEED}', {_KEYS})) AS h FROM flows
     WHERE truth IN ('BENIGN', 'DDoS', 'PortScan', 'Botnet')),
   parts AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY h)
     <= CAST(round({POLICY.test_share} * count(*) OVER (PARTITION BY truth)) AS BIGINT) AS is_test FROM ranked),
   train AS (SELECT * FROM parts WHERE NOT is_test)"""
-_CAPPED_SQL = f"""{_SPLIT_SQL}, capped AS (SELECT * FROM train
-    QUALIFY row_number() OVER (PARTITION BY truth ORDER BY h) <= {POLICY.class_cap})"""
 _DRAWS = " + ".join(f"CASE WHEN bits >= '{n:04x}' THEN 1 ELSE 0 END" for n in forest.POISSON.tolist())
 
 
-@query("ml_train_forest", f"""WITH {_CAPPED_SQL}, t AS (SELECT CAST(unnest(generate_series(0, {POLICY.trees - 1})) AS INTEGER) AS tree),
+@query("ml_train_forest", f"""WITH {_SPLIT_SQL}, t AS (SELECT CAST(unnest(generate_series(0, {POLICY.trees - 1})) AS INTEGER) AS tree),
   bags AS (SELECT tree, truth, substr(md5(concat_ws('|', '{SEED}', concat('bag', CAST(tree // {forest.PER_HASH} AS VARCHAR)), {_KEYS})),
-    1 + 4 * (tree % {forest.PER_HASH}), 4) AS bits FROM capped, t),
+    1 + 4 * (tree % {forest.PER_HASH}), 4) AS bits FROM train, t),
   n AS (SELECT tree, truth AS class, CAST(sum({_DRAWS}) AS BIGINT) AS drawn FROM bags GROUP BY 1, 2)
-  SELECT tree, class, drawn, drawn AS in_leaves, CAST(0 AS BIGINT) AS broken, TRUE AS pure, (SELECT count(*) FROM capped) AS training_rows FROM n""")
+  SELECT tree, class, drawn, drawn AS in_leaves, CAST(0 AS BIGINT) AS broken, TRUE AS pure, (SELECT count(*) FROM train) AS training_rows FROM n""")
 def _(spark, sf_dir):
     """Each tree's own sample per class, found again in its leaves; leaves are pure as the classes can be told apart."""
     model = trained(spark, sf_dir).model

@@ -25,6 +25,7 @@ from tidewatch.session import BROADCAST_BYTES, materialize
 from tidewatch.spec import TARGET, TrainingPolicy
 
 LOCAL_ROWS = 1 << 20   # rows of a node that one task grows alone, some 40 bytes each
+HELD_BYTES = 1 << 26   # histograms a task adds up before it hands them on
 PER_HASH = 8           # trees served by one md5
 # Draws by 16 bits: 65536 times the Poisson distribution function with mean 1, rounded down.
 POISSON = np.array([24109, 48218, 60273, 64291, 65296, 65496, 65530, 65535])
@@ -176,8 +177,19 @@ def _grow_top(rows: DataFrame, edges: list[np.ndarray], drawn: np.ndarray, reach
                 wanted.setdefault(t, {})[node] = counts
         shared = spark.sparkContext.broadcast((top, {t: np.array(sorted(ids)) for t, ids in wanted.items()}))
 
+        def cells_table(t: int, f: int, ids: np.ndarray, cells: np.ndarray, counts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            size = len(cells)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, t), pa.int32()), pa.array(ids[cells // growth.BINS]), pa.array(np.full(size, f), pa.int32()),
+                 pa.array(cells % growth.BINS, pa.int32()), pa.array(n, pa.int64()),
+                 *[pa.array(counts[:, i].astype(np.int64)) for i in range(rules.classes)]],
+                names=["tree", "node", "feature", "bin", "rows", *c])
+
         def histograms(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             top, wanted = shared.value
+            cells_held = sum(map(len, wanted.values())) * rules.features * growth.BINS
+            hold = cells_held * (rules.classes + 1) * 8 <= HELD_BYTES
+            held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 bins, y, drawn = _arrays(batch, edges, len(weights))
                 for t, ids in wanted.items():
@@ -187,12 +199,15 @@ def _grow_top(rows: DataFrame, edges: list[np.ndarray], drawn: np.ndarray, reach
                     for f in range(rules.features):
                         cells, counts, n = growth.cells_of(place[mine], bins[mine, f].astype(np.int64), y[mine].astype(np.int64),
                                                            drawn[mine, t], len(ids), rules.classes)
-                        size = len(cells)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(size, t), pa.int32()), pa.array(ids[cells // growth.BINS]), pa.array(np.full(size, f), pa.int32()),
-                             pa.array(cells % growth.BINS, pa.int32()), pa.array(n, pa.int64()),
-                             *[pa.array(counts[:, i].astype(np.int64)) for i in range(rules.classes)]],
-                            names=["tree", "node", "feature", "bin", "rows", *c])
+                        if not hold:
+                            yield cells_table(t, f, ids, cells, counts, n)
+                            continue
+                        if (t, f) not in held:
+                            held[t, f] = np.zeros((len(ids) * growth.BINS, rules.classes + 1), dtype=np.int64)
+                        held[t, f][cells] += np.column_stack([counts.astype(np.int64), n])
+            for (t, f), sums in held.items():
+                cells = np.flatnonzero(sums[:, -1])
+                yield cells_table(t, f, wanted[t], cells, sums[cells, :-1], sums[cells, -1])
 
         def split(key: tuple, table: pa.Table) -> pa.Table:
             t, node = key[0].as_py(), key[1].as_py()
